@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality, toxicity
+from millrace.llm import counts, quality, records, secrets, toxicity
 from millrace.llm.common import table
 
 
@@ -12,9 +13,27 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.export(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op5_secret_scans": op5_secret_scans,
+    "op6_token_records": op6_token_records,
+    "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLE: dict[str, str] = {}
