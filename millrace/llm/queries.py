@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import codec, counts, lattice, quality, records, secrets, toxicity
+from millrace.llm import codec, counts, jaccard, lattice, quality, records, secrets, toxicity
 from millrace.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -39,6 +43,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_lattice_score": op4_lattice_score,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_records": op6_token_records,
