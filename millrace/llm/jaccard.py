@@ -39,11 +39,11 @@ WORDS = 5
 #: Groups of a signature up to this size give all their pairs, larger ones pairs with hubs.
 SMALL = 12
 #: Hubs of a large group in a round.
-HUBS = 8
+HUBS = 32
 #: Bound on the documents and the shingles of the frequency estimate.
-SAMPLE, FREQUENT = 10_000, 20_000
+SAMPLE, FREQUENT = 4_000, 20_000
 #: A shingle is frequent from this many sets of the sample.
-OFTEN = 4
+OFTEN = 3
 #: Characters of input for each bucket of signatures.
 BUCKET = 16_000_000
 #: Sets for which one batch of signatures is made.

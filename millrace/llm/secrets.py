@@ -115,3 +115,22 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Repeated rows and copies share one blob's findings. Extra columns are ignored.
     """
     return report(docs, scan(docs, None, rules)[0], rules)
+
+
+def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every finding in text replaced by <kind>; overlapping findings count as one, named by the first.
+
+    Columns and their order stay; texts without findings stay as they are, null texts too.
+    """
+    findings, _ = scan(docs, None, rules)
+    span = F.struct("start", "end", "kind")
+    step = lambda acc, x: F.when(x["start"] < acc["end"], F.struct(F.greatest(acc["end"], x["end"]).alias("end"), acc["out"].alias("out"))).otherwise(
+        F.struct(x["end"].alias("end"), F.concat(acc["out"], F.array(F.struct(acc["end"].alias("start"), x["start"].alias("stop"), x["kind"].alias("kind")))).alias("out"))
+    )
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>").alias("out"))
+    cuts = findings.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found")).select("blob", F.aggregate("found", zero, step).alias("cuts"))
+    blob = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    found = docs.withColumn("__blob", blob).join(cuts.withColumnRenamed("blob", "__blob"), "__blob", "left")
+    piece = F.transform("cuts.out", lambda x: F.concat(F.substr(F.col("text"), (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int")), F.lit("<"), x["kind"], F.lit(">")))
+    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), F.substr(F.col("text"), (F.col("cuts.end") + 1).cast("int"), F.length("text"))))
+    return found.withColumn("text", text).select(docs.columns)
