@@ -1,4 +1,377 @@
-"""Named queries with their DuckDB counterparts."""
+"""Named queries over the test tables, each with the DuckDB SQL that must agree.
 
-QUERIES = {}
-ORACLE = {}
+The tables trigger few of the rules, so most queries read a decorated view of the
+documents' sentences: the place of a sentence decides whether it gets a bullet, a
+dangling ending, odd white space, boilerplate, keywords, capitals, an invalid domain.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import langid, rules
+from millrace.functions import text as t
+from millrace.operators import cleaning, records
+from millrace.plans import profile
+from millrace.sources import html, pairs
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(sql: str | None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def norm(c: str) -> str:
+    return f"trim(regexp_replace(coalesce({c}, ''), '{t.WS}+', ' ', 'g'))"
+
+
+def bullet(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^[{t.SPACES}•‣◦\\-–—*+]+', ''), '^{t.WS}+|{t.WS}+$', '', 'g')"
+
+
+def dangling(c: str) -> str:
+    return f"regexp_matches({c}, ':{t.WS}*[-–—•*]*{t.WS}*$')"
+
+
+def n_words(c: str) -> str:
+    return f"CAST(CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, ' ')) END AS INTEGER)"
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def boiler(c: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({c}), '{m}')" for m in rules.BOILERPLATE) + ")"
+
+
+def keyword(c: str) -> str:
+    cases = " ".join(f"WHEN {' OR '.join(f'contains(lower({c}), {quoted([w])})' for w in words)} THEN '{d}'" for d, words in rules.KEYWORDS.items())
+    return f"CASE {cases} END"
+
+
+SENTS = f"""norm AS (SELECT doc_id, lang, source, {norm('text')} AS t FROM documents),
+arr AS (SELECT doc_id, lang, source, string_split(regexp_replace(t, '([.!?]) +([A-Z0-9"“''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS a FROM norm),
+sents AS (SELECT doc_id, lang, source, CAST(unnest(range(len(a))) AS INTEGER) AS pos, unnest(a) AS text FROM arr)"""
+DECO = f"""{SENTS},
+marked AS (SELECT *, (doc_id * 31 + pos) % 24 AS d FROM sents),
+deco AS (SELECT doc_id, pos, lang, source AS "Source", d,
+  CASE WHEN d = 0 THEN '• ' || text WHEN d = 1 THEN text || ': -' WHEN d = 2 THEN replace(text, ' ', chr(160) || chr(9)) WHEN d = 3 THEN text || ' Sign up'
+       WHEN d = 4 AND lang = 'en' THEN upper(replace(text, 'ß', 'ss')) WHEN d = 5 THEN 'visit the clinic ' || text WHEN d = 6 THEN '- * + irrigation ' || text WHEN d = 7 THEN 'abroad ' || text
+       WHEN d = 8 THEN '' WHEN d = 9 THEN 'one classic rule for all of us today in ' || text WHEN d = 10 THEN text || ' (c) | court' WHEN d = 11 THEN text || ':' ELSE text END AS "English",
+  CASE WHEN d % 3 = 0 THEN '  - ' || text ELSE '' END AS "Kiswahili",
+  CASE WHEN d % 4 = 0 THEN 'fr' WHEN d % 4 = 1 THEN NULL ELSE 'sw' END AS sw_lang,
+  CASE WHEN d % 11 = 10 THEN 'Space' WHEN d % 5 = 0 THEN 'Health' WHEN d % 5 = 1 THEN 'Education' WHEN d % 5 = 2 THEN 'Agriculture' WHEN d % 5 = 3 THEN 'Road Safety' ELSE 'Governance' END AS raw_domain FROM marked),
+recs AS (SELECT doc_id, pos, lang, sw_lang, CASE WHEN raw_domain = 'Road Safety' THEN 'Security' ELSE raw_domain END AS "Domain", "English", "Kiswahili", "Source" FROM deco)"""
+CLEAN = f"""{DECO},
+tidy AS (SELECT * REPLACE ({bullet(norm('"English"'))} AS "English", {bullet(norm('"Kiswahili"'))} AS "Kiswahili") FROM recs),
+c_empty AS (SELECT * FROM tidy WHERE "English" <> ''),
+c_frag AS (SELECT * FROM c_empty WHERE NOT {dangling('"English"')}),
+c_len AS (SELECT * FROM c_frag WHERE {n_words('"English"')} BETWEEN 4 AND 80),
+c_dup AS (SELECT * FROM c_len QUALIFY row_number() OVER (PARTITION BY array_to_string(string_split(lower("English"), ' ')[1:8], ' ') ORDER BY doc_id, pos) = 1),
+c_lang AS (SELECT * REPLACE (CASE WHEN "Kiswahili" <> '' AND sw_lang IS NOT NULL AND sw_lang <> 'sw' THEN '' ELSE "Kiswahili" END AS "Kiswahili") FROM c_dup WHERE {n_words('"English"')} < 10 OR lang IS NULL OR lang = 'en'),
+c_out AS (SELECT * FROM c_lang WHERE "Domain" IN ({quoted(rules.DOMAINS)}))"""
+ORDER = ["doc_id", "pos"]
+
+
+def sents(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", t.normalize(F.col("text")).alias("text"))
+    return docs.select("doc_id", "lang", "source", F.posexplode(t.sentences(F.col("text"))).alias("pos", "text"))
+
+
+def decorated(spark, sf_dir) -> DataFrame:
+    d, text = F.col("d"), F.col("text")
+    add = lambda a="", b="": F.concat(F.lit(a), text, F.lit(b))
+    english = (
+        F.when(d == 0, add("• ")).when(d == 1, add(b=": -")).when(d == 2, F.replace(text, F.lit(" "), F.lit(" \t"))).when(d == 3, add(b=" Sign up"))
+        .when((d == 4) & (F.col("lang") == "en"), F.upper(F.replace(text, F.lit("ß"), F.lit("ss")))).when(d == 5, add("visit the clinic ")).when(d == 6, add("- * + irrigation ")).when(d == 7, add("abroad "))
+        .when(d == 8, F.lit("")).when(d == 9, add("one classic rule for all of us today in ")).when(d == 10, add(b=" (c) | court")).when(d == 11, add(b=":")).otherwise(text)
+    )
+    domain = F.when(d % 11 == 10, F.lit("Space"))
+    for k, name in enumerate(("Health", "Education", "Agriculture", "Road Safety")):
+        domain = domain.when(d % 5 == k, F.lit(name))
+    return sents(spark, sf_dir).withColumn("d", (F.col("doc_id") * 31 + F.col("pos")) % 24).select(
+        "doc_id", "pos", "lang", F.col("source").alias("Source"), "d", english.alias("English"), F.when(d % 3 == 0, add("  - ")).otherwise("").alias("Kiswahili"),
+        F.when(d % 4 == 0, F.lit("fr")).when(d % 4 != 1, F.lit("sw")).alias("sw_lang"), domain.otherwise("Governance").alias("raw_domain"),
+    )
+
+
+def recs(spark, sf_dir) -> DataFrame:
+    return decorated(spark, sf_dir).select("doc_id", "pos", "lang", "sw_lang", t.alias_domain(F.col("raw_domain")).alias("Domain"), "English", "Kiswahili", "Source")
+
+
+def cleaned(spark, sf_dir) -> DataFrame:
+    return cleaning.steps(recs(spark, sf_dir), ORDER, detect=lambda c: F.col("lang"), detect_sw=lambda c: F.col("sw_lang"))
+
+
+@query(f'WITH {DECO} SELECT doc_id, pos, {norm(chr(34) + "English" + chr(34))} AS text FROM deco')
+def normalize(spark, sf_dir):
+    return decorated(spark, sf_dir).select("doc_id", "pos", t.normalize(F.col("English")).alias("text"))
+
+
+@query(f'WITH {DECO} SELECT doc_id, pos, {bullet(norm(chr(34) + "English" + chr(34)))} AS text FROM deco')
+def strip_bullet(spark, sf_dir):
+    return decorated(spark, sf_dir).select("doc_id", "pos", t.tidy(F.col("English")).alias("text"))
+
+
+@query(f'WITH {DECO} SELECT doc_id, pos, {dangling(chr(34) + "English" + chr(34))} AS dangling FROM deco')
+def dangling_intro(spark, sf_dir):
+    return decorated(spark, sf_dir).select("doc_id", "pos", t.is_dangling(F.col("English")).alias("dangling"))
+
+
+@query(f"WITH {SENTS} SELECT doc_id, pos, {n_words('text')} AS n_words FROM sents WHERE {n_words('text')} BETWEEN 4 AND 80")
+def word_bounds(spark, sf_dir):
+    return sents(spark, sf_dir).where(t.word_bounds(F.col("text"))).select("doc_id", "pos", t.n_words(F.col("text")).alias("n_words"))
+
+
+@query(f"WITH {SENTS} SELECT doc_id, pos, text FROM sents")
+def sentences(spark, sf_dir):
+    return sents(spark, sf_dir).select("doc_id", "pos", "text")
+
+
+@query(f'WITH {DECO} SELECT doc_id, pos, "English" AS text FROM deco WHERE {n_words(norm(chr(34) + "English" + chr(34)))} BETWEEN 7 AND 80 AND NOT {boiler(chr(34) + "English" + chr(34))}')
+def site_keep(spark, sf_dir):
+    d = decorated(spark, sf_dir)
+    return d.where(t.word_bounds(t.normalize(F.col("English")), 7) & ~t.is_boilerplate(F.col("English"))).select("doc_id", "pos", F.col("English").alias("text"))
+
+
+@query(f"WITH {SENTS} SELECT doc_id, pos FROM sents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id, pos) = 1")
+def exact_dedupe(spark, sf_dir):
+    return records.first_per(sents(spark, sf_dir).select("doc_id", "pos", t.exact_key(F.col("text")).alias("k")), ["k"], ORDER).select("doc_id", "pos")
+
+
+@query(f"WITH {SENTS} SELECT doc_id, pos FROM sents QUALIFY row_number() OVER (PARTITION BY array_to_string(string_split(lower(text), ' ')[1:8], ' ') ORDER BY doc_id, pos) = 1")
+def near_dedupe(spark, sf_dir):
+    return records.first_per(sents(spark, sf_dir).select("doc_id", "pos", t.near_key(F.col("text")).alias("k")), ["k"], ORDER).select("doc_id", "pos")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def raw_dedupe(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+
+
+@query(f'WITH {DECO} SELECT doc_id, pos, {keyword(chr(34) + "English" + chr(34))} AS domain FROM deco WHERE {keyword(chr(34) + "English" + chr(34))} IS NOT NULL')
+def keyword_domain(spark, sf_dir):
+    return decorated(spark, sf_dir).select("doc_id", "pos", t.keyword_domain(F.col("English")).alias("domain")).where("domain is not null")
+
+
+@query(f'WITH {DECO} SELECT "Domain" AS domain, count(*) AS n FROM recs GROUP BY 1')
+def domain_alias(spark, sf_dir):
+    return recs(spark, sf_dir).groupBy(F.col("Domain").alias("domain")).agg(F.count("*").alias("n"))
+
+
+@query(f'WITH {DECO} SELECT doc_id, pos FROM recs WHERE {n_words(norm(chr(34) + "English" + chr(34)))} < 10 OR lang IS NULL OR lang = \'en\'')
+def english_gate(spark, sf_dir):
+    return recs(spark, sf_dir).where(cleaning.english_gate(t.normalize(F.col("English")), F.col("lang"))).select("doc_id", "pos")
+
+
+@query(f"WITH {DECO} SELECT doc_id, pos, CASE WHEN \"Kiswahili\" <> '' AND sw_lang IS NOT NULL AND sw_lang <> 'sw' THEN '' ELSE \"Kiswahili\" END AS kiswahili FROM recs")
+def kiswahili_gate(spark, sf_dir):
+    return recs(spark, sf_dir).select("doc_id", "pos", cleaning.kiswahili_gate(F.col("Kiswahili"), F.col("sw_lang")).alias("kiswahili"))
+
+
+@query(f'WITH {DECO} SELECT doc_id, pos, "Domain" AS domain FROM recs WHERE "Domain" IN ({quoted(rules.DOMAINS)})')
+def domain_valid(spark, sf_dir):
+    return recs(spark, sf_dir).where(F.col("Domain").isin(rules.DOMAINS)).select("doc_id", "pos", F.col("Domain").alias("domain"))
+
+
+@query(f'WITH {CLEAN} SELECT doc_id, pos, "Domain", "English", "Kiswahili", "Source" FROM c_out')
+def clean_pipeline(spark, sf_dir):
+    return cleaned(spark, sf_dir).select("doc_id", "pos", "Domain", "English", "Kiswahili", "Source")
+
+
+@query(f'WITH {CLEAN} SELECT "Source" AS source, count(*) AS n FROM c_out GROUP BY 1')
+def clean_per_source(spark, sf_dir):
+    return cleaned(spark, sf_dir).groupBy(F.col("Source").alias("source")).agg(F.count("*").alias("n"))
+
+
+STAGE_TABLES = dict(zip(cleaning.STAGES, ("recs", "c_empty", "c_frag", "c_len", "c_dup", "c_lang", "c_out"), strict=True))
+
+
+@query(f"WITH {CLEAN} " + " UNION ALL ".join(f"SELECT '{k}' AS stage, count(*) AS n FROM {v}" for k, v in STAGE_TABLES.items()))
+def clean_stats(spark, sf_dir):
+    counts = []
+    cleaning.steps(recs(spark, sf_dir), ORDER, lambda c: F.col("lang"), lambda name, df: counts.append(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n")) or df, lambda c: F.col("sw_lang"))
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+BLOCKS = f"""art AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<p>') AS a FROM pages),
+cut AS (SELECT page_id, unnest(range(len(a) - 1)) AS k, unnest(a[2:]) AS x FROM art),
+blocks AS (SELECT page_id, CAST(k AS INTEGER) AS block, {norm("replace(replace(replace(replace(regexp_replace(split_part(x, '</p>', 1), '<[^>]*>', ' ', 'g'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')")} AS text FROM cut)"""
+SELECTORS = ["article p", "main p", "p"]
+
+
+@query(f"WITH {BLOCKS} SELECT page_id, block, text FROM blocks")
+def pages_blocks(spark, sf_dir):
+    return html.blocks(table(spark, sf_dir, "pages"), SELECTORS).select("page_id", "block", t.normalize(F.col("text")).alias("text"))
+
+
+PAGE_SENTS = f"""{BLOCKS},
+parr AS (SELECT page_id, block, string_split(regexp_replace(text, '([.!?]) +([A-Z0-9"“''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS a FROM blocks),
+psents AS (SELECT page_id, block, CAST(unnest(range(len(a))) AS INTEGER) AS unit, unnest(a) AS text FROM parr)"""
+
+
+@query(f"WITH {PAGE_SENTS} SELECT page_id, block, unit, text FROM psents WHERE {n_words('text')} BETWEEN 4 AND 80 AND NOT {boiler('text')}")
+def pages_sentences(spark, sf_dir):
+    found = html.units(html.blocks(table(spark, sf_dir, "pages").select("page_id", "url", "html"), SELECTORS))
+    return found.where(html.keep(F.col("text"))).select("page_id", "block", "unit", "text")
+
+
+HOST = "regexp_extract(url, '^([^/:]+://[^/?#]*)', 1)"
+LINKS = f"""href AS (SELECT page_id, {HOST} AS site, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages),
+links AS (SELECT page_id, site, CAST(unnest(range(len(h))) AS INTEGER) AS pos, site || replace(unnest(h), '&amp;', '&') AS href FROM href),
+first AS (SELECT * FROM links WHERE regexp_matches(href, '/[a-t][^/]*$') QUALIFY row_number() OVER (PARTITION BY site, href ORDER BY page_id, pos) = 1)"""
+
+
+@query(f"WITH {LINKS} SELECT site, page_id, pos, href FROM first QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, pos) <= 15")
+def link_discovery(spark, sf_dir):
+    pages = html.parsed(table(spark, sf_dir, "pages"), SELECTORS)
+    links = pages.select(F.regexp_extract("url", r"^([^/:]+://[^/?#]*)", 1).alias("site"), "page_id", F.posexplode("links").alias("pos", "href"))
+    return html.discover(links, ["/[a-t][^/]*$"], 15).select("site", "page_id", "pos", "href")
+
+
+CAP = f"""{PAGE_SENTS},
+kept AS (SELECT {HOST} AS site, page_id, block, unit, s.text FROM psents s JOIN pages USING (page_id) WHERE {n_words('s.text')} BETWEEN 4 AND 80 AND NOT {boiler('s.text')}),
+uniq AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY site, lower(text) ORDER BY page_id, block, unit) = 1)"""
+
+
+@query(f"WITH {CAP} SELECT site, page_id, block, unit FROM uniq QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, block, unit) <= 20")
+def site_cap(spark, sf_dir):
+    found = html.units(html.blocks(table(spark, sf_dir, "pages").select("page_id", "url", "html"), SELECTORS)).where(html.keep(F.col("text")))
+    found = found.withColumn("site", F.regexp_extract("url", r"^([^/:]+://[^/?#]*)", 1)).withColumn("k", F.lower("text"))
+    order = ["page_id", "block", "unit"]
+    return records.cap_per(records.first_per(found, ["site", "k"], order), ["site"], order, 20).select("site", *order)
+
+
+_PAGED = [s for s in rules.SITES if s["pagination"]]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{s['name']}' AS name, CAST(n AS INTEGER) AS ordinal, CASE WHEN n < {len(s['start_urls'])} THEN list_extract([{quoted(s['start_urls'])}], n + 1) ELSE replace('{s['pagination']['template']}', '{{n}}', CAST(n - {len(s['start_urls'])} + {s['pagination']['start']} AS VARCHAR)) END AS url FROM (SELECT CAST(unnest(range({len(s['start_urls']) + s['pagination']['pages']})) AS INTEGER) AS n)"
+    for s in _PAGED))
+def pagination(spark, sf_dir):
+    return html.start_urls(html.site_table(spark, _PAGED)).select("name", "ordinal", "url")
+
+
+@query("SELECT name, domain, source, CAST(max_pages AS INTEGER) AS max_pages FROM (VALUES " + ", ".join(f"('{s['name']}', '{s['domain']}', '{s['source']}', {s['max_pages']})" for s in rules.SITES) + ") AS v(name, domain, source, max_pages)")
+def site_registry(spark, sf_dir):
+    return html.site_table(spark).select("name", "domain", "source", "max_pages")
+
+
+LAST = "last AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'eng' ELSE 'swa' END AS lang, text FROM conversations WHERE role IN ('user', 'assistant'))"
+
+
+@query(f"WITH {LAST} SELECT a.conv_id * 1000 + a.turn AS seq, CASE WHEN a.lang = 'eng' THEN a.text ELSE b.text END AS en, CASE WHEN a.lang = 'eng' THEN b.text ELSE a.text END AS sw FROM last a JOIN last b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.lang <> b.lang")
+def pair_join(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    sentences = c.where(F.col("role").isin("user", "assistant")).select(key.alias("id"), F.when(F.col("role") == "user", "eng").otherwise("swa").alias("lang"), "text", F.col("turn").alias("ordinal"))
+    return pairs.exports(sentences, c.select(key.alias("a"), (key + 1).alias("b"), key.alias("ordinal")))
+
+
+@query("WITH a AS (SELECT row_number() OVER (ORDER BY item_id) AS n, text FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, text FROM documents) SELECT n, a.text AS en, b.text AS sw FROM a JOIN b USING (n)")
+def line_zip(spark, sf_dir):
+    a = records.number(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("en")), ["item_id"])
+    b = records.number(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sw")), ["doc_id"])
+    return a.join(b, "n").select("n", "en", "sw")
+
+
+@query(f"WITH p AS (SELECT turn, conv_id, {norm('text')} AS en, CASE WHEN turn % 3 = 0 THEN '' ELSE {norm('role')} END AS sw FROM conversations ORDER BY conv_id, turn LIMIT 200) SELECT conv_id * 1000 + turn AS seq, 'Health' AS domain, en, sw FROM p WHERE en <> '' AND sw <> ''")
+def memory_import(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("en"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("sw"))
+    return pairs.import_memory(c, max_pairs=200).select("seq", F.col("Domain").alias("domain"), F.col("English").alias("en"), F.col("Kiswahili").alias("sw"))
+
+
+@query(f'WITH {DECO}, s AS (SELECT doc_id, pos, {norm(chr(34) + "English" + chr(34))} AS en FROM recs) SELECT doc_id, pos, {keyword("en")} AS domain, en FROM s WHERE {n_words("en")} BETWEEN 4 AND 80 AND {keyword("en")} IS NOT NULL')
+def sentence_import(spark, sf_dir):
+    p = recs(spark, sf_dir).select(F.struct("doc_id", "pos").alias("seq"), F.col("English").alias("en"), F.col("Kiswahili").alias("sw"))
+    return pairs.import_sentences(p).select("seq.doc_id", "seq.pos", F.col("Domain").alias("domain"), F.col("English").alias("en"))
+
+
+@query("SELECT printf('PSA%06d', row_number() OVER (ORDER BY doc_id)) AS psa_id, text AS english FROM documents")
+def assign_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", *records.record(F.lit("Health"), F.col("text"), source=F.col("source")))
+    return records.assign_ids(d, ["doc_id"]).select(F.col("PSA_ID").alias("psa_id"), F.col("English").alias("english"))
+
+
+@query(f"""WITH {DECO} SELECT array_to_string(list_sort(list(DISTINCT "Domain") FILTER (WHERE "Domain" NOT IN ({quoted(rules.DOMAINS)}))), '|') AS invalid_domains, count(*) FILTER (WHERE NOT regexp_matches("English", '[^{t.SPACES}]')) AS n_empty_english FROM recs""")
+def validate(spark, sf_dir):
+    return records.validation(recs(spark, sf_dir))
+
+
+@query(f'WITH {DECO} SELECT "Domain" AS domain, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, min((doc_id, pos))) AS place FROM recs GROUP BY 1')
+def per_domain(spark, sf_dir):
+    d = recs(spark, sf_dir).groupBy(F.col("Domain").alias("domain")).agg(F.count("*").alias("rows"), F.min(F.struct(*ORDER)).alias("first"))
+    return d.select("domain", "rows", F.row_number().over(Window.orderBy(F.desc("rows"), "first")).cast("long").alias("place"))
+
+
+@query("SELECT source, count(*) AS rows, count(*) * 1.0 / sum(count(*)) OVER () AS share FROM documents GROUP BY 1")
+def per_source(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("rows"))
+    return n.withColumn("share", F.col("rows") * F.lit(1.0) / F.sum("rows").over(Window.partitionBy()))
+
+
+_EN, _SW = n_words(norm('"English"')), n_words(norm('"Kiswahili"'))
+
+
+@query(f"""WITH {DECO}, w AS (SELECT "Source", {_EN} AS en, CASE WHEN regexp_matches("Kiswahili", '[^{t.SPACES}]') THEN {_SW} END AS sw FROM recs)
+SELECT count(*) AS total, count(sw) AS paired, count(DISTINCT CASE WHEN "Source" <> '' THEN "Source" END) AS sources, avg(en) AS en_mean, median(en) AS en_median, avg(sw) AS sw_mean, median(sw) AS sw_median FROM w""")
+def word_stats(spark, sf_dir):
+    return profile.figures(recs(spark, sf_dir))
+
+
+_CUT = "CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(substring(text, 1, 119), '" + t.WS + "+$', '') || '…' END"
+
+
+@query(f"SELECT doc_id, replace(replace({_CUT}, '|', '\\|'), chr(10), ' ') AS text FROM documents ORDER BY doc_id LIMIT 5")
+def report_sample(spark, sf_dir):
+    return table(spark, sf_dir, "documents").orderBy("doc_id").limit(5).select("doc_id", t.escape_markdown(t.truncate(F.col("text"))).alias("text"))
+
+
+@query("SELECT src, count(*) AS n, sum(length(text)) AS chars FROM (SELECT 'documents' AS src, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY 1")
+def union_sources(spark, sf_dir):
+    out = None
+    for name in ("documents", "conversations", "benchmark"):
+        df = table(spark, sf_dir, name).select(F.lit(name).alias("src"), "text")
+        out = df if out is None else out.unionByName(df)
+    return out.groupBy("src").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).cast("decimal(38,0)").alias("chars"))
+
+
+@query("""SELECT doc_id, '{"type": "scraped", "tool": "html.parser", "site": "' || source || '"}' AS metadata FROM documents""")
+def metadata_json(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.json_object(type="scraped", tool="html.parser", site=F.col("source")).alias("metadata"))
+
+
+@query(f"WITH {SENTS} SELECT doc_id, pos, text FROM sents WHERE length(text) >= 40")
+def legacy_sentences(spark, sf_dir):
+    return sents(spark, sf_dir).where(F.length("text") >= 40).select("doc_id", "pos", "text")
+
+
+@query(None)
+def language(spark, sf_dir):
+    """Detected language of every sentence."""
+    return sents(spark, sf_dir).select("doc_id", "pos", langid.detect(F.col("text")).alias("lang"))
+
+
+@query(None)
+def robots_rules(spark, sf_dir):
+    """Whether each page may be fetched, under rules that keep /en/ away from one host in three and answer some with an error."""
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    origin = F.regexp_extract("url", r"^([^/:]+://[^/?#]*)", 1).alias("origin")
+    policies = urls.select(origin).distinct().withColumn("status", F.element_at(F.array(F.lit(200), F.lit(404), F.lit(403)), F.pmod(F.crc32("origin"), F.lit(3)).cast("int") + 1)).withColumn("body", F.lit("User-agent: *\nDisallow: /en/"))
+    return html.robots(urls, policies)
