@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm.words import Cache, bare
 
 #: Words whose counts a worker keeps.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 class Counter:

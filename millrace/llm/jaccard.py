@@ -16,8 +16,10 @@ to m segments, so that at most H segments of a linked pair differ.
 
 Which shingles are frequent is estimated on a bounded sample; that steers cost
 only, the guarantee holds for any choice. Copies are one set from the start. In
-groups of a signature that are small, pairs are verified; in larger ones, sets are
-verified against a few hubs at a time, and a group ends when its sets are of one
+groups of a signature that are small, pairs are counted, and verified if they met as
+often as a link implies. A set that has enough
+signatures beside those of large groups has met its partners there. The others are
+verified in the large groups against a few hubs at a time, and a group ends when its sets are of one
 component or every set outside its largest component has been a hub. So a group of
 n near copies costs some n pairs, and none is left unchecked.
 """
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, saved
+from millrace.llm.common import components, release, saved
 
 WORDS = 5
 #: Groups of a signature up to this size give all their pairs, larger ones pairs with hubs.
@@ -48,7 +50,7 @@ OFTEN = 3
 BUCKET = 16_000_000
 #: Sets for which one batch of signatures is made.
 BATCH = 8_000
-CACHE = 2_000_000
+CACHE = 500_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -112,15 +114,16 @@ def schemes(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """All signatures of one set."""
+def signatures(shingles: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """All signatures of one set, and how many of them it can spare: as long as no more than
+    so many stand in large groups, each linked partner shares one that does not. Below 0: none."""
     n = len(shingles)
     hot = np.zeros(n, bool)
     if len(frequent):
         at = np.searchsorted(frequent, shingles)
         at[at == len(frequent)] = 0
         hot = frequent[at] == shingles
-    out, bare = [], False
+    out, spare = [], 1 << 30
     for k, most, m in schemes(n):
         segment = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         # shingles are sorted, so that segments, taken from the high bits, are runs
@@ -128,12 +131,12 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         cold = ~np.logical_or.reduceat(hot, start)
         whole = np.add.reduceat(mix(shingles ^ _MULT), start)
         out.append(mix(whole[cold] ^ (segment[start][cold] * _MULT + np.uint64(k))))
-        bare |= int(cold.sum()) <= most
-    if bare:
+        spare = min(spare, int(cold.sum()) - most - 1)
+    if spare < 0:
         need = n - -(-3 * n // 4) + 1
         order = np.lexsort((mix(shingles), hot))[:need]
         out.append(mix(shingles[order] ^ _ODD))
-    return np.concatenate(out)
+    return np.concatenate(out), max(spare, -1)
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -168,13 +171,13 @@ def _records(docs: DataFrame, frequent: np.ndarray, n_buckets: int, words: int)
 
     def run(source):
         shingle = Shingler(words)
-        held: dict[int, tuple[int, np.ndarray]] = {}
+        held: dict[int, tuple[int, np.ndarray, int]] = {}
 
         def sealed():
             keys = np.array(list(held), np.int64)
-            sizes = np.array([n for n, _ in held.values()], np.int32)
-            sig = np.concatenate([s for _, s in held.values()])
-            owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(s) for _, s in held.values()])
+            sizes, spare = (np.array([x[k] for x in held.values()], np.int32) for k in (0, 2))
+            sig = np.concatenate([x[1] for x in held.values()])
+            owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x[1]) for x in held.values()])
             bucket = (sig >> np.uint64(48)).astype(np.int64) % n_buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -184,7 +187,7 @@ def _records(docs: DataFrame, frequent: np.ndarray, n_buckets: int, words: int)
                 if len(at):
                     own, back = np.unique(owner[at], return_inverse=True)
                     low = sig[at]
-                    blocks.append((k, b"".join((np.array([len(own), len(at)], "<u4").tobytes(), keys[own].tobytes(), sizes[own].tobytes(), back.astype("<u2").tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(), low.astype("<u4").tobytes()))))
+                    blocks.append((k, b"".join((np.array([len(own), len(at)], "<u4").tobytes(), keys[own].tobytes(), sizes[own].tobytes(), spare[own].tobytes(), back.astype("<u2").tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(), low.astype("<u4").tobytes()))))
             held.clear()
             k, block = zip(*blocks, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(block, pa.binary())], names=["bucket", "block"])
@@ -193,7 +196,7 @@ def _records(docs: DataFrame, frequent: np.ndarray, n_buckets: int, words: int)
             for t in b.column(0).to_pylist():
                 s = shingle(t)
                 if len(s) and (key := set_key(s)) not in held:
-                    held[key] = (len(s), signatures(s, frequent))
+                    held[key] = (len(s), *signatures(s, frequent))
                     if len(held) >= BATCH:
                         yield sealed()
         if held:
@@ -202,42 +205,57 @@ def _records(docs: DataFrame, frequent: np.ndarray, n_buckets: int, words: int)
     return docs.select("text").mapInArrow(run, "bucket long, block binary")
 
 
-def _open(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signature, key and size of each record of a block."""
+def _open(block: bytes) -> tuple[np.ndarray, ...]:
+    """Signature, key, size and spare number of each record of a block."""
     n, m = np.frombuffer(block, "<u4", 2)
     at = 8
     parts = []
-    for count, kind in ((n, "<i8"), (n, "<i4"), (m, "<u2"), (m, "<u2"), (m, "<u4")):
+    for count, kind in ((n, "<i8"), (n, "<i4"), (n, "<i4"), (m, "<u2"), (m, "<u2"), (m, "<u4")):
         parts.append(np.frombuffer(block, kind, count, at))
         at += int(count) * np.dtype(kind).itemsize
-    keys, sizes, back, high, low = parts
-    return high.astype(np.uint64) << np.uint64(32) | low, keys[back], sizes[back]
+    keys, sizes, spare, back, high, low = parts
+    return high.astype(np.uint64) << np.uint64(32) | low, keys[back], sizes[back], spare[back]
 
 
 def _grouped(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the bucket's small groups and members of its large ones: (sig, a, b); sig is null for a pair."""
+    """Pairs of the bucket's small groups, with how often they met, and members of its large ones, which have a sig; and what sets can spare."""
     opened = [_open(x) for b in source for x in b.column("block").to_pylist()]
-    sig, own, size = (np.concatenate(x) for x in zip(*opened, strict=True))
+    sig, own, size, spare = (np.concatenate(x) for x in zip(*opened, strict=True))
     del opened
     order = np.lexsort((own, sig))
-    sig, own, size = sig[order], own[order], size[order]
+    sig, own, size, spare = sig[order], own[order], size[order], spare[order]
     fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))  # copies from several batches
-    sig, own, size = sig[fresh], own[fresh], size[fresh]
+    sig, own, size, spare = sig[fresh], own[fresh], size[fresh], spare[fresh]
     start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     n = np.diff(np.concatenate((start, [len(sig)])))
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for gap in range(1, SMALL):
         first = start[(n > gap) & (n <= SMALL)]
         count = n[(n > gap) & (n <= SMALL)] - gap
         i = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         fit = 3 * np.maximum(size[i], size[i + gap]) <= 4 * np.minimum(size[i], size[i + gap])
-        a.append(own[i[fit]])
-        b.append(own[i[fit] + gap])
-    pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["sig", "a", "b"])
+        a.append(i[fit])
+        b.append(i[fit] + gap)
+    i, j = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((own[j], own[i]))
+    i, j = i[order], j[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(i)), bool), (own[i][1:] != own[i][:-1]) | (own[j][1:] != own[j][:-1]))))
+    met = np.diff(np.concatenate((new, [len(i)])))
+    i, j = i[new], j[new]
+    long = lambda x: pa.array(x.astype(np.int64))
+    names = ["sig", "a", "b", "met", "spare_a", "spare_b"]
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(own[i]), pa.array(own[j]), long(met), long(spare[i]), long(spare[j])], names=names)
     big = np.repeat(n > SMALL, n)
     whole = (sig[big] ^ np.uint64(key[0].as_py()) << np.uint64(48)).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(own[big]), pa.array(size[big].astype(np.int64))], names=["sig", "a", "b"])
+    none = pa.nulls(len(whole), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(own[big]), none, none, long(spare[big]), none], names=names)
+
+
+def _rescued(met: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs that met less often than their sets ask for, if meetings in large groups may make up for it."""
+    for x in "ab":
+        met = met.join(held.select(F.col("key").alias(x), F.col("held").alias(f"held_{x}")), x, "left").na.fill(0, [f"held_{x}"])
+    return met.where("met > spare_a - held_a and met > spare_b - held_b").select("a", "b")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
@@ -268,41 +286,55 @@ def join(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     frequent = _frequent(docs, spark.createDataFrame(ids, "doc_id long"), words)
     size = docs.select(F.sum(F.length("text")).alias("n")).first().n or 0
     n_buckets = max(64, -(-size // BUCKET))
-    found = saved(_records(docs, frequent, n_buckets, words).groupBy("bucket").applyInArrow(_grouped, "sig long, a long, b long"), "jaccard-groups")
-    small = found.where("sig is null").select("a", "b")
-    members = found.where("sig is not null").select("sig", F.col("a").alias("key"))
-    first = members.groupBy("sig").agg(F.min("key").alias("a")).join(members, "sig").select("a", F.col("key").alias("b")).where("a <> b")
-    pairs = saved(small.union(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    found = saved(_records(docs, frequent, n_buckets, words).groupBy("bucket").applyInArrow(_grouped, "sig long, a long, b long, met long, spare_a long, spare_b long"), "jaccard-groups")
+    release(spark)
+    large = found.where("sig is not null").select("sig", F.col("a").alias("key"), F.col("spare_a").alias("spare"))
+    # sets with more signatures in large groups than they can spare; all others have met their partners already
+    held = saved(large.groupBy("key").agg(F.count("*").alias("held"), F.first("spare").alias("spare")), "jaccard-held")
+    bound = held.where("held > spare").join(classes.select("key", "n"), "key").select("key", "n")
+    members = saved(large.select("sig", "key").join(bound, "key"), "jaccard-members")
+    alike = lambda x, y: 3 * F.greatest(x, y) <= 4 * F.least(x, y)  # noqa: E731  sizes that a link allows
+    first = members.groupBy("sig").agg(F.min_by(F.struct(F.col("key").alias("a"), F.col("n").alias("m")), "key").alias("h")).select("sig", "h.*").join(members, "sig").where(alike("m", "n") & (F.col("a") != F.col("key"))).select("a", F.col("key").alias("b"))
+    # a set's segments that a linked partner need not have in common are H at most: the others meet in small groups, but for those in large ones
+    met = found.where("sig is null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("spare_a").alias("spare_a"), F.max("spare_b").alias("spare_b"))
+    met = met.where("met > spare_a and met > spare_b").select("a", "b").union(_rescued(met.where("not (met > spare_a and met > spare_b)"), held.select("key", "held")))
+    pairs = saved(met.union(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("key")).distinct()
     reps = wanted.join(classes, "key").select("key", "rep")
 
     def run(source):
-        shingle = Shingler(words)
+        shingle, seen = Shingler(words), set()
         for b in source:
-            out = [shingle(t).view(np.int64) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], names=["key", "rep", "shingles"])
+            out = []
+            for key, rep, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                # rows of one doc_id may differ or repeat: the set that is meant, once in a task
+                if key not in seen and set_key(s := shingle(t)) == key:
+                    seen.add(key)
+                    out.append((key, rep, s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["key", "rep", "shingles"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep").select("key", "rep", "text")
-    arrays = saved(texts.mapInArrow(run, "key long, rep long, shingles array<long>").dropDuplicates(["key"]), "jaccard-arrays")
+    arrays = saved(texts.mapInArrow(run, "key long, rep long, shingles array<long>"), "jaccard-arrays")
+    release(spark)
     edges = saved(_verified(pairs, arrays, percent), "jaccard-edges")
     label = components(edges)
-    names = arrays.select("key", "rep")
+    names = classes.select("key", "rep")
     done: DataFrame | None = None
     while True:
         # groups that still hold sets of several components
-        now = members.join(names, "key").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "key", F.coalesce("component", "rep").alias("component"))
+        now = members.join(names, "key").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "key", "n", F.coalesce("component", "rep").alias("component"))
         counts = now.groupBy("sig", "component").agg(F.count("*").alias("n"))
         main = counts.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("sig", F.col("top.component").alias("main"))
         now = now.join(main, "sig")
         free = now.where("component <> main")
         if done is not None:
             free = free.join(done, ["sig", "key"], "left_anti")
-        hubs = saved(free.groupBy("sig", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("key", "component")).alias("hub")).select("sig", F.col("hub.key").alias("a"), F.col("hub.component").alias("of")), "jaccard-hubs")
+        hubs = saved(free.groupBy("sig", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("key", "component", "n")).alias("hub")).select("sig", F.col("hub.key").alias("a"), F.col("hub.component").alias("of"), F.col("hub.n").alias("m")), "jaccard-hubs")
         if hubs.isEmpty():
             break
-        more = hubs.join(now, "sig").where("of <> component and a <> key").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        more = hubs.join(now, "sig").where((F.col("of") != F.col("component")) & alike("m", "n")).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
         new = saved(_verified(more.join(pairs, ["a", "b"], "left_anti"), arrays, percent), "jaccard-edges")
-        members = saved(now.select("sig", "key"), "jaccard-members")
+        members = saved(now.select("sig", "key", "n"), "jaccard-members")
         used = hubs.select("sig", F.col("a").alias("key"))
         done = used if done is None else saved(done.union(used), "jaccard-done")
         if not new.isEmpty():

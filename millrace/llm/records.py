@@ -32,7 +32,7 @@ HEAD, LENGTH, CHECK = struct.Struct("<4sHH"), struct.Struct("<Q"), struct.Struct
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 NULL = -(1 << 63)
 #: Words whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 def masked(data: bytes) -> int:

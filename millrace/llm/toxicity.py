@@ -49,7 +49,7 @@ SIZE = len(LETTERS) + 1  # 0: anything else, and the edge of a word
 SPELLED = re.compile(r"(?<!\S)\S(?:([ ._*\-])\S)(?:\1\S){2,}(?!\S)")
 DOUBT = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+(<€*.\-_~^'`#%&]+[^\W\d_]|^[0-9@$!|+(<€]+[^\W\d_]|[^\W\d_][0-9@$|+(<€]+$")
 LONGEST = 24
-CACHE = 1_000_000
+CACHE = 400_000
 THRICE = re.compile(r"(.)\1\1")
 
 
