@@ -52,7 +52,8 @@ def steps(df: DataFrame, order: Sequence[str], detect: Callable[[Column], Column
 def clean(df: DataFrame, order: Sequence[str], detect: Callable[[Column], Column] = langid.detect, stats: bool = False) -> tuple[DataFrame, Callable[[], dict[str, int]] | None]:
     """Cleaned rows and, with stats, a function that gives the stage counts once an action has run over them.
 
-    Counting keeps filters from moving past the counted places, so it is off by default.
+    Counting keeps filters from moving past the counted places, so it is off by default. A sort right
+    above runs its input twice, to sample it, and doubles the counts: write the rows first.
     """
     if not stats:
         return steps(df, order, detect), None
