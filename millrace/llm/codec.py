@@ -69,7 +69,7 @@ def encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
         ids: dict[str, bytes] = {}
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True))
+            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True))
         wide = library.get_vocab_size() > 1 << 16
 
         def value(asked):

@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.dtype).tobytes()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.lumps = Cache(lambda x: (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(x, add_special_tokens=False)), CACHE)
+        self.lumps = Cache(lambda x: (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(x, add_special_tokens=False)), CACHE)
 
     def text(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
@@ -75,6 +76,12 @@ class Encoder:
         return b"".join(map(self.lumps.__getitem__, lumps)) + self.end
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end: int) -> Encoder:
+    """Kept in a process, so that its tasks share the cache."""
+    return Encoder(path, end)
+
+
 def write_shard(uri: str, shard: int, dtype: np.dtype, bodies: Iterable[tuple[int | None, bytes]]) -> tuple[str, int, int]:
     """Write one shard and its index; its path, records and ids."""
     from pyarrow import fs
@@ -121,14 +128,14 @@ def write(docs: DataFrame, path: str, end: int, uri: str) -> DataFrame:
     """Encode and write all texts in ascending doc_id order; the shards: shard, name, n_docs, n_ids."""
 
     def run(batches):
-        encoder, shard = Encoder(path, end), TaskContext.get().partitionId()
+        held, shard = encoder(path, end), TaskContext.get().partitionId()
 
         def bodies():
             for b in batches:
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    yield doc_id, encoder.text(text or "")
+                    yield doc_id, held.text(text or "")
 
-        name, n, total = write_shard(uri, shard, encoder.dtype, bodies())
+        name, n, total = write_shard(uri, shard, held.dtype, bodies())
         if n:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [n], "n_ids": [total]})
 

@@ -8,6 +8,7 @@ own rule has U+001C to U+001F besides, which texts with these characters avoid.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
@@ -59,7 +60,8 @@ class Cache(dict):
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
-    """The library's tokenizer, loaded once in a process."""
+    """The library's tokenizer, loaded once in a process, without threads of its own: each core has a task already."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
