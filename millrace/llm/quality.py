@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved
+from millrace.llm.common import saved, smallest
 
 #: Bound on the labelled rows that the trees are fitted on.
 MAX_FIT = 20_000
@@ -171,7 +171,7 @@ def judge(docs: DataFrame, labels: DataFrame | None, max_fit: int = MAX_FIT, kee
     trees = Trees(float("inf"))
     if labels is not None:
         known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        rows = known.join(stats.dropDuplicates(["doc_id"]), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit).select("quality", "features").collect()
+        rows = smallest(known.join(stats.dropDuplicates(["doc_id"]), "doc_id"), max_fit).select("quality", "features").collect()
         y = np.array([r.quality > 0 for r in rows], float)
         if len(set(y.tolist())) == 2:
             trees = fit(np.array([r.features for r in rows]), y, list(FEATURES.values()))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold
+from millrace.llm.common import fold, smallest
 
 #: Bound on the labelled rows of either label that the evidence is counted on.
 MAX_FIT = 10_000
@@ -241,8 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame | None, max_fit: int = MAX_FIT) ->
     if labels is None:
         return Model(logp, 0, 0, {}).start()
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(fold() != 0)
-    pick = lambda k: known.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for k in (1, 0) for r in pick(k).collect()], "doc_id long, toxic int")
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for k in (1, 0) for r in smallest(known.where(f"toxic = {k}"), max_fit).collect()], "doc_id long, toxic int")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * max_fit small rows
 
     def count(batches):
