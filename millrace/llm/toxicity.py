@@ -46,7 +46,7 @@ EDGE = "\"'.,;:?)]}>([{<#%&*|_-~`^!$=/\\"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 RANK = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIZE = len(LETTERS) + 1  # 0: anything else, and the edge of a word
-SPELLED = re.compile(r"(?<!\S)\S(?:([ ._*\-])\S)(?:\1\S){2,}(?!\S)")
+SPELLED = re.compile(r"(?<![^\s\"'(\[])\S(?:([ ._*\-])\S)(?:\1\S){2,}(?=[\"'.,;:?!)\]]*(?!\S))")
 DOUBT = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+(<€*.\-_~^'`#%&]+[^\W\d_]|^[0-9@$!|+(<€]+[^\W\d_]|[^\W\d_][0-9@$|+(<€]+$")
 LONGEST = 24
 CACHE = 400_000
