@@ -13,6 +13,8 @@ when it is whole, so a repeated task does no harm.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -32,6 +34,8 @@ MAGIC, VERSION = b"MRRC", 1
 HEAD, LENGTH, CHECK = struct.Struct("<4sHH"), struct.Struct("<Q"), struct.Struct("<I")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 NULL = -(1 << 63)
+#: Letters that the Unicode normal form leaves alone and whose lower case is one letter.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Words whose ids a worker keeps.
 CACHE = 600_000
 
@@ -58,15 +62,52 @@ def unframe(data: memoryview, at: int) -> tuple[bytes, int]:
     return body, at + 16 + size
 
 
+def signs(path: str) -> dict[int, str] | None:
+    """For a tokenizer that lower-cases, keeps runs of letters whole and signs their bytes: the signs of Latin letters.
+
+    None for any other; its words all go through its whole chain."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", ())]
+    cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cut] != ["Split", "ByteLevel"] or cut[1]["add_prefix_space"]:
+        return None
+    before, letters, _ = cut[0]["pattern"].get("Regex", "").partition(r"|[\p{L}]+|")
+    if not letters or not cut[0]["invert"] or any(x[:1] != "'" for x in before.split("|")):
+        return None
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {k: "".join(x for x, _ in level.pre_tokenize_str(chr(k))) for k in range(0xC0, 0x100)}
+
+
 class Encoder:
-    """Ids of whole texts as bytes, two or four for each id, by way of a cache of lumps."""
+    """Ids of whole texts as bytes, two or four for each id, by way of a cache of lumps.
+
+    Words of Latin letters alone, most of those that occur, go to the library's
+    model without the steps before it, which would leave them as they are but for case."""
 
     def __init__(self, path: str, end: int):
         self.library = tokenizer(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end], self.dtype).tobytes()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.lumps = Cache(lambda x: (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(x, add_special_tokens=False)), CACHE)
+        self.signs, self.model = signs(path), self.library.model
+        self.lumps = Cache(self.ids, CACHE)
+
+    def _bytes(self, ids: list[list[int]]) -> Iterator[bytes]:
+        raw, at = np.array([i for x in ids for i in x], self.dtype).tobytes(), 0
+        for x in ids:
+            yield raw[at : (at := at + len(x) * self.dtype.itemsize)]
+
+    def ids(self, lumps: list[str]) -> Iterator[bytes]:
+        low = {x: x.lower() for x in lumps if LATIN.fullmatch(x)} if self.signs else {}
+        words = list(set(low.values()))
+        known = dict(zip(words, self._bytes([[t.id for t in self.model.tokenize(w if w.isascii() else w.translate(self.signs))] for w in words]), strict=True))
+        rest = [x for x in lumps if x not in low]
+        if rest:
+            known.update(zip(rest, self._bytes([e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]), strict=True))
+        return (known[low.get(x, x)] for x in lumps)
 
     def text(self, text: str) -> bytes:
         if any(s in text for s in self.specials):

@@ -38,22 +38,38 @@ def stem(lump: str) -> str:
 
 
 class Cache(dict):
-    """What `make` gives for lumps, in lists of new ones at a time; emptied beyond `most`."""
+    """What `make` gives for lumps, in lists of new ones at a time.
+
+    Beyond `most` entries all become old; those asked for again are taken over from
+    there, the others go when it happens next. So what occurs often is made once."""
 
     def __init__(self, make: Callable[[list[str]], Iterable], most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
+
+    def _lacks(self, lump: str) -> bool:
+        if lump in self:
+            return False
+        if (known := self.old.get(lump)) is None:
+            return True
+        self[lump] = known
+        return False
 
     def extend(self, lumps: Iterable[str]) -> None:
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
-        new = [x for x in set(lumps) if x not in self]
-        split = [(x, s) for x in new if (s := stem(x)) != x]
-        core = {x for x in new} - {x for x, _ in split}
-        core |= {y for x, s in split for y in (s, x[len(s) :]) if y not in self}
-        core = list(core)
-        for k in range(0, len(core), 20_000):
-            self.update(zip(core[k : k + 20_000], self.make(core[k : k + 20_000]), strict=True))
+        core, split = set(), []
+        for x in filter(self._lacks, [x for x in set(lumps) if x not in self]):
+            s = x if x.isalnum() else stem(x)
+            if s is x:
+                core.add(x)
+            else:
+                split.append((x, s))
+                core.update(filter(self._lacks, (s, x[len(s) :])))
+        new = list(core)
+        for k in range(0, len(new), 20_000):
+            self.update(zip(new[k : k + 20_000], self.make(new[k : k + 20_000]), strict=True))
         for x, s in split:
             self[x] = self[s] + self[x[len(s) :]]
 
