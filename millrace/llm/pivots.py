@@ -1,11 +1,13 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the distinct vectors. Each vector
-is described by its `PREFIX` nearest pivots; inverted lists hold for each pivot the
-vectors that have it in their description. Two vectors meet in a list, and are
-candidates if their descriptions share at least `SHARED` pivots; their cosine is
-then computed in double precision. The pair counts in the list of the first pivot
-that both have, so once only.
+Reference points (pivots) are a bounded sample of the distinct vectors, thinned so
+that no two are near each other: a dense group has one pivot, which is the nearest
+of all its members, and not many about equally near. Each vector is described by
+its `PREFIX` nearest pivots; inverted lists hold for each pivot the vectors that
+have it in their description. Two vectors meet in a list, and are candidates if
+they have the same nearest pivot or their descriptions share at least `SHARED`
+pivots; their cosine is computed in double precision. The pair counts in the list
+of the same nearest pivot, else of the first pivot that both have, so once only.
 
 Equal vectors are one class from the start. A long list is dealt to blocks of about
 `BLOCK` classes, and each pair of blocks is a task of its own, a matrix product;
@@ -29,6 +31,8 @@ BLOCK = 1024
 #: Bounds on the number of pivots, which in between follows the square root of the number of vectors.
 PIVOTS = (32, 8192)
 COSINE = 0.95
+#: Cosine that no two pivots reach.
+APART = 0.7
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +59,18 @@ def choose(distinct: DataFrame, bounds: tuple[int, int] = PIVOTS) -> dict[int, n
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r.embedding), []).append(r.embedding)
-    return {d: unit(x) for d, x in by.items()}
+    return {d: thin(unit(x)) for d, x in by.items()}
+
+
+def thin(x: np.ndarray, apart: float = APART) -> np.ndarray:
+    """The rows that are not near an earlier one of them."""
+    kept = np.empty_like(x)
+    n = 0
+    for row in x:
+        if not n or (kept[:n] @ row).max() < apart:
+            kept[n] = row
+            n += 1
+    return kept[:n].copy()
 
 
 def describe(distinct: DataFrame, pivots: dict[int, np.ndarray], prefix: int) -> DataFrame:
@@ -83,6 +98,23 @@ def describe(distinct: DataFrame, pivots: dict[int, np.ndarray], prefix: int) ->
     return distinct.select("rep", "n", "embedding").mapInArrow(run, "rep long, n long, embedding array<double>, near array<int>")
 
 
+def _products(first: np.ndarray, left: np.ndarray, right: np.ndarray, pivot: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns to multiply. Many rows of one other nearest pivot leave out the columns that have it too: those pairs count in its list."""
+    rest = []
+    for f in np.unique(first[left]).tolist():
+        rows = left[first[left] == f]
+        if f == pivot or len(rows) < 64:
+            rest.append(rows)
+            continue
+        columns = right[first[right] != f]
+        if len(columns):
+            for k in range(0, len(rows), 256):
+                yield rows[k : k + 256], columns
+    rows = np.concatenate(rest) if rest else left[:0]
+    for k in range(0, len(rows), 256):
+        yield rows[k : k + 256], right
+
+
 def _links(cosine: float, shared: int):
     def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, one, two = (x.as_py() for x in key)
@@ -99,10 +131,9 @@ def _links(cosine: float, shared: int):
         place = np.empty(len(rep), np.int64)
         place[order] = np.arange(len(rep))
         found = []
-        for k in range(0, len(left), 256):
-            rows = left[k : k + 256]
-            i, j = np.nonzero(x[rows] @ x[right].T >= cosine)
-            i, j = rows[i], right[j]
+        for rows, columns in _products(near[:, 0], left, right, pivot):
+            i, j = np.nonzero(x[rows] @ x[columns].T >= cosine)
+            i, j = rows[i], columns[j]
             if one == two:
                 i, j = i[i < j], j[i < j]
             for s in range(0, len(i), 100_000):
@@ -110,7 +141,8 @@ def _links(cosine: float, shared: int):
                 same = (near[a][:, :, None] == near[b][:, None, :]) & (near[a] >= -(1 << 30))[:, :, None]
                 common = same.any(2)
                 least = np.where(common, near[a], 1 << 30).min(1)
-                good = (common.sum(1) >= need) & (least == pivot)
+                nearest = near[a, 0] == near[b, 0]
+                good = np.where(nearest, near[a, 0] == pivot, (common.sum(1) >= need) & (least == pivot))
                 a, b = a[good], b[good]
                 total += np.bincount(a, n[b], len(rep)).astype(np.int64) + np.bincount(b, n[a], len(rep)).astype(np.int64)
                 found.append((a, b))

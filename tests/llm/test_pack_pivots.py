@@ -104,6 +104,27 @@ def test_embeddings_recall(spark, sf):
     assert sum(r.n_links for r in got.values()) >= 0.97 * there
 
 
+def test_embeddings_recall_of_planted_pairs(spark):
+    """Default parameters: a third of the rows is one group of near copies, others have a copy just above the bound."""
+    r = np.random.default_rng(11)
+    one = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot = one(one(r.normal(size=(1, 64))) + 0.18 * one(r.normal(size=(2000, 64))))
+    lone = one(r.normal(size=(3500, 64)))
+    side = r.normal(size=(500, 64))
+    side = one(side - (side * lone[:500]).sum(1, keepdims=True) * lone[:500])
+    copies = 0.952 * lone[:500] + (1 - 0.952**2) ** 0.5 * side
+    x = np.concatenate([hot, lone, copies])[r.permutation(6000)]
+    near = x @ x.T >= pivots.COSINE
+    want = near.sum(1) - 1
+    assert want.sum() > 2000 * 1999
+    got = {g.vec_id: g.n_links for g in pivots.near(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    got = np.array([got[k] for k in range(len(x))])
+    hot = want > 10
+    assert (got <= want).all()
+    assert got[hot].sum() >= 0.999 * want[hot].sum()
+    assert got[~hot].sum() >= 0.99 * want[~hot].sum() >= 0.99 * 1000
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
