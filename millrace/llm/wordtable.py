@@ -14,13 +14,16 @@ distinct words of each batch, however often a word occurs, so a frequent word
 weighs as much as a rare one. The number of buckets follows the input's size.
 
 Requests and bodies come from two runs over the same documents; a batch's id is
-a digest of its documents and words, and a batch whose answers are incomplete
-raises an error.
+a digest of its documents' ids and its distinct words in their order. Batches with
+the same id ask for the same words, so that any of their answers serves all of
+them, and each body is put together on its own. A batch with fewer or more answers
+than bodies raises an error.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -149,19 +152,25 @@ def answers(asked: DataFrame, reply: Callable[[Iterator], Callable[[list], objec
 
 
 def assemble(body: DataFrame, answered: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """finish(rows, sizes, places, bucket of each word, {bucket: values}) gives a record batch for each batch."""
+    """finish(rows, sizes, places, bucket of each word, {bucket: values}) gives a record batch for each body."""
 
     def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, values = None, {}
+        held, values, times = [], {}, Counter()
         for b in source:
             for r in b.to_pylist():
                 if r["bucket"] < 0:
-                    whole = unpack(r["block"])
+                    held.append(r["block"])
                 else:
-                    values[r["bucket"]] = unpack(r["block"])
-        if whole is None or set(np.unique(whole[3]).tolist()) != set(values):
-            raise RuntimeError(f"batch {key[0]} came back incomplete: its documents were read differently the second time")
-        yield finish(*whole, values)
+                    times[r["bucket"]] += 1
+                    if r["bucket"] not in values:
+                        values[r["bucket"]] = unpack(r["block"])
+        if not held:
+            raise RuntimeError(f"batch {key[0]} came back without its documents: they were read differently the second time")
+        for block in held:
+            whole = unpack(block)
+            if times != dict.fromkeys(np.unique(whole[3]).tolist(), len(held)):
+                raise RuntimeError(f"batch {key[0]} came back incomplete: its documents were read differently the second time")
+            yield finish(*whole, values)
 
     return body.unionByName(answered).groupBy("batch").applyInArrow(run, schema)
 

@@ -92,6 +92,25 @@ def test_codec(spark):
     assert codec.digests(df.limit(0), BYTES).collect() == []
 
 
+def repeated(spark):
+    """Rows whose partitions have the same ids and distinct words: a table twice, and texts that differ in order or counts alone."""
+    df = hard(spark)
+    alone = [spark.createDataFrame([(None, t, 0, "x")], "doc_id long, text string, n_words int, score string").coalesce(1) for t in ("a b", "a b a", "a b", "", "")]
+    for x in [df, *alone]:
+        df = df.unionByName(x)
+    return df
+
+
+def test_equal_batches_keep_their_rows(spark):
+    df, library = repeated(spark), Tokenizer.from_file(BYTES)
+    want = sorted(len(library.encode(r.text or "", add_special_tokens=False).ids) for r in df.collect())
+    rows = codec.digests(df, BYTES).collect()
+    assert sorted(r.n_tokens for r in rows) == want
+    assert {r.n_tokens for r in rows if r.doc_id is None} >= {len(library.encode(t, add_special_tokens=False).ids) for t in ("a b", "a b a")}
+    scored = lattice.score(df, PIECES).collect()
+    assert sorted(r.n_tokens for r in scored) == sorted(len((r.text or "").encode().split()) + 1 for r in df.collect())
+
+
 def test_lattice_sums_all_segmentations():
     pieces, logp = lattice.vocabulary(PIECES)
     p = dict(zip(pieces, np.exp(logp), strict=True))
