@@ -9,17 +9,18 @@ Three models, each bounded in size:
 * a logistic curve over the strongest evidence of a document, fitted on that
   sample with each document's own share of the evidence taken out.
 
-A token that may be disguised (digits or signs inside letters, a letter three
-times or more in a row, letters spelled out one by one) is decoded first: a
-lattice holds for each sign the letters it may stand for, for each run of a letter
-one or two of it; Viterbi search finds the likeliest path under the trigram model.
-Plain tokens stay as they are.
+A token that may be disguised (digits or signs inside letters or at their edges, a
+letter twice or more in a row, letters spelled out one by one), however long, is
+decoded first: a lattice holds for each sign the letters it may stand for, for each
+run of a letter one or two of it, and in spelled-out runs the edges of words;
+Viterbi search finds the likeliest path under the trigram model. Where a sign may
+be punctuation, a doubled letter plain or a spelled-out run one word, that reading
+is kept beside the decoded one. Plain tokens stay as they are.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,13 @@ RANK = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIZE = len(LETTERS) + 1  # 0: anything else, and the edge of a word
 SPELLED = re.compile(r"(?<![^\s\"'(\[])\S(?:([ ._*\-])\S)(?:\1\S){2,}(?=[\"'.,;:?!)\]]*(?!\S))")
 DOUBT = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+(<€*.\-_~^'`#%&]+[^\W\d_]|^[0-9@$!|+(<€]+[^\W\d_]|[^\W\d_][0-9@$|+(<€]+$")
-LONGEST = 24
 CACHE = 400_000
+TWICE = re.compile(r"(.)\1")
 THRICE = re.compile(r"(.)\1\1")
+#: Runs that the lattice takes alike whatever their length.
+RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Signs of EDGE that may stand for a word's first or last letters.
+FIRST, LAST = "".join(c for c in EDGE if c in LEET), "$|(<"
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -102,56 +107,91 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def decode(token: str, logp: np.ndarray) -> str:
-    """Likeliest word behind a disguised token."""
+def decode(token: str, logp: np.ndarray, loose: int = 0, split: bool = False) -> str:
+    """Likeliest word behind a disguised token. Of the first `loose` signs any may stand for nothing; split: there may be spaces between letters."""
     steps: list[list[tuple[str, float]]] = []
     k = 0
     while k < len(token):
         c, r = token[k], 1
         while k + r < len(token) and token[k + r] == c:
             r += 1
-        k += r
         if c in RANK:
-            steps.append([(c, 0.0 if r == 1 else -0.5), (c + c, -0.2 if r == 2 else -1.0)] if r > 1 else [(c, 0.0)])
+            options = [(c, 0.0 if r == 1 else -0.5), (c + c, -0.2 if r == 2 else -1.0)] if r > 1 else [(c, 0.0)]
+            if split and r > 1:
+                options.append((f"{c} {c}", -0.2 if r == 2 else -1.0))
         elif c in LEET:
-            steps.append([(x * y, -1.5 - 0.5 * (y > 1)) for x in LEET[c] for y in ((1, 2) if r > 1 else (1,))])
+            options = [(x * y, -1.5 - 0.5 * (y > 1)) for x in LEET[c] for y in ((1, 2) if r > 1 else (1,))]
+            if k < loose:
+                options.append(("", -0.5))
         else:
-            steps.append([("", -0.5 if c in FILL else -6.0)])
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+            options = [("", -0.5 if c in FILL else -6.0)]
+        if split and k:
+            options += [(" " + x, cost) for x, cost in options if x]
+        steps.append(options)
+        k += r
+    value = logp.item
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the text as a chain of (before, part)
     for options in steps:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, text) in best.items():
             for out, cost in options:
                 x, y, s = a, b, score + cost
                 for c in out:
-                    z = RANK[c]
-                    s += float(logp[x, y, z])
+                    z = RANK.get(c, 0)
+                    s += value(x, y, z)
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, text + out)
+                    new[x, y] = (s, (text, out) if out else text)
         best = new
-    return max((s + float(logp[a, b, 0]), t) for (a, b), (s, t) in best.items())[1]
+    _, text = max(((s + value(a, b, 0), t) for (a, b), (s, t) in best.items()), key=lambda x: x[0])
+    parts = []
+    while text:
+        text, out = text
+        parts.append(out)
+    return "".join(reversed(parts))
 
 
 class Restorer:
     """Restored forms of a text's words; forms of tokens are kept in a bounded cache."""
 
     def __init__(self, logp: np.ndarray):
-        self.logp, self.known = logp, {}
+        self.logp, self.known, self.more = logp, {}, {}
 
-    def word(self, token: str) -> str:
+    def forms(self, token: str) -> list[str]:
+        """The word behind a token, and what else it may be."""
         core = token.strip(EDGE)
-        if not core or core.isalpha() and not THRICE.search(core):
-            if core != token and token[0] in LEET and core and len(token) <= LONGEST and token.rstrip(EDGE)[:1] in LEET:
-                core = decode(token.rstrip(EDGE), self.logp)  # a sign may stand for the first letter
-            return core
-        if len(core) <= LONGEST and DOUBT.search(core) and sum(map(str.isalpha, core)) * 3 >= len(core):
-            return decode(core, self.logp)
-        return core
-
-    def spelled(self, text: str) -> list[str]:
-        """Words whose letters stand one by one, such as b a d w o r d."""
-        return [decode(m[0].replace(m[1], ""), self.logp) for m in SPELLED.finditer(text) if len(m[0]) <= 4 * LONGEST]
+        if core == token and token.isalpha() and not TWICE.search(token):
+            return [token]
+        if not core:
+            return [""]
+        start = token.index(core)
+        lead, tail = token[:start], token[start + len(core) :]
+        lead = RUN.sub(r"\1\1\1", lead[len(lead.rstrip(FIRST)) :])
+        tail = RUN.sub(r"\1\1\1", tail[: len(tail) - len(tail.lstrip(LAST))])
+        short = RUN.sub(r"\1\1\1", core)
+        if short.isalpha() and not THRICE.search(short):
+            out = [core]
+            if TWICE.search(short):
+                out.append(decode(short, self.logp))
+        else:
+            out = [decode(short, self.logp) if self.doubtful(short) else core]
+        for a, b in {(lead, ""), ("", tail), (lead, tail)} - {("", "")}:
+            if self.doubtful(a + short + b):
+                out.append(decode(a + short + b, self.logp, len(a.rstrip(a[-1])) if a else 0))
+        return out
+
+    @staticmethod
+    def doubtful(token: str) -> bool:
+        return bool(DOUBT.search(token)) and sum(map(str.isalpha, token)) * 3 >= len(token)
+
+    def spelled(self, text: str) -> set[str]:
+        """Words whose letters stand one by one, such as b a d w o r d: the run as one word, without a one-letter word before it, and cut."""
+        out: set[str] = set()
+        for m in SPELLED.finditer(text):
+            run = RUN.sub(r"\1\1\1", m[0].replace(m[1], ""))
+            out.update((decode(run, self.logp), decode(run[1:], self.logp)))
+            out.update(decode(run, self.logp, split=True).split())
+        return out
 
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a whole text."""
@@ -159,9 +199,14 @@ class Restorer:
         known, tokens = self.known, set(text.split())
         if len(known) > CACHE:
             known.clear()
+            self.more.clear()
+        more = self.more
         for t in tokens.difference(known):
-            known[t] = self.word(t)
+            known[t], *others = self.forms(t)
+            if others:
+                more[t] = others
         out = set(map(known.__getitem__, tokens))
+        out.update(*[more[t] for t in tokens if t in more])
         out.update(self.spelled(text))
         out.discard("")
         return out
@@ -187,16 +232,18 @@ class Model:
         self.logp, self.n_pos, self.n_neg, self.evidence = logp, n_pos, n_neg, evidence
         self.curve = np.array([-3.0, 0, 0, 0])
 
-    @lru_cache(maxsize=None)  # noqa: B019  as many entries as a count has values in a bounded sample
     def _strength(self, pos: int, neg: int) -> float:
-        return float(strength(pos, neg, self.n_pos, self.n_neg))
+        """Kept by this model alone, so that it goes with its task; as many entries as a count has values in a bounded sample."""
+        if (pos, neg) not in self.strengths:
+            self.strengths[pos, neg] = float(strength(pos, neg, self.n_pos, self.n_neg))
+        return self.strengths[pos, neg]
 
     def start(self):
-        self.restore, self.weights = Restorer(self.logp), {}
+        self.restore, self.weights, self.strengths = Restorer(self.logp), {}, {}
         return self
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("restore", "weights")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("restore", "weights", "strengths")}
 
     def features(self, text: str | None, own: int | None = None) -> list[float]:
         """1, and the strongest, second and third evidence. own: the label that this document added to the evidence itself."""

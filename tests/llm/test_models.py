@@ -76,6 +76,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels.limit(0)).collect() == []
 
 
+def test_disguises_of_any_length_and_place(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    words = toxicity.learn(docs, labels).start().restore.words
+    for text, plain in (
+        ("st" + "u" * 40 + "pid", "stupid"), ("stuupid", "stupid"), ("$tup1d", "stupid"), ("!d10t", "idiot"), ('"$tupid', "stupid"), ("($tup1d)", "stupid"),
+        ("(stupid)", "stupid"), ("what a s t u p i d thing", "stupid"), (" ".join("stupid" + "i" * 100), "stupid"),
+    ):
+        assert any(w.startswith(plain) for w in words(text)), (text, words(text))
+    assert {"stupid", "idiot"} <= words("s t u p i d i d i o t")
+    assert words("hello, (reed)") >= {"hello", "reed"}
+    assert words("x1" * 20_000)
+
+
 def test_codec(spark):
     library = Tokenizer.from_file(BYTES)
     df = hard(spark)
