@@ -297,6 +297,13 @@ def memory_import(spark, sf_dir):
     return pairs.import_memory(c, max_pairs=200).select("seq", F.col("Domain").alias("domain"), F.col("English").alias("en"), F.col("Kiswahili").alias("sw"))
 
 
+@query(f"WITH p AS (SELECT turn, conv_id, {norm('text')} AS en, CASE WHEN turn % 3 = 0 THEN '' ELSE {norm('role')} END AS sw FROM conversations) SELECT conv_id * 1000 + turn AS seq, 'Health' AS domain, en, sw FROM p WHERE en <> '' AND sw <> ''")
+def memory_import_whole(spark, sf_dir):
+    """The import over the whole table, without the limit of memory_import."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("en"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("sw"))
+    return pairs.import_memory(c).select("seq", F.col("Domain").alias("domain"), F.col("English").alias("en"), F.col("Kiswahili").alias("sw"))
+
+
 @query(f'WITH {DECO}, s AS (SELECT doc_id, pos, {norm(chr(34) + "English" + chr(34))} AS en FROM recs) SELECT doc_id, pos, {keyword("en")} AS domain, en FROM s WHERE {n_words("en")} BETWEEN 4 AND 80 AND {keyword("en")} IS NOT NULL')
 def sentence_import(spark, sf_dir):
     p = recs(spark, sf_dir).select(F.struct("doc_id", "pos").alias("seq"), F.col("English").alias("en"), F.col("Kiswahili").alias("sw"))

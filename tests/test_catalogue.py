@@ -36,3 +36,8 @@ def test_query(spark, duck, name):
         want = cur.fetchall()
         assert sorted(columns) == sorted(df.columns)
         assert rows(df.columns, got) == rows(columns, want)
+
+
+def test_whole_memory_is_imported(spark, duck):
+    n = duck.execute("SELECT count(*) FROM conversations WHERE turn % 3 <> 0 AND trim(text) <> '' AND trim(role) <> ''").fetchone()[0]
+    assert catalogue.QUERIES["memory_import_whole"](spark, SF).count() == n > 200
