@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that a task shrinks at a time.
+STRETCH = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,9 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is missing, as in a local session, one is made and set."""
+    Where that setting is missing, one is made and set in a session of a single
+    machine, as in tests; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -32,12 +41,6 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer refers to, so that Spark deletes shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -60,30 +63,58 @@ def parts(df: DataFrame, key: str, target: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def _stars(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a stretch of edges with the smallest id that it is tied to there, itself among them."""
+
+    def sealed(held):
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for x in (a, b, label[a], label[b]):
+                np.minimum.at(new, x, low)
+            new = new[new]
+            if (new == label).all():
+                return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["id", "root"])
+            label = new
+
+    held, n = [], 0
+    for b in source:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n > STRETCH:
+            yield sealed(held)
+            held, n = [], 0
+    if held:
+        yield sealed(held)
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Smallest id reachable from each id that has an edge: (id, component).
 
-    edges has two long columns, src and dst. Large-star and small-star rounds
-    in turn until no edge changes; each round's edges are written to the shared
-    folder. Every round keeps the components and shrinks the distance to the
-    smallest id, so that the number of rounds grows with the logarithm of the
-    longest chain. No group is gathered: a star needs only the minimum of a
-    node's neighbours, which is pre-aggregated, and a join with it.
+    edges has two long columns, src and dst. Each task shrinks its own edges to stars,
+    before anything is shuffled; a node then meets the roots it has in different
+    tasks, at most one for each stretch of edges, and these roots are tied by the
+    next round's edges. A round leaves only edges between roots, so rounds grow
+    with the logarithm of the longest chain and tables shrink from round to round.
     """
-    pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v")
-    pairs = saved(pairs.distinct(), tag)
-    state = None
+    now = edges.select("src", "dst").where("src <> dst")
+    levels = []
     while True:
-        # large star: every neighbour above a node goes to the smallest of node and neighbours
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: a node and its smaller neighbours go to the smallest of these
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(small, "u")
-        pairs = saved(down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), tag)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        stars = now.mapInArrow(_stars, "id long, root long")
+        level = saved(stars.groupBy("id").agg(F.array_sort(F.collect_set("root")).alias("roots")), tag)
+        levels.append(level)
+        now = level.where("size(roots) > 1").select(F.explode(F.slice("roots", 2, F.size("roots"))).alias("src"), F.get("roots", F.lit(0)).alias("dst"))
+        if now.isEmpty():
             break
-        state = tuple(now)
-    return pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    label = None
+    for level in reversed(levels):
+        own = level.select("id", F.get("roots", F.lit(0)).alias("root"))
+        if label is not None:
+            own = own.join(label.withColumnsRenamed({"id": "root", "component": "far"}), "root", "left").select("id", F.coalesce("far", "root").alias("root"))
+        label = own.withColumnRenamed("root", "component")
+    return label

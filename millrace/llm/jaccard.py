@@ -1,27 +1,39 @@
 """N-gram Jaccard join by a partition of the shingle universe, exact.
 
-Sets of distinct word shingles link if 100 |A & B| >= 75 |A | B|. A linked pair
-with a smaller set of at most r shingles differs in at most H = (r + 4r/3) / 7 of
-them. Sets are banded by size; in the scheme of a band, hashing deals the universe
-to m segments, so that at most H segments of a linked pair differ.
-
-* Every non-empty segment whose shingles are not known to be frequent is indexed as
-  a subset under one signature. If either set of a pair has more than H such
-  segments, the pair shares a signature.
-* Where a set has no more than H, its frequent segments are too costly to index
-  whole. It goes to the one-deletion neighbourhoods of the finest partition,
-  where every shingle is a segment of its own: it can spare |A| - ceil(0.75 |A|)
-  of them and indexes one more, the cheapest by estimated frequency. Two such
-  sets that link share one.
-
-Which shingles are frequent is estimated on a bounded sample; that steers cost
-only, the guarantee holds for any choice. Copies are one set from the start. In
-groups of a signature that are small, pairs are counted, and verified if they met as
-often as a link implies. A set that has enough
-signatures beside those of large groups has met its partners there. The others are
-verified in the large groups against a few hubs at a time, and a group ends when its sets are of one
-component or every set outside its largest component has been a hub. So a group of
-n near copies costs some n pairs, and none is left unchecked.
+Sets of distinct word shingles link if 100 |A & B| >= 75 |A | B|, so that linked sets
+of a and b shingles differ in at most (a + b) / 7. Sets are banded by size; in the
+scheme of a band, hashing deals the universe to segments. A set takes part in the
+scheme of its own band and, where a partner may stand there, of the band below.
+
+What is indexed of a set in a scheme is allotted by cost. A segment has the level of
+its rarest shingle, estimated on a bounded sample of texts; 0 is not known to be
+frequent. The rungs of a ladder, cheapest first, are
+
+* the segments of level 0, each as a whole: its subset's signature;
+* their one-deletion neighbourhoods besides: for a segment with two or more shingles
+  of that level, the signature of each subset with one shingle left out;
+* the same for level 1, 2 and so on.
+
+On a rung a segment counts 1, or 2 with its neighbourhood. A set climbs until its
+segments count more than it may differ in from a partner, and indexes all rungs up
+to there. Of a linked pair the set that stops first has a segment that differs less
+than it counts: by nothing, so that both have it whole, or by one shingle, so that
+one's whole segment is in the other's neighbourhood. The other set has that
+rung too, for levels depend on the segments alone. Where even the last rung falls short
+the set goes to the finest partition, where each shingle is a segment: it can
+spare |A| - ceil(0.75 |A|) of them and indexes one more, rarest first; two
+such sets share one.
+
+The sample steers cost only; the guarantee holds for any. Copies are one set from the
+start. Small groups of a signature give pairs, which stay candidates if they met as
+often as a link implies. In a large group only the sets count that have more
+signatures in large groups than they can spare; each is tied to the group's first
+set. The candidates' connected components are then settled exactly: a task has the
+shingles of whole components, makes one index of them, and looks sets up in it, each
+with all overlaps at once, until all sets not looked up belong together. A component too large for a
+task is dealt to several; there, rounds of more and more sets are looked up in all of its
+blocks, with the same end. So n near copies of one text cost one look-up of n
+overlaps and not n squared pairs, and no pair is left unchecked.
 """
 
 from __future__ import annotations
@@ -35,22 +47,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, release, saved
+from millrace.llm.common import components, saved
 
 WORDS = 5
-#: Groups of a signature up to this size give all their pairs, larger ones pairs with hubs.
+#: Groups of a signature up to this size give all their pairs.
 SMALL = 12
-#: Hubs of a large group in a round.
-HUBS = 32
-#: Bound on the documents and the shingles of the frequency estimate.
+#: Texts of the frequency estimate, about, and bound on the shingles it gives.
 SAMPLE, FREQUENT = 4_000, 20_000
-#: A shingle is frequent from this many sets of the sample.
-OFTEN = 3
-#: Characters of input for each bucket of signatures.
-BUCKET = 16_000_000
-#: Sets for which one batch of signatures is made.
-BATCH = 8_000
-CACHE = 500_000
+#: A shingle has level 1 from this many texts of the sample, a level more from each four times as many.
+OFTEN, LEVELS = 3, 4
+#: Characters of input for each bucket of signatures, and the most buckets that are dealt out at once.
+BUCKET, FAN = 16_000_000, 4096
+#: Sets and signatures, about, of one batch, and rows of text that a worker unpacks at a time.
+BATCH, MOST, ROWS = 8_000, 1_200_000, 256
+#: Shingles of the components that one task settles; a component of more is dealt to several.
+LIMIT = 2_000_000
+#: Rows that may be broadcast: ids and numbers, some 50 bytes each.
+SMALL_TABLE = 100_000
+#: Sets of a large component looked up in its first round, and in one task.
+HUBS, AT_ONCE = 16, 256
+CACHE = 250_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,76 +101,96 @@ class Shingler:
         return np.unique(mix(s))
 
 
-def set_key(shingles: np.ndarray) -> int:
-    return int(xxhash.xxh3_64_intdigest(shingles.tobytes())) - (1 << 63) if len(shingles) else 0
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set as two signed numbers."""
+    x = xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else bytes(16)
+    return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
 @lru_cache(maxsize=None)  # some 40 bands up to sets of a million
-def band(k: int) -> tuple[int, int, int, int]:
-    """Sizes from lo up to, not including, hi; H and number of segments of the band's scheme."""
+def band(k: int) -> tuple[int, int, int]:
+    """Sizes from lo up to, not including, hi; number of segments of the band's scheme."""
     lo = 1 if k == 0 else band(k - 1)[1]
     hi = max(lo + 1, lo * 4 // 3)
-    r = hi - 1
-    most = (r + r * 4 // 3) // 7
-    want = 1.15 * (most + 1) + 1
-    m = most + 1
-    while m < 4 * lo and m * (1 - np.exp(-lo / m)) < want:
+    m = (hi - 1) // 3 + 1
+    while m < 4 * lo and any(m * (1 - np.exp(-n / m)) < 1.15 * (n // 3 + 1) + 1 for n in (lo, hi - 1)):
         m += max(1, m // 20)
-    return lo, hi, most, m
+    return lo, hi, m
 
 
 def schemes(n: int) -> list[tuple[int, int, int]]:
-    """Schemes of a set of n shingles: its own band's and that of the band below if a partner may be there."""
+    """Schemes of a set of n shingles: its own band's and that of the band below if a partner may be there.
+
+    Each with its number of segments and the most in which the set may differ from a partner there."""
     k = 0
     while band(k)[1] <= n:
         k += 1
-    out = [(k, *band(k)[2:])]
+    out = [(k, band(k)[2], (n + n * 4 // 3) // 7)]
     if k and 3 * n <= 4 * (band(k)[0] - 1):
-        out.append((k - 1, *band(k - 1)[2:]))
+        out.append((k - 1, band(k - 1)[2], (n + band(k)[0] - 1) // 7))
+    return out
+
+
+def _level(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    names, levels = frequent
+    out = np.zeros(len(shingles), np.int64)
+    if len(names):
+        at = np.searchsorted(names, shingles)
+        at[at == len(names)] = 0
+        out = np.where(names[at] == shingles, levels[at], 0)
     return out
 
 
-def signatures(shingles: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """All signatures of one set, and how many of them it can spare: as long as no more than
-    so many stand in large groups, each linked partner shares one that does not. Below 0: none."""
+def signatures(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """All signatures of one set, and how many of them it can spare: as long as no more than so many
+    stand in large groups, each linked partner shares one that does not."""
     n = len(shingles)
-    hot = np.zeros(n, bool)
-    if len(frequent):
-        at = np.searchsorted(frequent, shingles)
-        at[at == len(frequent)] = 0
-        hot = frequent[at] == shingles
-    out, spare = [], 1 << 30
-    for k, most, m in schemes(n):
+    level = _level(shingles, frequent)
+    mixed = mix(shingles ^ _MULT)
+    out, spare, short = [], 1 << 30, False
+    for k, m, most in schemes(n):
         segment = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         # shingles are sorted, so that segments, taken from the high bits, are runs
         start = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        cold = ~np.logical_or.reduceat(hot, start)
-        whole = np.add.reduceat(mix(shingles ^ _MULT), start)
-        out.append(mix(whole[cold] ^ (segment[start][cold] * _MULT + np.uint64(k))))
-        spare = min(spare, int(cold.sum()) - most - 1)
-    if spare < 0:
+        rarest = np.minimum.reduceat(level, start)
+        salt = segment[start] * _MULT + np.uint64(k)
+        whole = np.add.reduceat(mixed, start)
+        free = rarest == 0
+        out.append(mix(whole[free] ^ salt[free]))
+        left = int(free.sum()) - most - 1
+        if left >= 0:
+            spare = min(spare, left)
+            continue
+        spare = 0
+        owner = np.repeat(np.arange(len(start)), np.diff(np.concatenate((start, [n]))))
+        for now in range(LEVELS):
+            if now:
+                more = rarest == now
+                out.append(mix(whole[more] ^ salt[more]))
+                count = int((rarest <= now).sum()) + int(rich.sum())
+                if count > most:
+                    break
+            rich = np.add.reduceat((level <= now).astype(np.int64), start) > 1  # whatever is left out, the rest has this level
+            own = owner[rich[owner]]
+            out.append(mix((whole[own] - mixed[rich[owner]]) ^ salt[own]))
+            if int((rarest <= now).sum()) + int(rich.sum()) > most:
+                break
+        else:
+            short = True
+    if short:
         need = n - -(-3 * n // 4) + 1
-        order = np.lexsort((mix(shingles), hot))[:need]
+        order = np.lexsort((mix(shingles), level))[:need]
         out.append(mix(shingles[order] ^ _ODD))
-    return np.concatenate(out), max(spare, -1)
+    return np.concatenate(out), spare
 
 
-def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n and key (the set's digest) of every row."""
-
-    def run(source):
-        shingle = Shingler(words)
-        for b in source:
-            found = [(len(s), set_key(s)) for s in map(shingle, b.column(1).to_pylist())]
-            n, key = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["doc_id", "n", "key"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long")
-
-
-def _frequent(docs: DataFrame, chosen: DataFrame, words: int) -> np.ndarray:
-    """Shingles that several sets of a bounded sample of sets hold."""
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text")  # SAMPLE rows at most
+def _frequent(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and their levels. Copies count as one text."""
+    h = F.xxhash64("text")
+    sample = docs.where("text is not null")
+    if n > SAMPLE:
+        sample = sample.where(h < F.lit(-(1 << 63) + int(SAMPLE / n * (1 << 64))))
+    sample = sample.groupBy(h.alias("h")).agg(F.first("text").alias("text")).select("text")
 
     def run(source):
         shingle = Shingler(words)
@@ -162,184 +198,375 @@ def _frequent(docs: DataFrame, chosen: DataFrame, words: int) -> np.ndarray:
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle(t).view(np.int64))], names=["s"])
 
-    rows = sample.mapInArrow(run, "s long").groupBy("s").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "s").limit(FREQUENT).select("s").toPandas()
-    return np.sort(rows.s.to_numpy(np.int64).view(np.uint64))
+    rows = sample.mapInArrow(run, "s long").groupBy("s").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "s").limit(FREQUENT).toPandas()
+    names = rows["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    levels = np.minimum(LEVELS - 1, 1 + np.log(rows["count"].to_numpy(float) / OFTEN) // np.log(4)).astype(np.int64)
+    return names[order], levels[order]
 
 
-def _records(docs: DataFrame, frequent: np.ndarray, n_buckets: int, words: int) -> DataFrame:
-    """bucket and block: keys and sizes of a batch's sets, then signatures (48 bits beside the bucket) with the set's number."""
+#: Signatures of a batch in a bucket; rows of docs and sets of large groups under numbers below 0.
+RECORD = "bucket long, block binary"
+#: A row of docs (doc_id, n, and the set's digest as k1, k2), a pair (k1 of a and b), or a set of a large group (a, in sig).
+FOUND = "doc_id long, n long, k1 long, k2 long, sig long, a long, b long, met long, spare_a long, spare_b long"
+NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
-    def run(source):
-        shingle = Shingler(words)
-        held: dict[int, tuple[int, np.ndarray, int]] = {}
 
-        def sealed():
-            keys = np.array(list(held), np.int64)
-            sizes, spare = (np.array([x[k] for x in held.values()], np.int32) for k in (0, 2))
-            sig = np.concatenate([x[1] for x in held.values()])
-            owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(x[1]) for x in held.values()])
-            bucket = (sig >> np.uint64(48)).astype(np.int64) % n_buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            blocks = []
-            for k in range(n_buckets):
-                at = order[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    own, back = np.unique(owner[at], return_inverse=True)
-                    low = sig[at]
-                    blocks.append((k, b"".join((np.array([len(own), len(at)], "<u4").tobytes(), keys[own].tobytes(), sizes[own].tobytes(), spare[own].tobytes(), back.astype("<u2").tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(), low.astype("<u4").tobytes()))))
-            held.clear()
-            k, block = zip(*blocks, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(block, pa.binary())], names=["bucket", "block"])
+def _found(length: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(x, pa.nulls(length, pa.int64())) for x in NAMES], names=NAMES)
 
-        for b in source:
-            for t in b.column(0).to_pylist():
-                s = shingle(t)
-                if len(s) and (key := set_key(s)) not in held:
-                    held[key] = (len(s), *signatures(s, frequent))
-                    if len(held) >= BATCH:
-                        yield sealed()
-        if held:
-            yield sealed()
 
-    return docs.select("text").mapInArrow(run, "bucket long, block binary")
+def _blocks(sig: np.ndarray, bucket: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, spare: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Signatures by bucket, 48 bits of each, with the keys, sizes and spare numbers of their sets."""
+    order = np.argsort(bucket, kind="stable")
+    there, start = np.unique(bucket[order], return_index=True)
+    for k, at in zip(there.tolist(), np.split(order, start[1:]), strict=True):
+        own, back = np.unique(owner[at], return_inverse=True)
+        low = sig[at]
+        wide = "<u2" if len(own) <= 1 << 16 else "<u4"
+        yield k, b"".join((np.array([len(own), len(at), int(wide[2])], "<u4").tobytes(), keys[own].tobytes(), sizes[own].astype("<i4").tobytes(), spare[own].astype("<i4").tobytes(), back.astype(wide).tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(), low.astype("<u4").tobytes()))
 
 
 def _open(block: bytes) -> tuple[np.ndarray, ...]:
     """Signature, key, size and spare number of each record of a block."""
-    n, m = np.frombuffer(block, "<u4", 2)
-    at = 8
+    n, m, wide = np.frombuffer(block, "<u4", 3).tolist()
+    at = 12
     parts = []
-    for count, kind in ((n, "<i8"), (n, "<i4"), (n, "<i4"), (m, "<u2"), (m, "<u2"), (m, "<u4")):
+    for count, kind in ((n, "<i8"), (n, "<i4"), (n, "<i4"), (m, f"<u{wide}"), (m, "<u2"), (m, "<u4")):
         parts.append(np.frombuffer(block, kind, count, at))
-        at += int(count) * np.dtype(kind).itemsize
+        at += count * np.dtype(kind).itemsize
     keys, sizes, spare, back, high, low = parts
     return high.astype(np.uint64) << np.uint64(32) | low, keys[back], sizes[back], spare[back]
 
 
-def _grouped(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the bucket's small groups, with how often they met, and members of its large ones, which have a sig; and what sets can spare."""
-    opened = [_open(x) for b in source for x in b.column("block").to_pylist()]
-    sig, own, size, spare = (np.concatenate(x) for x in zip(*opened, strict=True))
-    del opened
+def _gathered(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Records of blocks by signature and key, copies of a set once, and where each signature's group starts."""
+    sig, own, size, spare = (np.concatenate(x) for x in zip(*map(_open, blocks), strict=True))
     order = np.lexsort((own, sig))
     sig, own, size, spare = sig[order], own[order], size[order], spare[order]
-    fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))  # copies from several batches
+    fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))
     sig, own, size, spare = sig[fresh], own[fresh], size[fresh], spare[fresh]
     start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    n = np.diff(np.concatenate((start, [len(sig)])))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for gap in range(1, SMALL):
-        first = start[(n > gap) & (n <= SMALL)]
-        count = n[(n > gap) & (n <= SMALL)] - gap
-        i = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        fit = 3 * np.maximum(size[i], size[i + gap]) <= 4 * np.minimum(size[i], size[i + gap])
-        a.append(i[fit])
-        b.append(i[fit] + gap)
-    i, j = np.concatenate(a), np.concatenate(b)
-    order = np.lexsort((own[j], own[i]))
-    i, j = i[order], j[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(i)), bool), (own[i][1:] != own[i][:-1]) | (own[j][1:] != own[j][:-1]))))
-    met = np.diff(np.concatenate((new, [len(i)])))
-    i, j = i[new], j[new]
-    long = lambda x: pa.array(x.astype(np.int64))
-    names = ["sig", "a", "b", "met", "spare_a", "spare_b"]
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(own[i]), pa.array(own[j]), long(met), long(spare[i]), long(spare[j])], names=names)
-    big = np.repeat(n > SMALL, n)
-    whole = (sig[big] ^ np.uint64(key[0].as_py()) << np.uint64(48)).view(np.int64)
-    none = pa.nulls(len(whole), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(own[big]), none, none, long(spare[big]), none], names=names)
-
-
-def _rescued(met: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs that met less often than their sets ask for, if meetings in large groups may make up for it."""
+    return sig, own, size, spare, start
+
+
+class Deal:
+    """Buckets of signatures: FAN at most at once, each of which is dealt to `fine` ones if there are to be more."""
+
+    def __init__(self, characters: int, share: int = BUCKET, fan: int = FAN):
+        wanted = max(64, -(-characters // share))
+        self.coarse = min(wanted, fan)
+        self.fine = -(-wanted // self.coarse)
+
+    def first(self, sig: np.ndarray) -> np.ndarray:
+        return ((sig >> np.uint64(32)) % np.uint64(self.coarse)).astype(np.int64)
+
+    def then(self, bucket: int, low: np.ndarray) -> np.ndarray:
+        return bucket * self.fine + (low % np.uint64(self.fine)).astype(np.int64)
+
+    def name(self, sig: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+        """Name of a signature's group: the bits that blocks keep, and the coarse bucket."""
+        return (sig & np.uint64((1 << 48) - 1) ^ np.asarray(bucket).astype(np.uint64) << np.uint64(48)).view(np.int64)
+
+
+def _records(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], deal: Deal, words: int) -> DataFrame:
+    """The rows of docs, and the signatures of their sets, in blocks for each batch and bucket.
+
+    A signature that many sets of a batch have is that of a large group: SMALL + 1 of them go to its bucket, which tell so
+    there, and the others straight to the group's sets, so that a bucket gets few of a group from each batch."""
+    def run(source):
+        shingle = Shingler(words)
+        held: dict[tuple[int, int], tuple[int, np.ndarray, int]] = {}
+        rows: list[tuple[int | None, int, int, int]] = []
+        total = 0
+
+        def sealed():
+            blocks = []
+            if held:
+                keys = np.array([k for k, _ in held], np.int64)
+                sizes, spare = (np.array([x[k] for x in held.values()], np.int64) for k in (0, 2))
+                sig = np.concatenate([x[1] for x in held.values()])
+                owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[1]) for x in held.values()])
+                held.clear()
+                order = np.argsort(sig, kind="stable")
+                sig, owner = sig[order], owner[order]
+                fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])))
+                sig, owner = sig[fresh], owner[fresh]
+                start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+                few = np.arange(len(sig)) - np.repeat(start, np.diff(np.concatenate((start, [len(sig)])))) <= SMALL
+                bucket = deal.first(sig)
+                blocks += _blocks(sig[few], bucket[few], owner[few], keys, sizes, spare)
+                many = ~few
+                if many.any():
+                    part = np.stack((deal.name(sig[many], bucket[many]), keys[owner[many]], spare[owner[many]]))
+                    blocks.append((-1 - int(keys[0]) % deal.coarse, b"m" + part.astype("<i8").tobytes()))
+            ids = np.array([(0 if i is None else i, i is None, n, a, b) for i, n, a, b in rows], "<i8")
+            blocks.append((-1 - int(ids[0, 3]) % deal.coarse, b"r" + ids.T.tobytes()))
+            rows.clear()
+            k, block = zip(*blocks, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(block, pa.binary())], names=["bucket", "block"])
+
+        for part in (b.slice(k, ROWS) for b in source for k in range(0, b.num_rows, ROWS)):
+            for doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                s = shingle(t)
+                key = set_key(s)
+                rows.append((doc_id, len(s), *key))
+                if len(s) and doc_id is not None and key not in held:
+                    held[key] = (len(s), *signatures(s, frequent))
+                    total += len(held[key][1])
+                if total >= MOST or len(held) >= BATCH or len(rows) >= 50 * BATCH:
+                    yield sealed()
+                    total = 0
+        if rows:
+            yield sealed()
+
+    out = docs.select("doc_id", "text").mapInArrow(run, RECORD)
+    if deal.fine == 1:
+        return out
+
+    def finer(source):
+        """Blocks of some coarse buckets, dealt to their fine ones, a stretch at a time."""
+        for b in source:
+            blocks, by = [], {}
+            for k, x in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), strict=True):
+                if k < 0:
+                    blocks.append((k, x))
+                else:
+                    by.setdefault(k, []).append(x)
+            for k, opened in by.items():
+                sig, own, size, spare, _ = _gathered(opened)
+                keys, first, owner = np.unique(own, return_index=True, return_inverse=True)
+                blocks += _blocks(sig, deal.then(k, sig), owner, keys, size[first], spare[first])
+            k, block = zip(*blocks, strict=True) if blocks else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(block, pa.binary())], names=["bucket", "block"])
+
+    return out.repartition(deal.coarse, "bucket").mapInArrow(finer, RECORD)
+
+
+def _grouped(deal: Deal):
+    def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the bucket's small groups, with how often they met, and the sets of its large ones; rows as they are."""
+        long = lambda x: pa.array(x.astype(np.int64))
+        bucket = key[0].as_py()
+        if bucket < 0:
+            for b in source:
+                for x in b.column("block").to_pylist():
+                    if x[:1] == b"m":
+                        sig, own, spare = np.frombuffer(x, "<i8", offset=1).reshape(3, -1)
+                        yield _found(len(sig), sig=long(sig), a=long(own), spare_a=long(spare))
+                    else:
+                        ids, none, n, k1, k2 = np.frombuffer(x, "<i8", offset=1).reshape(5, -1)
+                        yield _found(len(ids), doc_id=pa.array(ids.astype(np.int64), mask=none.astype(bool)), n=long(n), k1=long(k1), k2=long(k2))
+            return
+        sig, own, size, spare, start = _gathered([x for b in source for x in b.column("block").to_pylist()])
+        n = np.diff(np.concatenate((start, [len(sig)])))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for gap in range(1, SMALL):
+            first = start[(n > gap) & (n <= SMALL)]
+            count = n[(n > gap) & (n <= SMALL)] - gap
+            i = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            fit = 3 * np.maximum(size[i], size[i + gap]) <= 4 * np.minimum(size[i], size[i + gap])
+            a.append(i[fit])
+            b.append(i[fit] + gap)
+        i, j = np.concatenate(a), np.concatenate(b)
+        order = np.lexsort((own[j], own[i]))
+        i, j = i[order], j[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(i)), bool), (own[i][1:] != own[i][:-1]) | (own[j][1:] != own[j][:-1]))))
+        met = np.diff(np.concatenate((new, [len(i)])))
+        i, j = i[new], j[new]
+        yield _found(len(i), a=long(own[i]), b=long(own[j]), met=long(met), spare_a=long(spare[i]), spare_b=long(spare[j]))
+        big = np.repeat(n > SMALL, n)
+        whole = deal.name(sig[big], bucket // deal.fine)
+        yield _found(len(whole), sig=long(whole), a=long(own[big]), spare_a=long(spare[big]))
+
+    return run
+
+
+def _candidates(found: DataFrame) -> DataFrame:
+    """Ties (src, dst) of k1 whose components hold every linked pair."""
+    large = found.where("sig is not null").select("sig", F.col("a").alias("key"), F.col("spare_a").alias("spare")).distinct()
+    held = saved(large.groupBy("key").agg(F.count("*").alias("held"), F.max("spare").alias("spare")), "jaccard-held")
+    bound = held.where("held > spare").select("key")
+    members = large.select("sig", "key").join(bound, "key")
+    first = members.groupBy("sig").agg(F.min("key").alias("src"))
+    # a set's ties to the first sets of its groups: one to the first of these, and these to that one, which most sets have in common
+    firsts = members.join(first, "sig").groupBy("key").agg(F.array_sort(F.collect_set("src")).alias("firsts"))
+    least = F.get("firsts", F.lit(0)).alias("src")
+    among = firsts.where("size(firsts) > 1").select(least, F.explode(F.slice("firsts", 2, F.size("firsts"))).alias("dst")).distinct()
+    ties = firsts.select(least, F.col("key").alias("dst")).union(among)
+    # a pair shares a signature more than either set can spare; those of large groups may be among them
+    met = found.where("met is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("spare_a").alias("spare_a"), F.max("spare_b").alias("spare_b"))
     for x in "ab":
-        met = met.join(held.select(F.col("key").alias(x), F.col("held").alias(f"held_{x}")), x, "left").na.fill(0, [f"held_{x}"])
-    return met.where("met > spare_a - held_a and met > spare_b - held_b").select("a", "b")
+        more = held.select(F.col("key").alias(x), F.col("held").alias(f"held_{x}"))
+        met = met.join(more, x, "left").where(F.col("met") > F.col(f"spare_{x}") - F.coalesce(f"held_{x}", F.lit(0)))
+    return met.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(ties)
+
+
+def _overlaps(flat: np.ndarray, owner: np.ndarray, k: int, shingles: np.ndarray) -> np.ndarray:
+    """How many of the shingles each of k sets has; flat holds all sets' shingles in order, owner whose they are."""
+    left, right = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
+    n = right - left
+    at = np.arange(n.sum()) + np.repeat(left - np.cumsum(n) + n, n)
+    return np.bincount(owner[at], minlength=k)
+
+
+def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat, size = np.concatenate(sets), np.array(list(map(len, sets)))
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order], size
+
+
+def settle(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
+    """Number of the first set of each set's component, by exact overlaps."""
+    k = len(sets)
+    label = np.arange(k)
+    if k == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        return label * 0 if 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common) else label
+    flat, owner, size = _index(sets)
+    open_, n_open = np.ones(k, bool), np.ones(k, np.int64)  # not looked up yet, and how many of them each label has
+    left = k
+    x = 0
+    while left and n_open[label[x]] < left:
+        common = _overlaps(flat, owner, k, sets[x])
+        hit = np.unique(label[100 * common >= percent * (size + size[x] - common)])
+        open_[x] = False
+        n_open[label[x]] -= 1
+        left -= 1
+        if len(hit) > 1:
+            n_open[hit[0]] = n_open[hit].sum()
+            n_open[hit[1:]] = 0
+            name = np.arange(k)
+            name[hit] = hit[0]
+            label = name[label]
+        if left:
+            most = n_open.argmax()  # next, one that is not with the most of those left
+            rest = np.flatnonzero(open_ & (label != most))
+            x = int(rest[0]) if len(rest) else int(np.flatnonzero(open_)[0])
+    return label
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, k1, k2, ...) with the texts of its documents. A short list is broadcast behind a count of its rows."""
+    if wanted.count() <= SMALL_TABLE:
+        wanted = F.broadcast(wanted)
+    return docs.select("doc_id", "text").where("doc_id is not null").join(wanted, "doc_id")
+
+
+def _meant(rows: list[dict], shingle: Shingler) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
+    """doc_id and shingles by digest: rows of one doc_id may differ or repeat, and only the texts meant count, once each."""
+    out = {}
+    for r in rows:
+        key = (r["k1"], r["k2"])
+        if key not in out and set_key(s := shingle(r["text"])) == key:
+            out[key] = (r["doc_id"], s)
+    return out
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs as src and dst (doc_id of the sets' first copies)."""
-    left = arrays.select(F.col("key").alias("a"), F.col("rep").alias("src"), F.col("shingles").alias("x"))
-    right = arrays.select(F.col("key").alias("b"), F.col("rep").alias("dst"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    test = both.select("src", "dst", common.alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return test.where(f"100 * i >= {percent} * (n - i)").select("src", "dst")
+def _settled(percent: int, words: int):
+    def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, by = Shingler(words), {}
+        for b in source:
+            for r in b.to_pylist():
+                by.setdefault(r["component"], {}).update(_meant([r], shingle))
+        src, dst = [], []
+        for sets in by.values():
+            ids = [i for i, _ in sets.values()]
+            if len(ids) > 1:
+                label = settle([s for _, s in sets.values()], percent)
+                at = np.flatnonzero(label != np.arange(len(ids)))
+                src += [ids[k] for k in at]
+                dst += [ids[k] for k in label[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return run
+
+
+def _looked_up(percent: int, words: int):
+    def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between the hubs and the sets of a block."""
+        rows = [r for b in source for r in b.to_pylist()]
+        shingle = Shingler(words)
+        hubs, sets = ([*_meant([r for r in rows if r["hub"] == x], shingle).values()] for x in (True, False))
+        src, dst = [], []
+        if sets:
+            flat, owner, size = _index([s for _, s in sets])
+            ids = np.array([i for i, _ in sets])
+            for i, s in hubs:
+                common = _overlaps(flat, owner, len(ids), s)
+                to = ids[100 * common >= percent * (size + len(s) - common)].tolist()
+                src += [i] * len(to)
+                dst += to
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return run
+
+
+def _large(docs: DataFrame, sets: DataFrame, percent: int, words: int) -> DataFrame | None:
+    """Links that tie together what belongs together in the components of `sets` (component, blocks, doc_id, k1, k2)."""
+    sets = saved(sets, "jaccard-large")
+    if sets.isEmpty():
+        return None
+    texts = saved(_texts(docs, sets), "jaccard-large-texts").withColumn("block", F.pmod(F.xxhash64("k2", "k1"), F.col("blocks")))
+    names = sets.select("component", "doc_id").distinct()
+    edges, done, most = None, None, HUBS
+    while True:
+        own = names
+        if edges is not None:
+            own = own.join(components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left")
+            own = own.select("component", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        else:
+            own = own.withColumn("label", F.col("doc_id"))
+        if done is not None:
+            own = own.join(done, "doc_id", "left_anti")
+        own = saved(own, "jaccard-open")
+        counts = own.groupBy("component", "label").agg(F.count("*").alias("n"))
+        main = counts.groupBy("component").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("component", F.col("top.label").alias("main"))
+        # of the sets not looked up yet, those that are not with the most of them
+        free = own.join(main, "component").where("label <> main")
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(most))
+        hubs = saved(free.groupBy("component", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id")), "jaccard-hubs")
+        if hubs.isEmpty():
+            return edges
+        chunks = max(1, most // AT_ONCE)
+        hub_texts = texts.join(hubs, ["component", "doc_id"])
+        hub_texts = hub_texts.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), (F.col("slot") % chunks).alias("chunk"), F.lit(True).alias("hub"), "doc_id", "k1", "k2", "text")
+        block_texts = texts.join(hubs.select("component").distinct(), "component").select("component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.lit(False).alias("hub"), "doc_id", "k1", "k2", "text")
+        new = saved(hub_texts.union(block_texts).groupBy("component", "block", "chunk").applyInArrow(_looked_up(percent, words), "src long, dst long"), "jaccard-edges").where("src <> dst")
+        edges = new if edges is None else edges.union(new)
+        used = hubs.select("doc_id")
+        done = used if done is None else done.union(used)
+        most *= 4
 
 
 def join(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (first copy of the same set), one row for each row of docs.
+    """doc_id, n_shingles, component_id and class_id (smallest doc_id with the same set), one row for each row of docs.
 
     Null and empty texts, and texts of white space alone, have no shingles and
     are components of their own. Texts of fewer words than a shingle have one
-    shingle. Repeated rows are copies. Extra columns are ignored.
+    shingle. Repeated rows are copies; rows of one doc_id with different texts tie
+    these texts together, as a component is named by ids. A row with a null
+    doc_id ties nothing and has the component of its copies, null without any.
+    Extra columns are ignored.
     """
     if percent != 75:
         raise ValueError("bands and deletions are laid out for a similarity of 0.75")
-    spark = docs.sparkSession
-    of = saved(sets(docs, words), "jaccard-sets")
-    classes = of.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    chosen = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select(F.col("rep").alias("doc_id"))
-    # the estimate gets its rows by id from the driver, which fixes their number for the broadcast
-    ids = [(r.doc_id,) for r in chosen.collect() if r.doc_id is not None]
-    frequent = _frequent(docs, spark.createDataFrame(ids, "doc_id long"), words)
-    size = docs.select(F.sum(F.length("text")).alias("n")).first().n or 0
-    n_buckets = max(64, -(-size // BUCKET))
-    found = saved(_records(docs, frequent, n_buckets, words).groupBy("bucket").applyInArrow(_grouped, "sig long, a long, b long, met long, spare_a long, spare_b long"), "jaccard-groups")
-    release(spark)
-    large = found.where("sig is not null").select("sig", F.col("a").alias("key"), F.col("spare_a").alias("spare"))
-    # sets with more signatures in large groups than they can spare; all others have met their partners already
-    held = saved(large.groupBy("key").agg(F.count("*").alias("held"), F.first("spare").alias("spare")), "jaccard-held")
-    bound = held.where("held > spare").join(classes.select("key", "n"), "key").select("key", "n")
-    members = saved(large.select("sig", "key").join(bound, "key"), "jaccard-members")
-    alike = lambda x, y: 3 * F.greatest(x, y) <= 4 * F.least(x, y)  # noqa: E731  sizes that a link allows
-    first = members.groupBy("sig").agg(F.min_by(F.struct(F.col("key").alias("a"), F.col("n").alias("m")), "key").alias("h")).select("sig", "h.*").join(members, "sig").where(alike("m", "n") & (F.col("a") != F.col("key"))).select("a", F.col("key").alias("b"))
-    # a set's segments that a linked partner need not have in common are H at most: the others meet in small groups, but for those in large ones
-    met = found.where("sig is null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("spare_a").alias("spare_a"), F.max("spare_b").alias("spare_b"))
-    met = met.where("met > spare_a and met > spare_b").select("a", "b").union(_rescued(met.where("not (met > spare_a and met > spare_b)"), held.select("key", "held")))
-    pairs = saved(met.union(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("key")).distinct()
-    reps = wanted.join(classes, "key").select("key", "rep")
-
-    def run(source):
-        shingle, seen = Shingler(words), set()
-        for b in source:
-            out = []
-            for key, rep, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                # rows of one doc_id may differ or repeat: the set that is meant, once in a task
-                if key not in seen and set_key(s := shingle(t)) == key:
-                    seen.add(key)
-                    out.append((key, rep, s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["key", "rep", "shingles"])
-
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep").select("key", "rep", "text")
-    arrays = saved(texts.mapInArrow(run, "key long, rep long, shingles array<long>"), "jaccard-arrays")
-    release(spark)
-    edges = saved(_verified(pairs, arrays, percent), "jaccard-edges")
-    label = components(edges)
-    names = classes.select("key", "rep")
-    done: DataFrame | None = None
-    while True:
-        # groups that still hold sets of several components
-        now = members.join(names, "key").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "key", "n", F.coalesce("component", "rep").alias("component"))
-        counts = now.groupBy("sig", "component").agg(F.count("*").alias("n"))
-        main = counts.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("sig", F.col("top.component").alias("main"))
-        now = now.join(main, "sig")
-        free = now.where("component <> main")
-        if done is not None:
-            free = free.join(done, ["sig", "key"], "left_anti")
-        hubs = saved(free.groupBy("sig", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct("key", "component", "n")).alias("hub")).select("sig", F.col("hub.key").alias("a"), F.col("hub.component").alias("of"), F.col("hub.n").alias("m")), "jaccard-hubs")
-        if hubs.isEmpty():
-            break
-        more = hubs.join(now, "sig").where((F.col("of") != F.col("component")) & alike("m", "n")).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-        new = saved(_verified(more.join(pairs, ["a", "b"], "left_anti"), arrays, percent), "jaccard-edges")
-        members = saved(now.select("sig", "key", "n"), "jaccard-members")
-        used = hubs.select("sig", F.col("a").alias("key"))
-        done = used if done is None else saved(done.union(used), "jaccard-done")
-        if not new.isEmpty():
-            edges = edges.union(new)
-            label = components(edges)
-    named = classes.select("key", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    out = of.join(named.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
+    whole = docs.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("n")).first()
+    deal = Deal(whole.n or 0)
+    records = _records(docs, _frequent(docs, whole.rows, words), deal, words)
+    found = saved(records.groupBy("bucket").applyInArrow(_grouped(deal), FOUND), "jaccard-found")
+    rows = found.where("k1 is not null").select("doc_id", "n", "k1", "k2")
+    classes = saved(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
+    tied = components(_candidates(found)).select(F.col("id").alias("k1"), "component")
+    wanted = tied.join(classes.where("rep is not null"), "k1").select("component", F.col("rep").alias("doc_id"), "k1", "k2", "n")
+    wanted = saved(wanted.join(wanted.groupBy("component").agg(F.sum("n").alias("shingles")), "component"), "jaccard-tied")
+    fits = wanted.where(F.col("shingles") <= LIMIT)
+    tasks = -(-4 * (fits.agg(F.sum("n")).first()[0] or 1) // LIMIT)
+    small = fits.select("component", "doc_id", "k1", "k2", F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"))
+    edges = saved(_texts(docs, small).groupBy("task").applyInArrow(_settled(percent, words), "src long, dst long"), "jaccard-edges")
+    more = _large(docs, wanted.where(F.col("shingles") > LIMIT).select("component", F.ceil(F.col("shingles") / LIMIT).cast("long").alias("blocks"), "doc_id", "k1", "k2"), percent, words)
+    label = components(edges if more is None else edges.union(more)).withColumnRenamed("id", "rep")
+    named = classes.join(label, "rep", "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"))
+    out = rows.join(named.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "component"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))

@@ -3,9 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import jaccard
+from millrace.llm.jaccard import Deal
 
 
 def shingles(text):
@@ -69,13 +71,87 @@ def test_real(spark):
     assert jaccard.join(docs.limit(0)).collect() == []
 
 
+def test_rounds_of_a_large_component(spark, monkeypatch):
+    """Components that no task holds, dealt to blocks, and buckets dealt twice."""
+    rows = made(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("LIMIT", 1_000), ("HUBS", 2), ("AT_ONCE", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard, "Deal", lambda n: type("Few", (Deal,), {})(n, 500, 16))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == brute(rows)
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, rows twice, clashing names, one passage in every text."""
+    same = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, same), (None, "alone here"), (7, same), (7, same), (8, same + " x"), (9, "own text"), (9, same + " y z"), (None, None), (10, None)]
+    got = jaccard.join(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, component_id int, k1 int, n int")).collect()
+    assert len(got) == len(rows)
+    seen = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str)
+    assert seen == sorted([(None, 56, 7), (None, 1, None), (7, 56, 7), (7, 56, 7), (8, 57, 7), (9, 1, 7), (9, 58, 7), (None, 0, None), (10, 0, 10)], key=str)
+
+
+@pytest.mark.parametrize("hot", [0, 0.5, 0.95, 1])
+def test_signatures_guarantee(hot):
+    """Linked sets share more signatures than either can spare, whichever shingles are frequent."""
+    r = np.random.default_rng(5)
+    for n in [*range(1, 40), 75, 99, 100, 133, 260, 700] * 3:
+        a = np.unique(r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        n = len(a)
+        names = np.sort(r.permutation(a)[: int(hot * n)])
+        frequent = names, r.integers(1, jaccard.LEVELS, len(names))
+        for _ in range(6):
+            lose = int(r.integers(0, n // 4 + 1))
+            kept = r.permutation(a)[: n - lose]
+            gain = int(r.integers(0, max(0, len(kept) * 4 // 3 - n) + 1))
+            b = np.unique(np.concatenate((kept, r.integers(0, 1 << 63, gain, np.uint64))))
+            common = len(np.intersect1d(a, b))
+            if 100 * common < 75 * (len(a) + len(b) - common):
+                continue
+            (x, spare_x), (y, spare_y) = (jaccard.signatures(s, frequent) for s in (a, b))
+            assert len(np.intersect1d(x, y)) > max(spare_x, spare_y)
+
+
+def test_neighbourhoods_are_laid():
+    """A set with too few rare segments has the neighbourhoods of these, before its frequent segments or single shingles."""
+    r = np.random.default_rng(6)
+    a = np.unique(r.integers(0, 1 << 63, 300, np.uint64) * np.uint64(2))
+    whole = len(jaccard.signatures(a, (a[:0], np.zeros(0, np.int64)))[0])
+    names = np.sort(r.permutation(a)[: len(a) * 6 // 10])
+    found, spare = jaccard.signatures(a, (names, np.ones(len(names), np.int64)))
+    assert spare == 0 and len(found) > whole
+    k, m, most = jaccard.schemes(len(a))[0]
+    segment = ((a >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    name = next(x for x in np.unique(segment) if (rare := ~np.isin(a[segment == x], names)).sum() > 1)
+    less = a[segment == name][1:]
+    sign = jaccard.mix(np.add.reduce(jaccard.mix(less ^ jaccard._MULT)) ^ (name * jaccard._MULT + np.uint64(k)))
+    assert sign in found
+
+
+def test_settle():
+    r = random.Random(4)
+    for _ in range(30):
+        words = list(range(40))
+        sets = []
+        for _ in range(r.randrange(2, 40)):
+            r.shuffle(words)
+            sets.append(np.array(sorted(r.sample(range(r.choice((8, 14, 30))), r.randrange(1, 8))), np.uint64))
+        root = list(range(len(sets)))
+        for _ in sets:
+            for i, j in itertools.combinations(range(len(sets)), 2):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                    root[i] = root[j] = min(root[i], root[j])
+        assert jaccard.settle(sets).tolist() == root
+
+
 def test_bands_guarantee():
+    """Sets of sizes that a link allows meet in the smaller one's scheme and differ there in no more than it says."""
     for n in range(1, 3000):
-        own = jaccard.schemes(n)
-        k, most, m = own[0]
-        lo, hi = jaccard.band(k)[:2]
-        assert lo <= n < hi and m > most
-        for s in (n, n * 4 // 3):
-            union = (4 * (n + s)) // 7
-            assert n + s - 2 * -(-3 * union // 4) <= most + 1
-            assert k in [x[0] for x in jaccard.schemes(s)]
+        k, _, most = jaccard.schemes(n)[0]
+        for s in {n, n + 1, n * 7 // 6, n * 4 // 3}:
+            if 3 * s <= 4 * n:
+                union = 4 * (n + s) // 7
+                apart = n + s - 2 * -(-3 * union // 4)
+                there = {x: bound for x, _, bound in jaccard.schemes(s)}
+                assert k in there and apart <= min(most, there[k]) + 1 and (n + s) // 7 <= min(most, there[k])
