@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import Cache, bare
+from millrace.llm.words import Cache, bare, lowered, stem
 
 #: Words whose counts a worker keeps.
 CACHE = 600_000
@@ -50,10 +50,16 @@ class Counter:
             if not 0xD800 <= ord(c) < 0xE000:
                 out = "".join(x for x, _ in level.pre_tokenize_str(c))
                 self.sign.update(zip(c.encode(), out, strict=True))
-        self.words = Cache(lambda lumps: map(self.lump, lumps), CACHE)
+        self.words = Cache(self.lump, CACHE)
 
     def lump(self, lump: str) -> int:
-        lump = "".join(c.lower() for c in unicodedata.normalize("NFC", lump))  # letter by letter: no final sigma
+        core = stem(lump)
+        if core is not lump:
+            return self.words[core] + self.words[lump[len(core) :]]
+        if lump.isascii():
+            lump = lump.lower()
+        else:
+            lump = "".join(c.lower() for c in unicodedata.normalize("NFC", lump))  # letter by letter: no final sigma
         return sum(map(self.pretoken, self.pattern.findall(lump)))
 
     def _sign(self, byte: int) -> str:
@@ -94,9 +100,8 @@ class Counter:
         if "<" in text and self.specials.search(text):
             parts = self.specials.split(text)
             return len(parts) // 2 + sum(map(self.text, parts[::2]))
-        lumps = bare(text)
-        self.words.extend(lumps)
-        return sum(map(self.words.__getitem__, lumps))
+        low = lowered(text)
+        return sum(map(self.words.__getitem__, bare(text if low is None else low)))
 
 
 @lru_cache(maxsize=2)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import saved, scratch
-from millrace.llm.words import Cache, bare, tokenizer
+from millrace.llm.words import Cache, bare, lowered, stem, tokenizer
 
 MAGIC, VERSION = b"MRRC", 1
 HEAD, LENGTH, CHECK = struct.Struct("<4sHH"), struct.Struct("<Q"), struct.Struct("<I")
@@ -36,6 +36,10 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 NULL = -(1 << 63)
 #: Letters that the Unicode normal form leaves alone and whose lower case is one letter.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: The endings that the tokenizer cuts off.
+SHORT = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
+#: Its pre-tokens of ASCII in lower case.
+ASCII = re.compile("|".join((*SHORT, "[a-z]+|[0-9]|[^a-z0-9]+")))
 #: Words whose ids a worker keeps.
 CACHE = 600_000
 
@@ -63,7 +67,7 @@ def unframe(data: memoryview, at: int) -> tuple[bytes, int]:
 
 
 def signs(path: str) -> dict[int, str] | None:
-    """For a tokenizer that lower-cases, keeps runs of letters whole and signs their bytes: the signs of Latin letters.
+    """For a tokenizer that lower-cases, cuts runs of letters, digits and runs of signs, and signs their bytes: the signs of Latin letters.
 
     None for any other; its words all go through its whole chain."""
     from tokenizers.pre_tokenizers import ByteLevel
@@ -74,8 +78,7 @@ def signs(path: str) -> dict[int, str] | None:
     cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())
     if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cut] != ["Split", "ByteLevel"] or cut[1]["add_prefix_space"]:
         return None
-    before, letters, _ = cut[0]["pattern"].get("Regex", "").partition(r"|[\p{L}]+|")
-    if not letters or not cut[0]["invert"] or any(x[:1] != "'" for x in before.split("|")):
+    if not cut[0]["invert"] or cut[0]["pattern"].get("Regex") != "|".join((*SHORT, r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")):
         return None
     level = ByteLevel(add_prefix_space=False, use_regex=False)
     return {k: "".join(x for x, _ in level.pre_tokenize_str(chr(k))) for k in range(0xC0, 0x100)}
@@ -84,37 +87,43 @@ def signs(path: str) -> dict[int, str] | None:
 class Encoder:
     """Ids of whole texts as bytes, two or four for each id, by way of a cache of lumps.
 
-    Words of Latin letters alone, most of those that occur, go to the library's
-    model without the steps before it, which would leave them as they are but for case."""
+    Words of Latin letters and lumps of printable ASCII, most of what occurs, go to the library's
+    model without the steps before it, which are done here; other lumps to the whole chain."""
 
     def __init__(self, path: str, end: int):
         self.library = tokenizer(path)
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end], self.dtype).tobytes()
+        self.kind = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.kind == "H" else "<u4")
+        self.end = self._bytes([end])
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.signs, self.model = signs(path), self.library.model
         self.lumps = Cache(self.ids, CACHE)
 
-    def _bytes(self, ids: list[list[int]]) -> Iterator[bytes]:
-        raw, at = np.array([i for x in ids for i in x], self.dtype).tobytes(), 0
-        for x in ids:
-            yield raw[at : (at := at + len(x) * self.dtype.itemsize)]
-
-    def ids(self, lumps: list[str]) -> Iterator[bytes]:
-        low = {x: x.lower() for x in lumps if LATIN.fullmatch(x)} if self.signs else {}
-        words = list(set(low.values()))
-        known = dict(zip(words, self._bytes([[t.id for t in self.model.tokenize(w if w.isascii() else w.translate(self.signs))] for w in words]), strict=True))
-        rest = [x for x in lumps if x not in low]
-        if rest:
-            known.update(zip(rest, self._bytes([e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]), strict=True))
-        return (known[low.get(x, x)] for x in lumps)
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
+    def ids(self, lump: str) -> bytes:
+        if self.signs is not None:
+            if LATIN.fullmatch(lump):
+                low = lump.lower()
+                if low != lump:
+                    return self.lumps[low]
+                return self._bytes([t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.signs))])
+            if lump.isascii() and lump.isprintable():
+                parts = ASCII.findall(lump.lower())
+                if len(parts) > 1:
+                    return b"".join(map(self.lumps.__getitem__, parts))
+                return self._bytes([t.id for t in self.model.tokenize(parts[0])])
+        core = stem(lump)
+        if core is not lump:
+            return self.lumps[core] + self.lumps[lump[len(core) :]]
+        return self._bytes(self.library.encode(lump, add_special_tokens=False).ids)
 
     def text(self, text: str) -> bytes:
         if any(s in text for s in self.specials):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() + self.end
-        lumps = bare(text)
-        self.lumps.extend(lumps)
-        return b"".join(map(self.lumps.__getitem__, lumps)) + self.end
+            return self._bytes(self.library.encode(text, add_special_tokens=False).ids) + self.end
+        low = lowered(text) if self.signs is not None else None
+        return b"".join(map(self.lumps.__getitem__, bare(text if low is None else low))) + self.end
 
 
 @lru_cache(maxsize=2)

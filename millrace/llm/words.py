@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import lru_cache
 
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
@@ -32,46 +32,42 @@ def spaced(text: str) -> list[str]:
 
 
 def stem(lump: str) -> str:
-    """The lump without the signs at its end, if they make pre-tokens of their own; else the lump."""
+    """The lump without the signs at its end, if they make pre-tokens of their own; else the lump.
+
+    They do after an ASCII letter or digit, whatever normal form and lower case make of
+    the text; other letters may end in a mark then, which goes with the signs."""
     core = lump.rstrip(SIGNS)
-    return core if core and core is not lump and core[-1].isalnum() else lump
+    return core if core and core is not lump and core[-1].isascii() and core[-1].isalnum() else lump
+
+
+def lowered(text: str) -> str | None:
+    """The text in lower case where it has Latin-1 characters alone, which the Unicode normal form leaves as they are; else None."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return text.lower()
 
 
 class Cache(dict):
-    """What `make` gives for lumps, in lists of new ones at a time.
+    """What `make` gives for a lump, made when it is first asked for.
 
     Beyond `most` entries all become old; those asked for again are taken over from
     there, the others go when it happens next. So what occurs often is made once."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int):
+    def __init__(self, make: Callable[[str], object], most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
-    def _lacks(self, lump: str) -> bool:
-        if lump in self:
-            return False
-        if (known := self.old.get(lump)) is None:
-            return True
-        self[lump] = known
-        return False
-
-    def extend(self, lumps: Iterable[str]) -> None:
-        if len(self) > self.most:
+    def __missing__(self, lump: str):
+        known = self.old.get(lump)
+        if known is None:
+            known = self.make(lump)
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        core, split = set(), []
-        for x in filter(self._lacks, [x for x in set(lumps) if x not in self]):
-            s = x if x.isalnum() else stem(x)
-            if s is x:
-                core.add(x)
-            else:
-                split.append((x, s))
-                core.update(filter(self._lacks, (s, x[len(s) :])))
-        new = list(core)
-        for k in range(0, len(new), 20_000):
-            self.update(zip(new[k : k + 20_000], self.make(new[k : k + 20_000]), strict=True))
-        for x, s in split:
-            self[x] = self[s] + self[x[len(s) :]]
+        self[lump] = known
+        return known
 
 
 @lru_cache(maxsize=4)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -43,6 +44,16 @@ def test_counts_are_the_librarys(docs, real):
             assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(text[r.doc_id].encode()), n > 100), r.doc_id
 
 
+@pytest.mark.parametrize("shape", ["{}", "a{}", "{}.", "a{}..b", "É{}!'s"])
+def test_every_character(shape):
+    """Each assigned code point, alone, after a letter and before signs, gives the library's ids and counts."""
+    texts = [shape.format(chr(k)) for k in range(0x110000) if unicodedata.category(chr(k)) not in ("Cn", "Co", "Cs")]
+    encoder, counter = records.encoder(WORD, 2), counts.counter(WORD)
+    for text, want in zip(texts, Tokenizer.from_file(WORD).encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.text(text), "<u2").tolist() == [*want.ids, 2], repr(text)
+        assert counter.text(text) == len(want.ids), repr(text)
+
+
 def test_records_hold_the_librarys_ids(docs, real):
     library = Tokenizer.from_file(WORD)
     for table in (docs, real):
