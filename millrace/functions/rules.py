@@ -17,43 +17,200 @@ USER_AGENT = "millrace/1.0"
 BOILERPLATE = ("cookie", "subscribe", "all rights reserved", "©", "Ⓒ", "ⓒ", "(c)", "sign up", "log in", "share this", "javascript")
 # Keywords of each domain, looked up in this order; the first domain that matches is it.
 KEYWORDS = {
-    "Health": "health,doctor,hospital,vaccine,vaccinat,disease,medicine,clinic,fever,covid,cholera,malaria,wash your hands,symptom,patient".split(","),
-    "Agriculture": "farm,crop,harvest,seed,fertilizer,livestock,soil,plant,maize,irrigation,pest,drought".split(","),
-    "Security": "police,security,emergency,fire,accident,road,traffic,safety,flood,warning,danger,evacuate,curfew".split(","),
-    "Education": "school,student,teacher,exam,learn,education,class,university,scholarship,read,book".split(","),
-    "Governance": "government,tax,vote,election,citizen,license,permit,register,law,court,ministry,public,id card,passport".split(","),
+    "Health": [
+        "health", "doctor", "hospital", "vaccine", "vaccinat", "disease", "medicine", "clinic", "fever", "covid",
+        "cholera", "malaria", "wash your hands", "symptom", "patient",
+    ],
+    "Agriculture": [
+        "farm", "crop", "harvest", "seed", "fertilizer", "livestock", "soil", "plant", "maize", "irrigation", "pest",
+        "drought",
+    ],
+    "Security": [
+        "police", "security", "emergency", "fire", "accident", "road", "traffic", "safety", "flood", "warning",
+        "danger", "evacuate", "curfew",
+    ],
+    "Education": [
+        "school", "student", "teacher", "exam", "learn", "education", "class", "university", "scholarship", "read",
+        "book",
+    ],
+    "Governance": [
+        "government", "tax", "vote", "election", "citizen", "license", "permit", "register", "law", "court",
+        "ministry", "public", "id card", "passport",
+    ],
 }
 # What the sources are called, where they are, and under what licence.
 TICO = {"source": "TICO-19 (Translation Initiative for COVID-19)", "url": "https://tico-19.github.io/", "corpus": "TICO-19", "license": "CC BY 4.0"}
 TATOEBA = {"source": "Tatoeba", "url": "https://tatoeba.org/", "corpus": "Tatoeba", "license": "CC BY 2.0 FR"}
-
-_FIELD, _ENTRY = "article p; main p; .field-item p; p", "article p; main p; .entry-content p; p"
-
-
-def _site(name, domain, source, starts, selectors, max_pages, patterns=(), verify_ssl=True, min_words=MIN_WORDS, max_records=None, pagination=None):
-    return {
-        "name": name, "domain": domain, "source": source, "start_urls": starts.split(), "link_patterns": list(patterns), "content_selectors": selectors.split("; "),
-        "max_pages": max_pages, "split_sentences": True, "verify_ssl": verify_ssl, "min_words": min_words, "max_records": max_records, "pagination": pagination,
-    }
-
-
+# What a site has where it says nothing else.
+SITE_DEFAULTS = {"link_patterns": [], "max_pages": 25, "split_sentences": True, "verify_ssl": True, "min_words": MIN_WORDS, "max_records": None, "pagination": None}
 # The sites, in order.
 SITES = [
-    _site("who_covid_qna", "Health", "WHO", "https://www.who.int/news-room/questions-and-answers/item/coronavirus-disease-covid-19", ".sf-content-block p; article p; main p; p", 15),
-    _site("who_fact_sheets", "Health", "WHO", "https://www.who.int/news-room/fact-sheets", "article p; main p; p", 100, [r"/news-room/fact-sheets/detail/"]),
-    _site("unicef_parenting", "Health", "UNICEF", "https://www.unicef.org/parenting/health", "article p; main p; p", 15, [r"/parenting/"]),
-    _site("redcross_news", "Health", "Kenya Red Cross", "https://www.redcross.or.ke/category/news https://www.redcross.or.ke/blog", _ENTRY, 25, [r"redcross\.or\.ke/(?!about-us|careers|contact-us|governance|impact-stories|category|tag|disclaimer|donate|blog|newsletter|get-involved|our-work|comments|feed|wp-)[a-z0-9-]+/?$"]),
-    _site("amref_kenya", "Health", "Amref Health Africa", "https://amref.org/kenya/news/", _ENTRY, 40, [r"amref\.org/kenya/(?!board-members|consulting|about|contact|careers|donate|news)[a-z0-9-]+/$"], pagination={"template": "https://amref.org/kenya/news/page/{n}/", "start": 2, "pages": 2}),
-    _site("ntsa", "Security", "NTSA", "https://www.ntsa.go.ke/news", _FIELD, 15, [r"/news/"], verify_ssl=False),
-    _site("kenya_met", "Security", "Kenya Meteorological Department", "https://meteo.go.ke/news", _FIELD, 20, [r"/news/", r"/node/"], verify_ssl=False),
-    _site("kilimo", "Agriculture", "Ministry of Agriculture", "https://kilimo.go.ke/category/news/", "article p; .entry-content p; main p; p", 20, [r"kilimo\.go\.ke/\d{4}/", r"/category/news/"], verify_ssl=False),
-    _site("education_ke", "Education", "Ministry of Education", "https://www.education.go.ke/news", _FIELD, 20, [r"/news/", r"/node/"], verify_ssl=False),
-    _site("kra_notices", "Governance", "Kenya Revenue Authority", "https://www.kra.go.ke/news-center/public-notices", _FIELD, 40, [r"/news-center/"], pagination={"template": "https://www.kra.go.ke/news-center/public-notices?page={n}", "start": 1, "pages": 3}),
-    _site("ecitizen", "Governance", "eCitizen Kenya", "https://www.ecitizen.go.ke", "main p; article p; p", 15),
-    _site("nps_kenya", "Security", "National Police Service", "https://www.nationalpolice.go.ke/news", _FIELD, 15, [r"/news/"], verify_ssl=False),
-    _site("infonet_agri", "Agriculture", "Infonet-Biovision (Biovision Africa Trust)", "https://infonet-biovision.org/crops-fruits-vegetables https://infonet-biovision.org/animal-health-and-disease", "article p, article li; main p, main li; .field--name-body p, .field--name-body li; p", 60, [r"infonet-biovision\.org/(PlantHealth|crops-fruits-vegetables|animal-health-and-disease|indigenous-plants|plant_pests|agro-ecological-zones)/[a-z0-9-]+"], min_words=7, max_records=2500),
-    _site("nema_insights", "Security", "National Environment Management Authority", "https://nema.go.ke/category/insights/article/", _ENTRY, 20, [r"nema\.go\.ke/(?!board-of-management|contact-us|county-offices|knowledge-base|nema-departments|category|tag|wp-|about|licensing)[a-z0-9-]+/$"]),
-    _site("ca_cyber", "Security", "Communications Authority of Kenya", "https://www.ca.go.ke/cyber-security", "article p, article li; main p, main li; p", 5),
-    _site("eacc_news", "Governance", "Ethics and Anti-Corruption Commission", "https://eacc.go.ke/default/news/ https://eacc.go.ke/default/category/news/", _ENTRY, 15, [r"eacc\.go\.ke/default/(?!category|tag|wp-content|wp-includes|contact-us|faqs|by-email|by-phone|Downloads|achievements|news/?$)[a-zA-Z0-9-]+/?$"]),
-    _site("kicd_news", "Education", "Kenya Institute of Curriculum Development", "https://kicd.ac.ke/news", "article p; main p; .item-page p; p", 5),
+    SITE_DEFAULTS | {
+        "name": "who_covid_qna",
+        "domain": "Health",
+        "source": "WHO",
+        "start_urls": ["https://www.who.int/news-room/questions-and-answers/item/coronavirus-disease-covid-19"],
+        "content_selectors": [".sf-content-block p", "article p", "main p", "p"],
+        "max_pages": 15,
+    },
+    SITE_DEFAULTS | {
+        "name": "who_fact_sheets",
+        "domain": "Health",
+        "source": "WHO",
+        "start_urls": ["https://www.who.int/news-room/fact-sheets"],
+        "link_patterns": ["/news-room/fact-sheets/detail/"],
+        "content_selectors": ["article p", "main p", "p"],
+        "max_pages": 100,
+    },
+    SITE_DEFAULTS | {
+        "name": "unicef_parenting",
+        "domain": "Health",
+        "source": "UNICEF",
+        "start_urls": ["https://www.unicef.org/parenting/health"],
+        "link_patterns": ["/parenting/"],
+        "content_selectors": ["article p", "main p", "p"],
+        "max_pages": 15,
+    },
+    SITE_DEFAULTS | {
+        "name": "redcross_news",
+        "domain": "Health",
+        "source": "Kenya Red Cross",
+        "start_urls": ["https://www.redcross.or.ke/category/news", "https://www.redcross.or.ke/blog"],
+        "link_patterns": [
+            r"redcross\.or\.ke/(?!about-us|careers|contact-us|governance|impact-stories|category|tag|disclaimer|donate|blog|newsletter|get-involved|our-work|comments|feed|wp-)[a-z0-9-]+/?$",
+        ],
+        "content_selectors": ["article p", "main p", ".entry-content p", "p"],
+    },
+    SITE_DEFAULTS | {
+        "name": "amref_kenya",
+        "domain": "Health",
+        "source": "Amref Health Africa",
+        "start_urls": ["https://amref.org/kenya/news/"],
+        "link_patterns": [r"amref\.org/kenya/(?!board-members|consulting|about|contact|careers|donate|news)[a-z0-9-]+/$"],
+        "content_selectors": ["article p", "main p", ".entry-content p", "p"],
+        "max_pages": 40,
+        "pagination": {"template": "https://amref.org/kenya/news/page/{n}/", "start": 2, "pages": 2},
+    },
+    SITE_DEFAULTS | {
+        "name": "ntsa",
+        "domain": "Security",
+        "source": "NTSA",
+        "start_urls": ["https://www.ntsa.go.ke/news"],
+        "link_patterns": ["/news/"],
+        "content_selectors": ["article p", "main p", ".field-item p", "p"],
+        "max_pages": 15,
+        "verify_ssl": False,
+    },
+    SITE_DEFAULTS | {
+        "name": "kenya_met",
+        "domain": "Security",
+        "source": "Kenya Meteorological Department",
+        "start_urls": ["https://meteo.go.ke/news"],
+        "link_patterns": ["/news/", "/node/"],
+        "content_selectors": ["article p", "main p", ".field-item p", "p"],
+        "max_pages": 20,
+        "verify_ssl": False,
+    },
+    SITE_DEFAULTS | {
+        "name": "kilimo",
+        "domain": "Agriculture",
+        "source": "Ministry of Agriculture",
+        "start_urls": ["https://kilimo.go.ke/category/news/"],
+        "link_patterns": [r"kilimo\.go\.ke/\d{4}/", "/category/news/"],
+        "content_selectors": ["article p", ".entry-content p", "main p", "p"],
+        "max_pages": 20,
+        "verify_ssl": False,
+    },
+    SITE_DEFAULTS | {
+        "name": "education_ke",
+        "domain": "Education",
+        "source": "Ministry of Education",
+        "start_urls": ["https://www.education.go.ke/news"],
+        "link_patterns": ["/news/", "/node/"],
+        "content_selectors": ["article p", "main p", ".field-item p", "p"],
+        "max_pages": 20,
+        "verify_ssl": False,
+    },
+    SITE_DEFAULTS | {
+        "name": "kra_notices",
+        "domain": "Governance",
+        "source": "Kenya Revenue Authority",
+        "start_urls": ["https://www.kra.go.ke/news-center/public-notices"],
+        "link_patterns": ["/news-center/"],
+        "content_selectors": ["article p", "main p", ".field-item p", "p"],
+        "max_pages": 40,
+        "pagination": {"template": "https://www.kra.go.ke/news-center/public-notices?page={n}", "start": 1, "pages": 3},
+    },
+    SITE_DEFAULTS | {
+        "name": "ecitizen",
+        "domain": "Governance",
+        "source": "eCitizen Kenya",
+        "start_urls": ["https://www.ecitizen.go.ke"],
+        "content_selectors": ["main p", "article p", "p"],
+        "max_pages": 15,
+    },
+    SITE_DEFAULTS | {
+        "name": "nps_kenya",
+        "domain": "Security",
+        "source": "National Police Service",
+        "start_urls": ["https://www.nationalpolice.go.ke/news"],
+        "link_patterns": ["/news/"],
+        "content_selectors": ["article p", "main p", ".field-item p", "p"],
+        "max_pages": 15,
+        "verify_ssl": False,
+    },
+    SITE_DEFAULTS | {
+        "name": "infonet_agri",
+        "domain": "Agriculture",
+        "source": "Infonet-Biovision (Biovision Africa Trust)",
+        "start_urls": [
+            "https://infonet-biovision.org/crops-fruits-vegetables",
+            "https://infonet-biovision.org/animal-health-and-disease",
+        ],
+        "link_patterns": [
+            r"infonet-biovision\.org/(PlantHealth|crops-fruits-vegetables|animal-health-and-disease|indigenous-plants|plant_pests|agro-ecological-zones)/[a-z0-9-]+",
+        ],
+        "content_selectors": ["article p, article li", "main p, main li", ".field--name-body p, .field--name-body li", "p"],
+        "max_pages": 60,
+        "min_words": 7,
+        "max_records": 2500,
+    },
+    SITE_DEFAULTS | {
+        "name": "nema_insights",
+        "domain": "Security",
+        "source": "National Environment Management Authority",
+        "start_urls": ["https://nema.go.ke/category/insights/article/"],
+        "link_patterns": [
+            r"nema\.go\.ke/(?!board-of-management|contact-us|county-offices|knowledge-base|nema-departments|category|tag|wp-|about|licensing)[a-z0-9-]+/$",
+        ],
+        "content_selectors": ["article p", "main p", ".entry-content p", "p"],
+        "max_pages": 20,
+    },
+    SITE_DEFAULTS | {
+        "name": "ca_cyber",
+        "domain": "Security",
+        "source": "Communications Authority of Kenya",
+        "start_urls": ["https://www.ca.go.ke/cyber-security"],
+        "content_selectors": ["article p, article li", "main p, main li", "p"],
+        "max_pages": 5,
+    },
+    SITE_DEFAULTS | {
+        "name": "eacc_news",
+        "domain": "Governance",
+        "source": "Ethics and Anti-Corruption Commission",
+        "start_urls": ["https://eacc.go.ke/default/news/", "https://eacc.go.ke/default/category/news/"],
+        "link_patterns": [
+            r"eacc\.go\.ke/default/(?!category|tag|wp-content|wp-includes|contact-us|faqs|by-email|by-phone|Downloads|achievements|news/?$)[a-zA-Z0-9-]+/?$",
+        ],
+        "content_selectors": ["article p", "main p", ".entry-content p", "p"],
+        "max_pages": 15,
+    },
+    SITE_DEFAULTS | {
+        "name": "kicd_news",
+        "domain": "Education",
+        "source": "Kenya Institute of Curriculum Development",
+        "start_urls": ["https://kicd.ac.ke/news"],
+        "content_selectors": ["article p", "main p", ".item-page p", "p"],
+        "max_pages": 5,
+    },
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import rules
@@ -14,6 +14,12 @@ BULLETS = "•‣◦\\-–—*+"
 START = "A-Z0-9\"“'"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row: filters and projections above do not repeat their expressions."""
+    own = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(own)))
+
+
 def blank(c: Column) -> Column:
     """The empty string for null: records have no nulls."""
     return F.coalesce(c, F.lit(""))
@@ -56,8 +62,9 @@ def exact_key(c: Column) -> Column:
     return F.lower(normalize(c))
 
 
-def near_key(c: Column, words: int = 8) -> Column:
-    return F.array_join(F.slice(F.split(exact_key(c), " "), 1, words), " ")
+def near_key(c: Column, words: int = 8, normal: bool = False) -> Column:
+    """The first words of the lower-case text. normal: the text is normalized already."""
+    return F.array_join(F.slice(F.split(F.lower(c) if normal else exact_key(c), " "), 1, words), " ")
 
 
 def word_bounds(c: Column, low: int = rules.MIN_WORDS, high: int = rules.MAX_WORDS) -> Column:
@@ -83,16 +90,15 @@ def alias_domain(c: Column) -> Column:
     return out
 
 
-def keyword_domain(c: Column, keywords: dict[str, list[str]] = rules.KEYWORDS) -> Column:
-    """First domain with a keyword inside the lower-case text, null if none."""
-    low = F.lower(blank(c))
-    tests = []
+def with_domain(df: DataFrame, text: str, name: str = "domain", keywords: dict[str, list[str]] = rules.KEYWORDS) -> DataFrame:
+    """df with the first domain that has a keyword inside the text in lower case, null if none."""
+    low, found = F.col("__low"), []
     for domain, words in keywords.items():
         hit = F.lit(False)
         for w in words:
             hit = hit | low.contains(w)
-        tests.append(F.when(hit, F.lit(domain)))
-    return F.coalesce(*tests)
+        found.append(F.when(hit, F.lit(domain)))
+    return once(once(df, __low=F.lower(blank(F.col(text)))), **{name: F.coalesce(*found)}).drop("__low")
 
 
 def truncate(c: Column, width: int = 120) -> Column:

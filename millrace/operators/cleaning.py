@@ -15,11 +15,11 @@ STAGES = ("input", "after_empty", "after_fragments", "after_length", "after_dedu
 
 
 def dedupe(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """First row of each near key (first eight words of the lower-case text).
+    """First row of each near key (first eight words of the lower-case text); English is normalized.
 
     Equal texts have equal near keys, so the exact pass needs no shuffle of its own.
     """
-    return first_per(df.withColumn("__k", t.near_key(F.col("English"))), ["__k"], order).drop("__k")
+    return first_per(df.withColumn("__k", t.near_key(F.col("English"), normal=True)), ["__k"], order).drop("__k")
 
 
 def english_gate(text: Column, lang: Column) -> Column:
@@ -39,7 +39,7 @@ def steps(df: DataFrame, order: Sequence[str], detect: Callable[[Column], Column
     drop may already have displaced a near copy.
     """
     en, sw = F.col("English"), F.col("Kiswahili")
-    df = seen("input", df).withColumn("English", t.tidy(en)).withColumn("Kiswahili", t.tidy(sw))
+    df = t.once(seen("input", df), English=t.tidy(en), Kiswahili=t.tidy(sw))
     df = seen("after_empty", df.where(en != ""))
     df = seen("after_fragments", df.where(~t.is_dangling(en)))
     df = seen("after_length", df.where(t.word_bounds(en)))
@@ -49,21 +49,21 @@ def steps(df: DataFrame, order: Sequence[str], detect: Callable[[Column], Column
     return seen("output", df.where(F.col("Domain").isin(rules.DOMAINS)))
 
 
-def clean(df: DataFrame, order: Sequence[str], detect: Callable[[Column], Column] = langid.detect, stats: bool = False) -> tuple[DataFrame, Callable[[], dict[str, int]] | None]:
+def clean(df: DataFrame, order: Sequence[str], detect: Callable[[Column], Column] = langid.detect, stats: bool = False, detect_sw: Callable[[Column], Column] | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]] | None]:
     """Cleaned rows and, with stats, a function that gives the stage counts once an action has run over them.
 
     Counting keeps filters from moving past the counted places, so it is off by default. A sort right
     above runs its input twice, to sample it, and doubles the counts: write the rows first.
     """
     if not stats:
-        return steps(df, order, detect), None
+        return steps(df, order, detect, detect_sw=detect_sw), None
     observed: dict[str, Observation] = {}
 
     def seen(name: str, df: DataFrame) -> DataFrame:
         observed[name] = Observation(name)
         return df.observe(observed[name], F.count(F.lit(1)).alias("n"))
 
-    out = steps(df, order, detect, seen)
+    out = steps(df, order, detect, seen, detect_sw)
 
     def counts() -> dict[str, int]:
         n = {k: v.get["n"] for k, v in observed.items()}

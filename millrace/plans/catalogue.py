@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import langid, rules
 from millrace.functions import text as t
+from millrace.functions.session import saved, scratch
 from millrace.operators import cleaning, records
 from millrace.plans import profile
 from millrace.sources import html, pairs
@@ -87,7 +88,7 @@ ORDER = ["doc_id", "pos"]
 
 
 def sents(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", t.normalize(F.col("text")).alias("text"))
+    docs = t.once(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), text=t.normalize(F.col("text")))
     return docs.select("doc_id", "lang", "source", F.posexplode(t.sentences(F.col("text"))).alias("pos", "text"))
 
 
@@ -159,12 +160,15 @@ def near_dedupe(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def raw_dedupe(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    """Rows of equal texts, by a digest, so that no text is shuffled."""
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    return table(spark, sf_dir, "documents").groupBy(digest).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query(f'WITH {DECO} SELECT doc_id, pos, {keyword(chr(34) + "English" + chr(34))} AS domain FROM deco WHERE {keyword(chr(34) + "English" + chr(34))} IS NOT NULL')
 def keyword_domain(spark, sf_dir):
-    return decorated(spark, sf_dir).select("doc_id", "pos", t.keyword_domain(F.col("English")).alias("domain")).where("domain is not null")
+    d = decorated(spark, sf_dir).select("doc_id", "pos", "English")
+    return t.with_domain(d, "English").where("domain is not null").select("doc_id", "pos", "domain")
 
 
 @query(f'WITH {DECO} SELECT "Domain" AS domain, count(*) AS n FROM recs GROUP BY 1')
@@ -369,16 +373,82 @@ def legacy_sentences(spark, sf_dir):
     return sents(spark, sf_dir).where(F.length("text") >= 40).select("doc_id", "pos", "text")
 
 
-@query(None)
+_TOKENS = f"string_split(regexp_replace(lower({norm('text')}), '[^\\p{{L}} ]', '', 'g'), ' ')"
+_HITS = ", ".join("{'n': len(list_filter(w, lambda x: list_contains([" + quoted(words) + f"], x))), 'lang': '{k}'}}" for k, words in langid.WORDS.items())
+
+
+@query(f"WITH {SENTS}, tok AS (SELECT doc_id, pos, length({norm('text')}) AS n, {_TOKENS} AS w FROM sents), ranked AS (SELECT doc_id, pos, n, list_reverse_sort([{_HITS}]) AS r FROM tok) SELECT doc_id, pos, CASE WHEN n >= 10 AND r[1].n >= 2 AND r[1].n > r[2].n THEN r[1].lang END AS lang FROM ranked")
 def language(spark, sf_dir):
     """Detected language of every sentence."""
     return sents(spark, sf_dir).select("doc_id", "pos", langid.detect(F.col("text")).alias("lang"))
 
 
-@query(None)
+@query(f"WITH o AS (SELECT page_id, url, length({HOST}) % 3 AS kind FROM pages) SELECT page_id, url, kind = 1 OR (kind = 0 AND NOT regexp_matches(url, '^[^/:]+://[^/?#]*/en/')) AS allowed FROM o")
 def robots_rules(spark, sf_dir):
     """Whether each page may be fetched, under rules that keep /en/ away from one host in three and answer some with an error."""
     urls = table(spark, sf_dir, "pages").select("page_id", "url")
     origin = F.regexp_extract("url", r"^([^/:]+://[^/?#]*)", 1).alias("origin")
-    policies = urls.select(origin).distinct().withColumn("status", F.element_at(F.array(F.lit(200), F.lit(404), F.lit(403)), F.pmod(F.crc32("origin"), F.lit(3)).cast("int") + 1)).withColumn("body", F.lit("User-agent: *\nDisallow: /en/"))
+    policies = urls.select(origin).distinct().withColumn("status", F.element_at(F.array(F.lit(200), F.lit(404), F.lit(403)), F.length("origin") % 3 + 1)).withColumn("body", F.lit("User-agent: *\nDisallow: /en/"))
     return html.robots(urls, policies)
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", *records.record(F.lit("Health"), F.col("text"), source=F.col("source"), date="2024-01-01", metadata=t.json_object(lang=F.col("lang"))))
+    return d.withColumn("PSA_ID", F.format_string("PSA%06d", "doc_id")).drop("doc_id")
+
+
+_DATASET = """SELECT printf('PSA%06d', doc_id) AS "PSA_ID", 'Health' AS "Domain", text AS "English", source AS "Source", '2024-01-01' AS "Date", '{"lang": "' || lang || '"}' AS "Metadata", 'Pending' AS "Status" FROM documents"""
+
+
+@query(_DATASET)
+def dataset_files(spark, sf_dir):
+    """Records written as a dataset and read back."""
+    path = scratch(spark, "dataset")
+    pairs.write_dataset(_records(spark, sf_dir), path)
+    return pairs.read_dataset(spark, path).select("PSA_ID", "Domain", "English", "Source", "Date", "Metadata", "Status")
+
+
+_FLAT = "replace(replace({0}, chr(9), ' '), chr(10), ' ')"
+
+
+@query(f"SELECT trim({_FLAT.format('text')}) AS en, role AS sw, count(*) AS n FROM conversations GROUP BY 1, 2")
+def pair_files(spark, sf_dir):
+    """Turns written as tab-separated pairs and read back."""
+    path = scratch(spark, "pairs")
+    flat = table(spark, sf_dir, "conversations").select(F.translate("text", "\t\n", "  "), "role")
+    flat.write.options(sep="\t", quote="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, extension="tsv").csv(path)
+    return pairs.read_pairs(spark, path).groupBy("en", "sw").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {norm('text')} AS en, role AS sw, count(*) AS n FROM conversations WHERE turn % 3 <> 0 GROUP BY 1, 2")
+def memory_scan(spark, sf_dir):
+    """Turns written as units of translation memories, one in three without its second side, and read back."""
+    path = scratch(spark, "memory")
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    second = F.when(F.col("turn") % 3 != 0, F.concat(F.lit('<tuv xml:lang="sw"><seg>'), "role", F.lit("</seg></tuv>"))).otherwise("")
+    unit = F.concat(F.lit('<tu><tuv xml:lang="EN-us"><seg>'), safe, F.lit("</seg></tuv>"), second, F.lit("</tu>"))
+    table(spark, sf_dir, "conversations").select(unit).write.text(path)
+    return pairs.tmx(spark, path).groupBy("en", "sw").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CLEAN} " + " UNION ALL ".join(f"SELECT '{k}' AS stage, count(*) AS n FROM {v}" for k, v in STAGE_TABLES.items()) + f" UNION ALL SELECT 'removed_total', (SELECT count(*) FROM recs) - (SELECT count(*) FROM c_out)")
+def clean_counts(spark, sf_dir):
+    """The counts that cleaning observes while its rows are written once; seven rows and their difference."""
+    out, counts = cleaning.clean(recs(spark, sf_dir), ORDER, lambda c: F.col("lang"), stats=True, detect_sw=lambda c: F.col("sw_lang"))
+    saved(out, "cleaned")
+    return spark.createDataFrame(list(counts().items()), "stage string, n long")
+
+
+SITE = {"name": "own", "domain": "Road Safety", "source": "Own", "start_urls": [], "link_patterns": [], "content_selectors": SELECTORS, "max_pages": 15, "split_sentences": True, "verify_ssl": True, "min_words": 7, "max_records": 200, "pagination": None}
+
+
+@query(f"""WITH {PAGE_SENTS}, start AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS ordinal FROM pages ORDER BY page_id LIMIT 60),
+got AS (SELECT ordinal, block, unit, url, s.text FROM start JOIN psents s USING (page_id) WHERE {n_words('s.text')} BETWEEN 7 AND 80 AND NOT {boiler('s.text')}),
+uniq AS (SELECT * FROM got QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY ordinal, block, unit) = 1)
+SELECT 'Security' AS domain, text AS english, 'Own' AS source, url, '{{"type": "scraped", "tool": "html.parser", "site": "own"}}' AS metadata FROM uniq ORDER BY ordinal, block, unit LIMIT 200""")
+def collect_site(spark, sf_dir):
+    """Records of one site from its own addresses: their sentences, each once, capped as the site says."""
+    pages = table(spark, sf_dir, "pages")
+    starts = [r.url for r in pages.orderBy("page_id").limit(60).collect()]  # a site's own list of addresses
+    found = html.collect_site(pages, SITE | {"start_urls": starts}, "2024-01-01")
+    return found.select(F.col("Domain").alias("domain"), F.col("English").alias("english"), F.col("Source").alias("source"), F.col("URL").alias("url"), F.col("Metadata").alias("metadata"))

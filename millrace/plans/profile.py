@@ -17,8 +17,10 @@ def counts_by(df: DataFrame, column: str, order: str) -> DataFrame:
 
 def figures(df: DataFrame) -> DataFrame:
     """One row: rows, paired rows, sources, means and medians of words."""
-    paired = t.is_paired(F.col("Kiswahili"))
-    en, sw = t.n_words(t.normalize(F.col("English"))), F.when(paired, t.n_words(t.normalize(F.col("Kiswahili"))))
+    own = F.when(t.is_paired(F.col("Kiswahili")), t.n_words(t.normalize(F.col("Kiswahili"))))
+    df = t.once(df.select("English", "Kiswahili", "Source"), en=t.n_words(t.normalize(F.col("English"))), sw=own)
+    en, sw = F.col("en"), F.col("sw")
+    paired = sw.isNotNull()
     return df.agg(
         F.count("*").alias("total"), F.count(F.when(paired, 1)).alias("paired"), F.countDistinct(F.when(F.col("Source") != "", F.col("Source"))).alias("sources"),
         F.avg(en).alias("en_mean"), F.median(en).alias("en_median"), F.avg(sw).alias("sw_mean"), F.median(sw).alias("sw_median"),

@@ -80,8 +80,8 @@ def import_memory(pairs: DataFrame, split: str = "tmx_all", max_pairs: int | Non
 
 def import_sentences(pairs: DataFrame, date: str | None = None, about: dict = rules.TATOEBA) -> DataFrame:
     """Records of sentence pairs within the word bounds that a domain's keywords find."""
-    pairs = pairs.withColumn("en", t.normalize(F.col("en"))).withColumn("sw", t.normalize(F.col("sw")))
-    found = pairs.where(t.word_bounds(F.col("en"))).withColumn("domain", t.keyword_domain(F.col("en"))).where("domain is not null")
+    pairs = t.once(pairs, en=t.normalize(F.col("en")), sw=t.normalize(F.col("sw")))
+    found = t.with_domain(pairs.where(t.word_bounds(F.col("en"))), "en").where("domain is not null")
     meta = t.json_object(type="corpus", corpus=about["corpus"], license=about["license"])
     return found.select("seq", *record(F.col("domain"), F.col("en"), F.col("sw"), F.lit(about["source"]), date, F.lit(about["url"]), meta))
 
