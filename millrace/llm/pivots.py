@@ -1,18 +1,24 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Reference points (pivots) are a bounded sample of the distinct vectors, thinned so
-that no two are near each other: a dense group has one pivot, which is the nearest
-of all its members, and not many about equally near. Each vector is described by
-its `PREFIX` nearest pivots; inverted lists hold for each pivot the vectors that
-have it in their description. Two vectors meet in a list, and are candidates if
-they have the same nearest pivot or their descriptions share at least `SHARED`
-pivots; their cosine is computed in double precision. The pair counts in the list
-of the same nearest pivot, else of the first pivot that both have, so once only.
-
-Equal vectors are one class from the start. A long list is dealt to blocks of about
-`BLOCK` classes, and each pair of blocks is a task of its own, a matrix product;
-a task gives one row for each class with the number of vectors linked and one
-neighbour, not the pairs.
+that a dense group has one, and numbered from the rarest to the most frequent among the
+nearest of the sample. Each vector is described by its `PREFIX` nearest pivots, in order.
+Two kinds of inverted lists hold the vectors:
+
+* the list of a pivot has the vectors that are close to it, so close that they include
+  every vector which may link with a core one, a vector at `CORE` or more from that pivot.
+  Members of a dense group meet there; their cosines are computed in blocks.
+* other vectors stand in lists of pairs of pivots. To share `SHARED` of their `PREFIX`
+  nearest pivots two vectors must share the two rarest of these, which are then among
+  the first `PREFIX - SHARED + 2` of each: so many pivots make a vector's pairs. A list has ids
+  and descriptions alone. Shared pivots are counted there, and only pairs with
+  `SHARED` or more, once each, get their vectors fetched and their cosine computed.
+
+With the number of pivots following the square root of the number of vectors, a list of
+pairs has a few vectors however many there are. Equal vectors are one class from
+the start. A long list of either kind is dealt to blocks, and each pair of blocks is a task of its own; a
+task of close vectors gives one row for each class with the number of vectors linked and
+one neighbour, not the pairs.
 """
 
 from __future__ import annotations
@@ -26,21 +32,24 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import components, saved
 
-PREFIX, SHARED = 8, 2
-BLOCK = 1024
+#: Pivots of a description; how many of them candidates share, one less where there are over MANY pivots, among which nearest ones differ more.
+PREFIX, SHARED, MANY = 8, 4, 800
+#: Vectors of a block of a pivot's list, of a block of a long list of a pair, and entries of a task of short ones.
+BLOCK, LONG, TASK = 1024, 4096, 200_000
 #: Bounds on the number of pivots, which in between follows the square root of the number of vectors.
-PIVOTS = (32, 8192)
+PIVOTS = (32, 65_536)
 COSINE = 0.95
-#: Cosine that no two pivots reach.
-APART = 0.7
+#: Cosine that no two pivots reach, and cosine to a pivot from which a vector is its core.
+APART, CORE = 0.85, 0.9
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vectors with the digest of their content (null if not comparable), and the distinct ones: rep, n, embedding."""
     e = F.col("embedding").cast("array<double>")
-    sound = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    v = vectors.select("vec_id", F.when(sound, e).alias("embedding"))
-    v = v.select("vec_id", "embedding", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")).alias("h1"), F.when(F.col("embedding").isNotNull(), F.hash("embedding")).alias("h2"))
+    sound = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
+    v = vectors.select("vec_id", F.when(sound, F.col("embedding")).alias("embedding"))
+    own = F.col("embedding").cast("array<double>")
+    v = v.select("vec_id", "embedding", F.when(F.col("embedding").isNotNull(), F.xxhash64(own)).alias("h1"), F.when(F.col("embedding").isNotNull(), F.hash(own)).alias("h2"))
     distinct = v.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
     return v, distinct
 
@@ -51,15 +60,30 @@ def unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def choose(distinct: DataFrame, bounds: tuple[int, int] = PIVOTS) -> dict[int, np.ndarray]:
-    """Pivots for each number of dimensions."""
+def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivots of each row, nearest first, and their cosines."""
+    cos = x @ pivots.T
+    k = min(prefix, cos.shape[1])
+    top = np.argpartition(-cos, k - 1, 1)[:, :k]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(cos, top, 1), 1, "stable"), 1)
+    return top, np.take_along_axis(cos, top, 1)
+
+
+def choose(distinct: DataFrame, bounds: tuple[int, int] = PIVOTS, prefix: int = PREFIX) -> dict[int, np.ndarray]:
+    """Pivots for each number of dimensions, those that are rarely among the nearest first."""
     n = distinct.count()
     most = int(min(bounds[1], max(bounds[0], 1.5 * n**0.5)))
     rows = distinct.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(most).select("embedding").collect()
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r.embedding), []).append(r.embedding)
-    return {d: thin(unit(x)) for d, x in by.items()}
+    out = {}
+    for d, found in by.items():
+        x = unit(found)
+        pivots = thin(x)
+        often = sum(np.bincount(nearest(x[k : k + 1024], pivots, prefix)[0].ravel(), minlength=len(pivots)) for k in range(0, len(x), 1024))
+        out[d] = pivots[np.argsort(often, kind="stable")]
+    return out
 
 
 def thin(x: np.ndarray, apart: float = APART) -> np.ndarray:
@@ -73,76 +97,73 @@ def thin(x: np.ndarray, apart: float = APART) -> np.ndarray:
     return kept[:n].copy()
 
 
-def describe(distinct: DataFrame, pivots: dict[int, np.ndarray], prefix: int) -> DataFrame:
-    """Each distinct vector with its nearest pivots, nearest first. A vector of dimensions that no pivot has gets the one list of its dimensions."""
+def describe(distinct: DataFrame, pivots: dict[int, np.ndarray], prefix: int, close: float) -> DataFrame:
+    """Each distinct vector with the pivots it is close to (close), and unless it is a core one its nearest pivots, nearest first (near).
+
+    Where there are no more pivots than a description holds, or none of a vector's dimensions, all such vectors are close to one."""
     first = {d: sum(len(pivots[x]) for x in pivots if x < d) for d in pivots}
 
     def run(source):
         for b in source:
             vectors = b.column("embedding").to_pylist()
-            out: list[list[int]] = [[]] * len(vectors)
+            by, at_hand = [[]] * len(vectors), [[]] * len(vectors)
             for d in {len(v) for v in vectors}:
                 at = [k for k, v in enumerate(vectors) if len(v) == d]
-                if d not in pivots:
+                if d not in pivots or len(pivots[d]) <= prefix:
                     for k in at:
-                        out[k] = [-d]
+                        at_hand[k] = [-d]
                     continue
-                near = unit([vectors[k] for k in at]) @ pivots[d].T
-                k = min(prefix, near.shape[1])
-                top = np.argpartition(-near, k - 1, 1)[:, :k]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), 1, "stable"), 1) + first[d]
-                for i, row in zip(at, top.tolist(), strict=True):
-                    out[i] = row
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), b.column("embedding"), pa.array(out, pa.list_(pa.int32()))], names=["rep", "n", "embedding", "near"])
-
-    return distinct.select("rep", "n", "embedding").mapInArrow(run, "rep long, n long, embedding array<double>, near array<int>")
-
-
-def _products(first: np.ndarray, left: np.ndarray, right: np.ndarray, pivot: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows and columns to multiply. Many rows of one other nearest pivot leave out the columns that have it too: those pairs count in its list."""
-    rest = []
-    for f in np.unique(first[left]).tolist():
-        rows = left[first[left] == f]
-        if f == pivot or len(rows) < 64:
-            rest.append(rows)
-            continue
-        columns = right[first[right] != f]
-        if len(columns):
-            for k in range(0, len(rows), 256):
-                yield rows[k : k + 256], columns
-    rows = np.concatenate(rest) if rest else left[:0]
-    for k in range(0, len(rows), 256):
-        yield rows[k : k + 256], right
-
-
-def _links(cosine: float, shared: int):
+                top, cos = nearest(unit([vectors[k] for k in at]), pivots[d], prefix)
+                top += first[d]
+                for i, row, c in zip(at, top.tolist(), cos.tolist(), strict=True):
+                    at_hand[i] = sorted(p for p, x in zip(row, c, strict=True) if x >= close)
+                    by[i] = row if c[0] < CORE else []
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), b.column("embedding"), pa.array(at_hand, ints), pa.array(by, ints)], names=["rep", "n", "embedding", "close", "near"])
+
+    kind = dict(distinct.dtypes)["embedding"]
+    return distinct.select("rep", "n", "embedding").mapInArrow(run, f"rep long, n long, embedding {kind}, close array<int>, near array<int>")
+
+
+NOTHING = -(1 << 40)
+
+
+def _padded(lists: list[list[int]]) -> np.ndarray:
+    """Lists of numbers as rows of a matrix, filled up with NOTHING."""
+    out = np.full((len(lists), max(1, max(map(len, lists), default=1))), NOTHING, np.int64)
+    for k, x in enumerate(lists):
+        out[k, : len(x)] = x
+    return out
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows: which of the first's numbers the second has."""
+    return ((a[:, :, None] == b[:, None, :]) & (a != NOTHING)[:, :, None]).any(2)
+
+
+def _links(cosine: float):
     def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, one, two = (x.as_py() for x in key)
         t = pa.Table.from_batches(list(source))
         rep, n, block = (t.column(c).to_numpy() for c in ("rep", "n", "block"))
         x = unit(t.column("embedding").to_pylist())
-        near = t.column("near").to_pylist()
-        width = max(map(len, near))
-        near = np.array([v + [-1 - (1 << 30)] * (width - len(v)) for v in near])
-        need = min(shared, width)
+        close = _padded(t.column("close").to_pylist())
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         total, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
         order = np.argsort(rep, kind="stable")
         place = np.empty(len(rep), np.int64)
         place[order] = np.arange(len(rep))
         found = []
-        for rows, columns in _products(near[:, 0], left, right, pivot):
-            i, j = np.nonzero(x[rows] @ x[columns].T >= cosine)
-            i, j = rows[i], columns[j]
+        for k in range(0, len(left), 256):
+            rows = left[k : k + 256]
+            i, j = np.nonzero(x[rows] @ x[right].T >= cosine)
+            i, j = rows[i], right[j]
             if one == two:
                 i, j = i[i < j], j[i < j]
             for s in range(0, len(i), 100_000):
                 a, b = i[s : s + 100_000], j[s : s + 100_000]
-                same = (near[a][:, :, None] == near[b][:, None, :]) & (near[a] >= -(1 << 30))[:, :, None]
-                common = same.any(2)
-                least = np.where(common, near[a], 1 << 30).min(1)
-                nearest = near[a, 0] == near[b, 0]
-                good = np.where(nearest, near[a, 0] == pivot, (common.sum(1) >= need) & (least == pivot))
+                # the pair counts in the list of the first pivot that both are close to
+                good = np.where(_common(close[a], close[b]), close[a], 1 << 40).min(1) == pivot
                 a, b = a[good], b[good]
                 total += np.bincount(a, n[b], len(rep)).astype(np.int64) + np.bincount(b, n[a], len(rep)).astype(np.int64)
                 found.append((a, b))
@@ -163,26 +184,109 @@ def _links(cosine: float, shared: int):
     return run
 
 
-def near(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, shared: int = SHARED, bounds: tuple[int, int] = PIVOTS, block: int = BLOCK) -> DataFrame:
+def _counted(shared: int):
+    def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the task's lists that share enough pivots and are close to no common one, in the list of the first two they share."""
+        _, one, two = (x.as_py() for x in key)
+        t = pa.Table.from_batches(list(source))
+        order = np.lexsort((t.column("rep").to_numpy(), t.column("key").to_numpy()))
+        names, rep, block = (t.column(c).to_numpy()[order] for c in ("key", "rep", "block"))
+        near, close = (_padded([x for x in t.column(c).to_pylist()])[order] for c in ("near", "close"))
+        near = np.where(near == NOTHING, 1 << 40, near)
+        near.sort(1)  # rarest first
+        near[near == 1 << 40] = NOTHING
+        ends = np.append(np.flatnonzero(names[1:] != names[:-1]) + 1, len(names)) if len(names) else np.zeros(0, np.int64)
+        end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+        at, gap = np.arange(len(names)), 0
+        while True:
+            gap += 1
+            at = at[at + gap < end[at]]
+            if not len(at):
+                break
+            for k in range(0, len(at), 100_000):
+                i = at[k : k + 100_000]
+                j = i + gap
+                if one != two:
+                    apart = block[i] != block[j]
+                    i, j = i[apart], j[apart]
+                both = _common(near[i], near[j])
+                enough = both.sum(1) >= shared
+                i, j, both = i[enough], j[enough], both[enough]
+                if len(i):
+                    low = np.sort(np.where(both, near[i], 1 << 40), 1)[:, :2]
+                    good = (low[:, 0] * (1 << 32) + low[:, 1] == names[i]) & ~_common(close[i], close[j]).any(1)
+                    if good.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[i[good]]), pa.array(rep[j[good]])], names=["a", "b"])
+
+    return run
+
+
+def _pairs(listed: DataFrame, shared: int, long: int) -> DataFrame:
+    """Candidates (a, b) from the lists of pairs of pivots."""
+    size = F.least(F.size("near") - shared + 2, F.size("near"))
+    loose = listed.where("size(near) > 1").select("rep", "near", "close", F.slice(F.array_sort("near"), 1, size).alias("first"))
+    keys = F.expr("flatten(transform(sequence(0, size(first) - 2), i -> transform(sequence(i + 1, size(first) - 1), j -> first[i] * 4294967296L + first[j])))")
+    entries = loose.select(F.explode(keys).alias("key"), "rep", "near", "close")
+    # one row for each list that no task takes whole
+    lengths = saved(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long).select("key", F.ceil(F.col("n") / long).cast("int").alias("blocks")), "pivot-long")
+    n = listed.where("size(near) > 1").count()
+    tasks = max(1, n * 15 // TASK)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(tasks))
+    columns = ["key", "rep", "near", "close"]
+    if lengths.isEmpty():
+        dealt = entries.select(bucket.alias("task"), F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("block"), *columns)
+    else:
+        whole = entries.join(lengths, "key", "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).otherwise(0))
+        other = whole.withColumn("with", F.explode(F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
+        task = F.when(F.col("blocks").isNotNull(), -1 - F.col("key")).otherwise(bucket)
+        dealt = other.select(task.alias("task"), F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", *columns)
+    return dealt.groupBy("task", "one", "two").applyInArrow(_counted(shared), "a long, b long")
+
+
+def _verified(pairs: DataFrame, listed: DataFrame, cosine: float) -> DataFrame:
+    """Pairs whose cosine in double precision reaches the bound, with the numbers of rows of both."""
+    for x in "ab":
+        pairs = pairs.join(listed.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("embedding").alias(f"e_{x}")), x)
+
+    def run(source):
+        for b in source:
+            left, right = b.column("e_a").to_pylist(), b.column("e_b").to_pylist()
+            same = np.array([len(u) == len(v) for u, v in zip(left, right, strict=True)], bool)
+            good = np.zeros(len(left), bool)
+            for d in {len(u) for u, s in zip(left, same, strict=True) if s}:
+                at = np.array([k for k in np.flatnonzero(same) if len(left[k]) == d])
+                good[at] = (unit([left[k] for k in at]) * unit([right[k] for k in at])).sum(1) >= cosine
+            yield b.select(["a", "b", "n_a", "n_b"]).filter(pa.array(good))
+
+    return pairs.select("a", "b", "n_a", "n_b", "e_a", "e_b").mapInArrow(run, "a long, b long, n_a long, n_b long")
+
+
+def near(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, shared: int | None = None, bounds: tuple[int, int] = PIVOTS, block: int = BLOCK, long: int = LONG) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row for each row of vectors.
 
     Null and zero vectors and those with a null or non-finite component link with
     nothing, nor do vectors of different dimensions. Equal vectors link. Repeated
-    rows count as vectors of their own; a row with a null vec_id stands in others'
-    counts. Extra columns are ignored.
+    rows count as vectors of their own. A row with a null vec_id links with nothing and
+    has no component. Extra columns are ignored.
     """
     v, distinct = classes(vectors)
     distinct = saved(distinct, "pivot-classes")
-    pivots = choose(distinct, bounds)
-    listed = saved(describe(distinct, pivots, prefix), "pivot-lists").withColumn("pivot", F.explode("near"))
+    pivots = choose(distinct, bounds, prefix)
+    shared = shared or SHARED - (sum(map(len, pivots.values())) > MANY)
+    # a vector that links with one at CORE from a pivot is at least so near to that pivot
+    close = CORE * cosine - ((1 - CORE**2) * (1 - cosine**2)) ** 0.5 - 1e-9
+    listed = saved(describe(distinct, pivots, prefix, close), "pivot-lists")
+    at_hand = listed.select("rep", "n", "embedding", "close", F.explode("close").alias("pivot"))
     # one row for each pivot, so at most PIVOTS rows and one for each other number of dimensions
-    blocks = listed.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = listed.join(F.broadcast(blocks), "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocks = at_hand.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = at_hand.join(F.broadcast(blocks), "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = own.select("*", other.alias("with")).select("pivot", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "n", "embedding", "near")
-    links = saved(tasks.groupBy("pivot", "one", "two").applyInArrow(_links(cosine, shared), "rep long, links long, least long"), "pivot-links")
-    label = components(links.select(F.col("rep").alias("src"), F.col("least").alias("dst")))
-    total = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    tasks = own.select("*", other.alias("with")).select("pivot", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "rep", "n", "embedding", "close")
+    links = saved(tasks.groupBy("pivot", "one", "two").applyInArrow(_links(cosine), "rep long, links long, least long"), "pivot-links")
+    pairs = saved(_verified(_pairs(listed, shared, long), listed, cosine), "pivot-pairs")
+    label = components(links.select(F.col("rep").alias("src"), F.col("least").alias("dst")).union(pairs.select("a", "b")))
+    each = links.select("rep", "links").union(pairs.select("a", "n_b")).union(pairs.select("b", "n_a"))
+    total = each.groupBy("rep").agg(F.sum("links").alias("links"))
     named = distinct.select("h1", "h2", "rep", "n").join(total, "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = v.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
