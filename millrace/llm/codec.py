@@ -25,8 +25,8 @@ def _specials(path: str) -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=4)
-def pieces(path: str) -> dict[int, bytes]:
-    """The bytes of each id: the library's own decoding, byte signs undone."""
+def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of pieces: all their bytes, and by id where a piece starts and its length. Byte signs are undone as the library does it."""
     from tokenizers.pre_tokenizers import ByteLevel
 
     library = tokenizer(path)
@@ -39,7 +39,10 @@ def pieces(path: str) -> dict[int, bytes]:
     spare = iter(sorted(set(range(256)) - set(byte.values())))
     for sign in sorted({c for t, i in library.get_vocab().items() if i not in added for c in t} - set(byte)):
         byte[sign] = next(spare)  # bytes that UTF-8 never has; their signs follow the bytes' order
-    return {i: t.encode() if i in added else bytes(byte[c] for c in t) for t, i in library.get_vocab().items()}
+    by = {i: t.encode() if i in added else bytes(byte[c] for c in t) for t, i in library.get_vocab().items()}
+    size = np.zeros(max(by) + 1, np.int64)
+    size[list(by)] = [len(x) for x in by.values()]
+    return np.frombuffer(b"".join(by[i] for i in sorted(by)), np.uint8), np.cumsum(size) - size, size
 
 
 def splitter(path: str):
@@ -60,6 +63,7 @@ def splitter(path: str):
 
 def encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
     """finish(doc_id, ids as uint32) gives a row of `schema`, for each row of docs."""
+    docs = wordtable.steady(docs.select("doc_id", "text"))
     n = wordtable.buckets(docs)
     split = splitter(path)
 
@@ -106,8 +110,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decoded(raw: bytes, path: str) -> str:
-    """Text of ids: the pieces joined, bytes that are no UTF-8 replaced."""
-    return b"".join(map(pieces(path).__getitem__, np.frombuffer(raw, "<u4").tolist())).decode("utf-8", "replace")
+    """Text of ids: each joined with its piece in the table, bytes that are no UTF-8 replaced."""
+    flat, start, size = pieces(path)
+    ids = np.frombuffer(raw, "<u4")
+    n = size[ids]
+    at = np.arange(n.sum()) + np.repeat(start[ids] - np.cumsum(n) + n, n)
+    return flat[at].tobytes().decode("utf-8", "replace")
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:

@@ -227,7 +227,7 @@ def score(docs: DataFrame, path: str, kappa: float = KAPPA) -> DataFrame:
     any length are scored whole; repeated rows get equal scores and each count in
     training; extra columns are ignored.
     """
-    held = docs.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "text")
+    held = wordtable.steady(docs.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "text"))
     n_buckets = wordtable.buckets(docs)
     asked = saved(wordtable.requests(held, split, n_buckets, ("held_out",), _train_counts), "lm-asked")
 

@@ -13,7 +13,8 @@ Batch tasks then put body and answers together. A bucket holds a share of the
 distinct words of each batch, however often a word occurs, so a frequent word
 weighs as much as a rare one. The number of buckets follows the input's size.
 
-Requests and bodies come from two runs over the same documents; a batch's id is
+Requests and bodies come from two runs over the same documents, which `steady` has
+written first unless they come straight from files; a batch's id is
 a digest of its documents' ids and its distinct words in their order. Batches with
 the same id ask for the same words, so that any of their answers serves all of
 them, and each body is put together on its own. A batch with fewer or more answers
@@ -33,6 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import saved
+
 #: Characters of a batch.
 BATCH = 12_000_000
 #: Characters of input for each bucket.
@@ -47,6 +50,16 @@ def unpack(x: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """docs such that a second run, or a task run again, meets the same rows in the same order: written first, unless
+    all that stands between the files and them are projections and filters that give the same each time."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = [x.lstrip(" :+-").split(" ")[0].split("[")[0] for x in plan.toString().splitlines()]
+    if plan.deterministic() and set(nodes) <= {"Project", "Filter", "Relation"}:
+        return docs
+    return saved(docs, "word-docs")
+
+
 def buckets(docs: DataFrame, least: int = 64, share: int = BUCKET) -> int:
     n = docs.select(F.sum(F.length("text")).alias("n")).first().n or 0
     return max(least, -(-n // share))
@@ -112,12 +125,10 @@ def requests(docs: DataFrame, split, n_buckets: int, extra: tuple[str, ...] = ()
             key, words, bucket = b.sealed(n_buckets)
             told = tell(b) if tell else None
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            there, start = np.unique(bucket[order], return_index=True)
             out = []
-            for k in range(n_buckets):
-                at = order[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    out.append((key, k, pack(([words[i] for i in at], None if told is None else told[at]))))
+            for k, at in zip(there.tolist(), np.split(order, start[1:]) if len(order) else (), strict=True):
+                out.append((key, k, pack(([words[i] for i in at], None if told is None else told[at]))))
             yield _block(out)
 
     return docs.select("doc_id", *extra, "text").mapInArrow(run, BLOCK)

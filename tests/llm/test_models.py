@@ -7,10 +7,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_tokens import HARD
 from tokenizers import Tokenizer
 
-from millrace.llm import codec, lattice, quality, toxicity
+from millrace.llm import codec, lattice, quality, toxicity, wordtable
 
 SF = "/root/testdata/sf0.01"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -124,6 +125,17 @@ def test_equal_batches_keep_their_rows(spark):
     assert sorted(r.n_tokens for r in scored) == sorted(len((r.text or "").encode().split()) + 1 for r in df.collect())
 
 
+def test_shuffled_input_is_written_first(spark):
+    """Rows that come in another order each time give every row its result; rows straight from files are not written."""
+    docs, library = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), Tokenizer.from_file(BYTES)
+    assert wordtable.steady(docs.select("doc_id", "text").where("doc_id > 3")).inputFiles() == docs.inputFiles()
+    mixed = docs.union(docs).orderBy(F.rand())
+    rows = codec.digests(mixed, BYTES).collect()
+    want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted([*want.items()] * 2)
+    assert lattice.score(mixed, PIECES).count() == 2 * docs.count()
+
+
 def test_lattice_sums_all_segmentations():
     pieces, logp = lattice.vocabulary(PIECES)
     p = dict(zip(pieces, np.exp(logp), strict=True))
