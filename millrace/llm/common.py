@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,23 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The one thing that this worker process keeps from task to task, and its name.
+_KEPT: list[tuple[str, object]] = []
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What make gave in this process under the name. Another name takes its place, and what that frees goes back to the system."""
+    if not _KEPT or _KEPT[0][0] != name:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+        _KEPT.append((name, make()))
+    return _KEPT[0][1]
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

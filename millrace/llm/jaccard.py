@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, saved
+from millrace.llm.common import components, kept, saved
 
 WORDS = 5
 #: Groups of a signature up to this size give all their pairs.
@@ -57,9 +57,9 @@ SAMPLE, FREQUENT = 4_000, 20_000
 #: A shingle has level 1 from this many texts of the sample, a level more from each four times as many.
 OFTEN, LEVELS = 3, 4
 #: Characters of input for each bucket of signatures, and the most buckets that are dealt out at once.
-BUCKET, FAN = 16_000_000, 4096
+BUCKET, FAN = 8_000_000, 4096
 #: Sets and signatures, about, of one batch, and rows of text that a worker unpacks at a time.
-BATCH, MOST, ROWS = 8_000, 1_200_000, 256
+BATCH, MOST, ROWS = 8_000, 800_000, 256
 #: Shingles of the components that one task settles; a component of more is dealt to several.
 LIMIT = 2_000_000
 #: Rows that may be broadcast: ids and numbers, some 50 bytes each.
@@ -101,6 +101,11 @@ class Shingler:
         return np.unique(mix(s))
 
 
+def shingler(words: int) -> Shingler:
+    """Kept in a process, so that its tasks share the hashes of words."""
+    return kept(f"shingler-{words}", lambda: Shingler(words))
+
+
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
     """128-bit digest of a set as two signed numbers."""
     x = xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else bytes(16)
@@ -193,7 +198,7 @@ def _frequent(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarr
     sample = sample.groupBy(h.alias("h")).agg(F.first("text").alias("text")).select("text")
 
     def run(source):
-        shingle = Shingler(words)
+        shingle = shingler(words)
         for b in source:
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle(t).view(np.int64))], names=["s"])
@@ -275,7 +280,7 @@ def _records(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], deal: Dea
     A signature that many sets of a batch have is that of a large group: SMALL + 1 of them go to its bucket, which tell so
     there, and the others straight to the group's sets, so that a bucket gets few of a group from each batch."""
     def run(source):
-        shingle = Shingler(words)
+        shingle = shingler(words)
         held: dict[tuple[int, int], tuple[int, np.ndarray, int]] = {}
         rows: list[tuple[int | None, int, int, int]] = []
         total = 0
@@ -466,7 +471,7 @@ def _meant(rows: list[dict], shingle: Shingler) -> dict[tuple[int, int], tuple[i
 
 def _settled(percent: int, words: int):
     def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, by = Shingler(words), {}
+        shingle, by = shingler(words), {}
         for b in source:
             for r in b.to_pylist():
                 by.setdefault(r["component"], {}).update(_meant([r], shingle))
@@ -487,7 +492,7 @@ def _looked_up(percent: int, words: int):
     def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links between the hubs and the sets of a block."""
         rows = [r for b in source for r in b.to_pylist()]
-        shingle = Shingler(words)
+        shingle = shingler(words)
         hubs, sets = ([*_meant([r for r in rows if r["hub"] == x], shingle).values()] for x in (True, False))
         src, dst = [], []
         if sets:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import parts
+from millrace.llm.common import kept, parts
 
 CAPACITY = 2048
 #: Sequences of a group.
@@ -79,6 +79,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     dealt = rows.withColumn("part", parts(items, "doc_id", group))
 
     def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("packing", dict)  # frees what other operators kept
         part = key[0].as_py()
         whole = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["length"], r["source"], r["cluster"]) for b in source for r in b.to_pylist()), key=lambda r: tuple((x is not None, x) for x in r))
         pieces = []

@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved, smallest
+from millrace.llm.common import kept, saved, smallest
 
 #: Bound on the labelled rows that the trees are fitted on.
 MAX_FIT = 20_000
 #: Probability of good quality from which a document is kept.
 KEEP_FROM = 0.3
+#: Rows that a worker unpacks at a time.
+ROWS = 512
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -73,7 +75,8 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts and an array of features for every document."""
 
     def run(batches):
-        for b in batches:
+        kept("quality", dict)  # frees what other operators kept
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             found = [statistics(x) for x in b.column(1).to_pylist()]
             counts = np.array([x[0] for x in found], np.int64).reshape(-1, len(COUNTS))
             features = pa.array([x[1] for x in found], pa.list_(pa.float64()))

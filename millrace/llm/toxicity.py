@@ -21,19 +21,18 @@ is kept beside the decoded one. Plain tokens stay as they are.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, smallest
+from millrace.llm.common import fold, kept, saved, smallest
+from millrace.llm.words import Cache
 
 #: Bound on the labelled rows of either label that the evidence is counted on.
 MAX_FIT = 10_000
-#: Bound on the words and openings that carry evidence, strongest first.
-MAX_EVIDENCE = 50_000
 #: Documents of a label that must hold a word before it counts as evidence.
 LEAST_DOCS = 4
 #: What signs may stand for.
@@ -49,7 +48,8 @@ RANK = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIZE = len(LETTERS) + 1  # 0: anything else, and the edge of a word
 SPELLED = re.compile(r"(?<![^\s\"'(\[])\S(?:([ ._*\-])\S)(?:\1\S){2,}(?=[\"'.,;:?!)\]]*(?!\S))")
 DOUBT = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+(<€*.\-_~^'`#%&]+[^\W\d_]|^[0-9@$!|+(<€]+[^\W\d_]|[^\W\d_][0-9@$|+(<€]+$")
-CACHE = 400_000
+#: Tokens whose evidence a worker keeps, and rows that it unpacks at a time.
+CACHE, ROWS = 150_000, 512
 TWICE = re.compile(r"(.)\1")
 THRICE = re.compile(r"(.)\1\1")
 #: Runs that the lattice takes alike whatever their length.
@@ -152,10 +152,10 @@ def decode(token: str, logp: np.ndarray, loose: int = 0, split: bool = False) ->
 
 
 class Restorer:
-    """Restored forms of a text's words; forms of tokens are kept in a bounded cache."""
+    """Restored forms of a text's words."""
 
     def __init__(self, logp: np.ndarray):
-        self.logp, self.known, self.more = logp, {}, {}
+        self.logp = logp
 
     def forms(self, token: str) -> list[str]:
         """The word behind a token, and what else it may be."""
@@ -196,30 +196,12 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         """Distinct restored words of a whole text."""
         text = text.lower()
-        known, tokens = self.known, set(text.split())
-        if len(known) > CACHE:
-            known.clear()
-            self.more.clear()
-        more = self.more
-        for t in tokens.difference(known):
-            known[t], *others = self.forms(t)
-            if others:
-                more[t] = others
-        out = set(map(known.__getitem__, tokens))
-        out.update(*[more[t] for t in tokens if t in more])
-        out.update(self.spelled(text))
-        out.discard("")
-        return out
-
-
-def marks(word: str) -> list[int]:
-    """Keys of a word and its openings."""
-    raw = word[:64]
-    return [_key(raw + "=", 0), *(_key(raw[:k], k) for k in (4, 5, 6) if len(raw) > k)]
+        return {w for t in set(text.split()) for w in self.forms(t)}.union(self.spelled(text)) - {""}
 
 
-def _key(x: str, kind: int) -> int:
-    return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"), kind) >> 1
+def marks(word: str) -> list[str]:
+    """A word and its openings; a word's own mark starts with a sign that no restored word starts with."""
+    return ["=" + word, *(word[:k] for k in (4, 5, 6) if len(word) > k)]
 
 
 def strength(pos, neg, n_pos: int, n_neg: int):
@@ -228,9 +210,9 @@ def strength(pos, neg, n_pos: int, n_neg: int):
 
 
 class Model:
-    def __init__(self, logp: np.ndarray, n_pos: int, n_neg: int, evidence: dict[int, tuple[int, int]]):
+    def __init__(self, logp: np.ndarray, n_pos: int, n_neg: int, evidence: dict[str, tuple[int, int]]):
         self.logp, self.n_pos, self.n_neg, self.evidence = logp, n_pos, n_neg, evidence
-        self.curve = np.array([-3.0, 0, 0, 0])
+        self.curve, self.name = np.array([-3.0, 0, 0, 0]), f"toxicity-{uuid.uuid4().hex}"
 
     def _strength(self, pos: int, neg: int) -> float:
         """Kept by this model alone, so that it goes with its task; as many entries as a count has values in a bounded sample."""
@@ -239,31 +221,27 @@ class Model:
         return self.strengths[pos, neg]
 
     def start(self):
-        self.restore, self.weights, self.strengths = Restorer(self.logp), {}, {}
+        self.restore, self.strengths = Restorer(self.logp), {}
+        self.found = Cache(lambda token: tuple((w, x) for w in self.restore.forms(token) if (x := self.weigh(w))), CACHE)
         return self
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("restore", "weights", "strengths")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("restore", "found", "strengths")}
 
     def features(self, text: str | None, own: int | None = None) -> list[float]:
         """1, and the strongest, second and third evidence. own: the label that this document added to the evidence itself."""
-        words = self.restore.words(text or "")
+        text = (text or "").lower()
         if own is None:
-            weights = self.weights
-            if len(weights) > CACHE:
-                weights.clear()
-            for w in words.difference(weights):
-                weights[w] = self.weigh(w)
-            found = map(weights.__getitem__, words)
+            hits = dict(x for pairs in filter(None, map(self.found.__getitem__, set(text.split()))) for x in pairs)
+            hits.update((w, self.weigh(w)) for w in self.restore.spelled(text))
         else:
-            found = (self.weigh(w, own, 1 - own) for w in words)
-        top = sorted((x for x in found if x), reverse=True)[:3] + [0.0] * 3
-        return [1.0, *top[:3]]
+            hits = {w: self.weigh(w, own, 1 - own) for w in self.restore.words(text)}
+        return [1.0, *sorted((*hits.values(), 0.0, 0.0, 0.0), reverse=True)[:3]]
 
     def weigh(self, word: str, less_pos: int = 0, less_neg: int = 0) -> float:
         """Strongest evidence of a word and its openings; 0 if weak."""
         x = max((self._strength(max(0, e[0] - less_pos), max(0, e[1] - less_neg)) for m in marks(word) if (e := self.evidence.get(m))), default=0.0)
-        return x if x > 0.5 else 0.0
+        return x if x > 0.5 and word else 0.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
@@ -289,7 +267,9 @@ def learn(docs: DataFrame, labels: DataFrame | None, max_fit: int = MAX_FIT) ->
         return Model(logp, 0, 0, {}).start()
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(fold() != 0)
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for k in (1, 0) for r in smallest(known.where(f"toxic = {k}"), max_fit).collect()], "doc_id long, toxic int")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * max_fit small rows
+    # at most 2 * max_fit small rows to broadcast; one text for each, however many rows have its id
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = saved(sample.select("text", "toxic"), "toxic-sample")
 
     def count(batches):
         restore, total, n = Restorer(logp), {}, [0, 0]
@@ -298,17 +278,17 @@ def learn(docs: DataFrame, labels: DataFrame | None, max_fit: int = MAX_FIT) ->
                 n[toxic] += 1
                 for m in {m for w in restore.words(text or "") for m in marks(w)}:
                     total.setdefault(m, [0, 0])[toxic] += 1
-        total[-1] = n  # the documents themselves
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), *(pa.array([x[k] for x in total.values()], pa.int64()) for k in (1, 0))], names=["mark", "pos", "neg"])
+        total[""] = n  # the documents themselves
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([x[k] for x in total.values()], pa.int64()) for k in (1, 0))], names=["mark", "pos", "neg"])
 
-    counts = sample.mapInArrow(count, "mark long, pos long, neg long").groupBy("mark").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= LEAST_DOCS) | (F.col("mark") == -1)).persist()
-    whole = counts.where("mark = -1").first()
+    counts = sample.mapInArrow(count, "mark string, pos long, neg long").groupBy("mark").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= LEAST_DOCS) | (F.col("mark") == "")).persist()
+    whole = counts.where("mark = ''").first()
     n_pos, n_neg = (whole.pos, whole.neg) if whole else (0, 0)
     if not n_pos or not n_neg:
         return Model(logp, n_pos, n_neg, {}).start()
     c = lambda x: F.col(x) + 0.5
     bound = F.log(c("pos") / (n_pos + 1)) - F.log(c("neg") / (n_neg + 1)) - F.sqrt(1 / c("pos") + 1 / c("neg"))
-    rows = counts.where("mark <> -1").withColumn("bound", bound).where("bound > 0.3").orderBy(F.desc("bound"), "mark").limit(MAX_EVIDENCE).collect()
+    rows = counts.where("mark <> ''").withColumn("bound", bound).where("bound > 0.3").collect()  # of 2 * max_fit documents, a share of their words
     counts.unpersist()
     model = Model(logp, n_pos, n_neg, {r.mark: (r.pos, r.neg) for r in rows})
 
@@ -333,8 +313,8 @@ def score(docs: DataFrame, labels: DataFrame | None, max_fit: int = MAX_FIT) ->
     model = learn(docs, labels, max_fit)
 
     def run(batches):
-        m = model.start()
-        for b in batches:
+        m = kept(model.name, model.start)  # its cache serves the process's later tasks
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             x = np.array([m.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(x))], names=["doc_id", "score"])
 
