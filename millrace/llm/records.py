@@ -41,7 +41,7 @@ SHORT = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 #: Its pre-tokens of ASCII in lower case.
 ASCII = re.compile("|".join((*SHORT, "[a-z]+|[0-9]|[^a-z0-9]+")))
 #: Words whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 600_000
 
 
 def masked(data: bytes) -> int:
