@@ -107,8 +107,10 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def decode(token: str, logp: np.ndarray, loose: int = 0, split: bool = False) -> str:
-    """Likeliest word behind a disguised token. Of the first `loose` signs any may stand for nothing; split: there may be spaces between letters."""
+def lattice(token: str, loose: int = 0, split: bool = False) -> list[list[tuple[str, float]]]:
+    """What each sign or run of a disguised token may stand for, and its log weight.
+
+    Of the first `loose` signs any may stand for nothing; split: there may be spaces between letters."""
     steps: list[list[tuple[str, float]]] = []
     k = 0
     while k < len(token):
@@ -129,6 +131,12 @@ def decode(token: str, logp: np.ndarray, loose: int = 0, split: bool = False) ->
             options += [(" " + x, cost) for x, cost in options if x]
         steps.append(options)
         k += r
+    return steps
+
+
+def decode(token: str, logp: np.ndarray, loose: int = 0, split: bool = False) -> str:
+    """Likeliest word behind a disguised token: Viterbi search through its lattice."""
+    steps = lattice(token, loose, split)
     value = logp.item
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # the text as a chain of (before, part)
     for options in steps:

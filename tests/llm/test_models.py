@@ -77,6 +77,58 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels.limit(0)).collect() == []
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    r = np.random.default_rng(8)
+    logp = toxicity.log_model(r.integers(0, 40, toxicity.SIZE**3).astype(float))
+
+    def score(outs, costs):
+        a = b = 0
+        total = sum(costs)
+        for c in "".join(outs):
+            z = toxicity.RANK.get(c, 0)
+            total += logp[a, b, z]
+            a, b = b, z
+        return total + logp[a, b, 0]
+
+    for token, loose, split in (("1d10t", 0, False), ("$tu**pid", 1, False), ("looo5er", 0, False), ("abba", 0, True), ("st1aa", 0, True), ("|(|", 0, False), ("...", 0, False)):
+        paths = [tuple(zip(*p, strict=True)) for p in itertools.product(*toxicity.lattice(token, loose, split))]
+        best = max(paths, key=lambda p: score(*p))
+        got = toxicity.decode(token, logp, loose, split)
+        assert abs(max(score(*p) for p in paths if "".join(p[0]) == got) - score(*best)) < 1e-4, (token, got, best)
+
+
+def test_trees_score_as_walked_one_by_one():
+    r = np.random.default_rng(3)
+    x = r.random((500, 3))
+    y = ((x[:, 0] > 0.4) & (x[:, 1] < 0.7)).astype(float)
+    trees = quality.fit(x, y, [1, -1, 0], rounds=10)
+
+    def walk(row):
+        raw = trees.base
+        for k in trees.roots:
+            while trees.left[k] != k:
+                k = trees.left[k] if row[trees.feature[k]] <= trees.threshold[k] else trees.right[k]
+            raw += trees.value[k]
+        return 1 / (1 + math.exp(-raw))
+
+    got = trees.probability(x)
+    assert np.allclose(got, [walk(row) for row in x])
+    assert np.mean((got > 0.5) == y) > 0.98
+
+
+def test_text_probability_word_by_word():
+    r = np.random.default_rng(4)
+    logp, log_end, kappa = np.log10(r.dirichlet(np.ones(12))), math.log10(0.01), 7.0
+    for n in (0, 1, 5, 60):
+        words = r.integers(0, 12, n)
+        total, seen = 0.0, {}
+        for t, w in enumerate(words.tolist()):
+            total += math.log10((kappa * 10 ** logp[w] + seen.get(w, 0)) / (kappa + t))
+            seen[w] = seen.get(w, 0) + 1
+        total += log_end + math.log10(kappa / (kappa + n))
+        assert abs(lattice.text_log10(logp[words], words, log_end, kappa) - total) < 1e-9
+
+
 def test_disguises_of_any_length_and_place(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     words = toxicity.learn(docs, labels).start().restore.words
