@@ -10,13 +10,17 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from millrace.llm import wordtable
-from millrace.llm.words import spaced, stem, tokenizer
+from millrace.llm.words import APART, DOUBLE, EMPTY_OR_ANY, ENDS, spaced, stem, tokenizer
 
 
 @lru_cache(maxsize=4)
@@ -27,8 +31,6 @@ def _specials(path: str) -> tuple[str, ...]:
 @lru_cache(maxsize=4)
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The table of pieces: all their bytes, and by id where a piece starts and its length. Byte signs are undone as the library does it."""
-    from tokenizers.pre_tokenizers import ByteLevel
-
     library = tokenizer(path)
     level = ByteLevel(add_prefix_space=False, use_regex=False)
     byte: dict[str, int] = {}
@@ -45,20 +47,76 @@ def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by[i] for i in sorted(by)), np.uint8), np.cumsum(size) - size, size
 
 
-def splitter(path: str):
-    def split(text: str) -> list[str]:
-        if any(s in text for s in _specials(path)):
-            return [text]
+def splitter(path: str) -> wordtable.Splitter:
+    """Texts are cut at spaces after a character that is none, which always open a lump: a key has that space before
+    it, unless it opens a text. A text with special strings is one key."""
+
+    def whole(text: str) -> bool:
+        return any(s in text for s in _specials(path))
+
+    def cut(texts: pa.Array) -> pa.ListArray:
+        odd = pc.match_substring_regex(texts, DOUBLE)
+        for s in _specials(path):
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        if not pc.any(odd).as_py():
+            return pc.split_pattern(texts, " ")
+        keys = ([x] if whole(x) else APART.split(x) for x in texts.to_pylist())
+        return pa.array(list(keys), pa.list_(pa.large_string()))
+
+    def words(key: str, opens: bool) -> list[str]:
+        if opens and whole(key):
+            return [key]
         out = []
-        for lump in spaced(text):
+        for lump in spaced(key if opens else " " + key):
             core = stem(lump)
-            if core is lump:
-                out.append(lump)
-            else:
-                out += (core, lump[len(core) :])
+            out += (lump,) if core is lump else (core, lump[len(core) :])
         return out
 
-    return split
+    def parts(keys: pa.Array, opens: np.ndarray) -> pa.Array:
+        """As `words` of each key; those without white space inside a text, nearly all, as arrays."""
+        rare = opens | pc.match_substring_regex(keys, EMPTY_OR_ANY).to_numpy(zero_copy_only=False)
+        plain, rest = keys.filter(pa.array(~rare)), keys.filter(pa.array(rare)).to_pylist()
+        ends = pc.extract_regex(plain, ENDS)
+        tails = ends.is_valid().to_numpy(zero_copy_only=False)
+        core = pc.if_else(ends.is_valid(), pc.struct_field(ends, "core"), plain)
+        odd = [words(k, o) for k, o in zip(rest, opens[rare].tolist(), strict=True)]
+        held = pa.concat_arrays([
+            pc.replace_substring_regex(core, r"^", " ", max_replacements=1).cast(pa.large_string()),
+            pc.struct_field(ends, "tail").filter(pa.array(tails)).cast(pa.large_string()),
+            pa.array([w for x in odd for w in x], pa.large_string()),
+        ])
+        n = np.zeros(len(keys), np.int64)
+        n[~rare], n[rare] = 1 + tails, [len(x) for x in odd]
+        start = np.cumsum(n) - n
+        at = np.empty(n.sum(), np.int64)
+        first = start[~rare]
+        at[first] = np.arange(len(plain))
+        at[first[tails] + 1] = len(plain) + np.arange(tails.sum())
+        left = np.ones(len(at), bool)
+        left[first] = left[first[tails] + 1] = False
+        at[left] = len(plain) + tails.sum() + np.arange(left.sum())
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate((start, [len(at)]))), held.take(pa.array(at)))
+
+    return wordtable.Splitter(cut, parts)
+
+
+@lru_cache(maxsize=4)
+def _alone(path: str) -> bool:
+    """Whether the model takes a space and ASCII letters as one pre-token and as they are, the space as its sign: byte level with
+    the library's own pattern, no normal form, and no special string that is letters."""
+    library = tokenizer(path)
+    before = library.pre_tokenizer
+    level = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
+    return level and library.normalizer is None and isinstance(library.model, BPE) and not any(s.strip().isalpha() for s in _specials(path))
+
+
+def word_ids(words: list[str], path: str) -> list[list[int]]:
+    """Ids of each word; those of ASCII letters go to the library's model directly."""
+    library = tokenizer(path)
+    direct = [w.isascii() and w.removeprefix(" ").isalpha() and _alone(path) for w in words]
+    others = iter(library.encode_batch_fast([w for w, d in zip(words, direct, strict=True) if not d], add_special_tokens=False))
+    model = library.model
+    return [[x.id for x in model.tokenize(w.replace(" ", "Ġ"))] if d else next(others).ids for w, d in zip(words, direct, strict=True)]
 
 
 def encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
@@ -72,8 +130,10 @@ def encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
         words = list({w for held, _ in blocks for w in held})
         ids: dict[str, bytes] = {}
         for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True))
+            part, found = words[k : k + 20_000], word_ids(words[k : k + 20_000], path)
+            raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            at = np.cumsum([0, *map(len, found)]) * 4
+            ids.update((w, raw[i:j]) for w, (i, j) in zip(part, pairwise(at.tolist()), strict=True))
         wide = library.get_vocab_size() > 1 << 16
 
         def value(asked):
@@ -84,16 +144,20 @@ def encoded(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
         return value
 
     def assemble(rows, sizes, places, bucket, values):
-        ids: list[bytes] = [b""] * len(bucket)
-        order = iter(wordtable.order_of(bucket).tolist())
-        for _, (n_ids, flat) in sorted(values.items(), key=lambda x: x[0]):
-            raw, at = flat.astype("<u4").tobytes(), np.concatenate(([0], n_ids.cumsum())) * 4
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                ids[next(order)] = raw[a:b]
-        out, start = [], 0
+        held = [v for _, v in sorted(values.items(), key=lambda x: x[0])]
+        n_ids = np.concatenate([np.zeros(0, np.int32), *(n for n, _ in held)]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint16), *(ids for _, ids in held)])
+        order = wordtable.order_of(bucket)
+        n, start = np.empty(len(bucket), np.int64), np.empty(len(bucket), np.int64)
+        n[order], start[order] = n_ids, np.cumsum(n_ids) - n_ids
+        out, a = [], 0
         for row, size in zip(rows, sizes, strict=True):
-            out.append(finish(row[0], b"".join(map(ids.__getitem__, places[start : start + size].tolist()))))
-            start += size
+            at = places[a : a + size]
+            a += size
+            length = n[at]
+            end = np.cumsum(length)
+            raw = flat[np.arange(end[-1] if size else 0) + np.repeat(start[at] - end + length, length)].astype("<u4").tobytes()
+            out.append(finish(row[0], raw))
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
     return wordtable.assemble(wordtable.bodies(docs, split, n), wordtable.answers(wordtable.requests(docs, split, n), reply), assemble, _ddl(schema))

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,19 +159,23 @@ class Lattice:
         return total
 
 
-def split(text: str) -> list[bytes]:
-    """Words with A-Z lowered."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def _cut(texts: pa.Array) -> pa.Array:
+    """Words of each text with A-Z lowered; a text without any gives an empty one."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+
+
+def _words(keys: pa.Array, opens: np.ndarray) -> pa.Array:
+    there = pc.greater(pc.binary_length(keys), 0).to_numpy(zero_copy_only=False)
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(there)))), keys.filter(pa.array(there)))
+
+
+WORDS = wordtable.Splitter(_cut, _words, raw=True)
 
 
 def _train_counts(batch: wordtable.Batch) -> np.ndarray:
-    total = np.zeros(len(batch.number), np.int64)
-    for (_, held_out), places in zip(batch.rows, batch.places, strict=True):
-        if not held_out:
-            total += np.bincount(places, minlength=len(total)) if len(places) * 8 > len(total) else 0
-            if len(places) * 8 <= len(total):
-                np.add.at(total, places, 1)
-    return total
+    """How often training documents have each word of the batch."""
+    learn = np.repeat(np.array([not held_out for _, held_out in batch.rows]), batch.sizes)
+    return np.bincount(batch.flat[learn], minlength=len(batch.words))
 
 
 def _tally(blocks) -> dict[bytes, int]:
@@ -229,7 +234,7 @@ def score(docs: DataFrame, path: str, kappa: float = KAPPA) -> DataFrame:
     """
     held = wordtable.steady(docs.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "text"))
     n_buckets = wordtable.buckets(docs)
-    asked = saved(wordtable.requests(held, split, n_buckets, ("held_out",), _train_counts), "lm-asked")
+    asked = saved(wordtable.requests(held, WORDS, n_buckets, ("held_out",), _train_counts), "lm-asked")
 
     def table(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _tally(wordtable.unpack(r) for b in source for r in b.column("block").to_pylist())
@@ -286,5 +291,5 @@ def score(docs: DataFrame, path: str, kappa: float = KAPPA) -> DataFrame:
             out.append((doc_id, held_out, n, int(known[at].sum()) + (ends > 0), n_train, float(base[at].sum() + np.log10(ends + 0.5) - n * scale), text_log10(model[at], at, np.log10(p_end), kappa)))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)], names=names)
 
-    body = wordtable.bodies(held, split, n_buckets, ("held_out",))
+    body = wordtable.bodies(held, WORDS, n_buckets, ("held_out",))
     return wordtable.assemble(body, wordtable.answers(asked, reply), assemble, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -16,10 +16,18 @@ from functools import lru_cache
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 RUN = re.compile(f"[^{SPACE}]+")
 SPACED = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Spaces that open a lump whatever stands elsewhere.
+APART = re.compile(f"(?<![{SPACE}]) ")
 ODD = re.compile("[\x1c-\x1f]")
 #: ASCII signs, which are neither letters, digits nor space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: Patterns for Arrow: where a text has other spaces than those before a lump, white space or nothing, and the end that `stem` takes off.
+_SPACE = SPACE.replace(r"\x85", "\u0085").replace(r"\xa0", "\u00a0")
+DOUBLE = f"(?:^|[{_SPACE}]) "
+EMPTY_OR_ANY = f"^$|[{_SPACE}]"
+ENDS = f"(?s)^(?P<core>.*[A-Za-z0-9])(?P<tail>[{re.escape(SIGNS)}]+)$"
+
 
 def bare(text: str) -> list[str]:
     """Lumps without white space."""

@@ -25,10 +25,12 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -69,44 +71,88 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+@dataclass(frozen=True)
+class Splitter:
+    """How texts fall apart: cut gives the keys of each text of an array as a list array, parts the words of distinct keys.
+
+    parts takes keys and which of them open a text, and gives a list array of words. raw: words are bytes."""
+
+    cut: Callable[[pa.Array], pa.Array]
+    parts: Callable[[pa.Array, np.ndarray], pa.Array]
+    raw: bool = False
+
+
 class Batch:
-    def __init__(self, split: Callable[[str], list], extra: tuple[str, ...]):
-        self.split, self.extra = split, extra
-        self.number: dict = {}
-        self.rows, self.places, self.size = [], [], 0
-
-    def add(self, row: tuple, text: str) -> None:
-        number = self.number
-        words = self.split(text)
-        for w in set(words):
-            if w not in number:
-                number[w] = len(number)
-        self.places.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        self.rows.append(row)
-        self.size += len(text) + 1
-
-    def sealed(self, n_buckets: int):
-        words = list(self.number)
-        raw = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in words]
-        h = hashes(raw)
-        key = xxhash.xxh3_128(h.tobytes())
-        key.update(repr(self.rows).encode())
-        return key.hexdigest(), words, (h % np.uint64(n_buckets)).astype(np.int64)
-
-
-def batches(source: Iterator[pa.RecordBatch], split, extra: tuple[str, ...]) -> Iterator[Batch]:
-    """Batches over (doc_id, extra..., text)."""
-    now = Batch(split, extra)
+    """Rows and the keys of their texts, as Arrow arrays until `seal`, which sets
+
+    words: the distinct words in the order of first use, key: the batch's id, bucket: each word's bucket,
+    sizes: how many words each document has, flat: the numbers of all of them."""
+
+    def __init__(self, split: Splitter):
+        self.split = split
+        self.rows, self.keys, self.size = [], [], 0
+
+    def add(self, rows: list[tuple], texts: pa.Array, size: int) -> None:
+        self.rows += rows
+        self.keys.append(self.split.cut(texts))
+        self.size += size
+
+    def seal(self, n_buckets: int) -> Batch:
+        lists = pa.concat_arrays(self.keys)
+        self.keys = []
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        flat, keys = coded.indices.to_numpy().copy(), coded.dictionary
+        at = (np.cumsum(sizes) - sizes)[sizes > 0]
+        first, inverse = np.unique(flat[at], return_inverse=True)
+        flat[at] = -1
+        inside = np.flatnonzero(np.bincount(flat + 1, minlength=len(keys) + 1)[1:])  # keys that do not open texts alone
+        number = np.zeros(len(keys) + 1, np.int64)
+        number[inside] = np.arange(len(inside))
+        flat = number[flat]
+        flat[at] = len(inside) + inverse
+        chosen = np.concatenate((inside, first))
+        lists = self.split.parts(keys.take(pa.array(chosen)), np.arange(len(chosen)) >= len(inside))
+        coded = lists.flatten().dictionary_encode()
+        flat, sizes = spread(flat, sizes, coded.indices.to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
+        raw = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        self.words = raw if self.split.raw else coded.dictionary.to_numpy(zero_copy_only=False)
+        self.sizes, self.flat = sizes.tolist(), flat.astype(np.int32)
+        h = hashes(raw.tolist())
+        name = xxhash.xxh3_128(h.tobytes())
+        name.update(repr(self.rows).encode())
+        self.key, self.bucket = name.hexdigest(), (h % np.uint64(n_buckets)).astype(np.int64)
+        return self
+
+
+def spread(flat: np.ndarray, sizes: np.ndarray, of: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What numbers stand for, in their places: number k for n[k] entries of `of`, which has those of 0 first. And how many there are for each document."""
+    length, start = n[flat], np.cumsum(n) - n
+    end = np.concatenate(([0], np.cumsum(length)))
+    at = np.arange(end[-1]) + np.repeat(start[flat] - end[:-1], length)
+    return of[at], np.diff(end[np.concatenate(([0], np.cumsum(sizes)))])
+
+
+def batches(source: Iterator[pa.RecordBatch], split: Splitter, n_buckets: int) -> Iterator[Batch]:
+    """Sealed batches over (doc_id, extra..., text)."""
+    now = Batch(split)
     for b in source:
-        columns = [c.to_pylist() for c in b.columns]
-        for *row, text in zip(*columns, strict=True):
-            text = text or ""
-            if now.rows and now.size + len(text) > BATCH:
-                yield now
-                now = Batch(split, extra)
-            now.add(tuple(row), text)
+        texts = b.column(b.num_columns - 1)
+        texts = pc.if_else(texts.is_valid(), texts, "").cast(pa.large_string())  # an array of its own: some kernels misread a cast slice
+        size = (pc.utf8_length(texts).to_numpy(zero_copy_only=False) + 1).tolist()
+        rows = list(zip(*(c.to_pylist() for c in b.columns[:-1]), strict=True))
+        start, held = 0, now.size
+        for k, n in enumerate(size):
+            if (now.rows or k > start) and held + n > BATCH:
+                if k > start:
+                    now.add(rows[start:k], texts.slice(start, k - start), sum(size[start:k]))
+                yield now.seal(n_buckets)
+                now, start, held = Batch(split), k, 0
+            held += n
+        if len(size) > start:
+            now.add(rows[start:], texts.slice(start), sum(size[start:]))
     if now.rows:
-        yield now
+        yield now.seal(n_buckets)
 
 
 BLOCK = "batch string, bucket long, block binary"
@@ -117,33 +163,29 @@ def _block(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["batch", "bucket", "block"])
 
 
-def requests(docs: DataFrame, split, n_buckets: int, extra: tuple[str, ...] = (), tell: Callable[[Batch], np.ndarray] | None = None) -> DataFrame:
+def requests(docs: DataFrame, split: Splitter, n_buckets: int, extra: tuple[str, ...] = (), tell: Callable[[Batch], np.ndarray] | None = None) -> DataFrame:
     """A block of (words, what `tell` says of each) for each batch and bucket that has words."""
 
     def run(source):
-        for b in batches(source, split, extra):
-            key, words, bucket = b.sealed(n_buckets)
+        for b in batches(source, split, n_buckets):
             told = tell(b) if tell else None
-            order = np.argsort(bucket, kind="stable")
-            there, start = np.unique(bucket[order], return_index=True)
+            order = order_of(b.bucket)
+            there, start = np.unique(b.bucket[order], return_index=True)
             out = []
             for k, at in zip(there.tolist(), np.split(order, start[1:]) if len(order) else (), strict=True):
-                out.append((key, k, pack(([words[i] for i in at], None if told is None else told[at]))))
+                out.append((b.key, k, pack((b.words[at].tolist(), None if told is None else told[at]))))
             yield _block(out)
 
     return docs.select("doc_id", *extra, "text").mapInArrow(run, BLOCK)
 
 
-def bodies(docs: DataFrame, split, n_buckets: int, extra: tuple[str, ...] = ()) -> DataFrame:
+def bodies(docs: DataFrame, split: Splitter, n_buckets: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """The documents of each batch, under bucket -1."""
 
     def run(source):
-        for b in batches(source, split, extra):
-            key, words, bucket = b.sealed(n_buckets)
-            small = len(words) <= 1 << 16
-            flat = np.concatenate(b.places)
-            sizes = [len(x) for x in b.places]
-            yield _block([(key, -1, pack((b.rows, sizes, flat.astype(np.uint16) if small else flat, bucket.astype(np.int32))))])
+        for b in batches(source, split, n_buckets):
+            small = len(b.words) <= 1 << 16
+            yield _block([(b.key, -1, pack((b.rows, b.sizes, b.flat.astype(np.uint16) if small else b.flat, b.bucket.astype(np.int32))))])
 
     return docs.select("doc_id", *extra, "text").mapInArrow(run, BLOCK)
 

@@ -6,12 +6,13 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from test_tokens import HARD
 from tokenizers import Tokenizer
 
-from millrace.llm import codec, lattice, quality, toxicity, wordtable
+from millrace.llm import codec, lattice, quality, toxicity, words, wordtable
 
 SF = "/root/testdata/sf0.01"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -219,3 +220,34 @@ def test_lattice_scores(spark):
         assert math.isclose(r.base_score, sum(math.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in mine), rel_tol=1e-9)
         assert r.score < 0 and math.isfinite(r.score)
     assert lattice.score(df.limit(0), PIECES).collect() == []
+
+
+def test_words_of_batches(monkeypatch):
+    """Batches hold each text's words in order, however the texts are cut into record batches and slices."""
+    odd = ["", None, " ", "  a", "a  b", "a   b\n c \n\n d", "x<|endoftext|> y.", "a　 b", "tab\t b", "end. ", "..", " ..", "a .. b", "\x1c a", "a\x85 b", "İ. क़. É,", "The end, the End."]
+    texts = pa.array(odd * 3 + HARD, pa.string())
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["doc_id", "text"])
+
+    def lumps(text):
+        if "<|endoftext|>" in text:
+            return [text]
+        return [w for lump in words.spaced(text) for w in (words.stem(lump), lump[len(words.stem(lump)) :]) if w]
+
+    for most in (1, 40, wordtable.BATCH):
+        monkeypatch.setattr(wordtable, "BATCH", most)
+        for step in (1, 7, 1000):
+            source = [rows.slice(k, step) for k in range(0, len(texts), step)]
+            for split, want in ((codec.splitter(BYTES), lumps), (lattice.WORDS, lambda x: x.encode().lower().split())):
+                got, ids = [], []
+                for b in wordtable.batches(iter(source), split, 8):
+                    ids += [r[0] for r in b.rows]
+                    cut = np.cumsum([0, *b.sizes])
+                    got += [[b.words[i] for i in b.flat[x:y]] for x, y in itertools.pairwise(cut)]
+                assert ids == list(range(len(texts)))
+                assert got == [want(x or "") for x in texts.to_pylist()]
+
+
+def test_letters_go_to_the_model_alone():
+    library = Tokenizer.from_file(BYTES)
+    asked = ["a", " a", "the", " THE", " endoftext", "é", " é", "a1", " .", "x's", "'s", " ", "\n", "w" * 300]
+    assert codec.word_ids(asked, BYTES) == [library.encode(w, add_special_tokens=False).ids for w in asked]
