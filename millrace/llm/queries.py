@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import codec, counts, jaccard, lattice, packing, pivots, quality, records, secrets, toxicity
+from millrace.llm import codec, counts, intervals, jaccard, lattice, packing, pivots, quality, records, secrets, toxicity
 from millrace.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales, lines, clicks = (table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clicks"))
+    return intervals.join(sales, lines, clicks)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -60,6 +65,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_codec": op10_bpe_codec,
+    "op13_interval_overlap": op13_interval_overlap,
 }
 
 REACH = "both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), reach(id, far) AS (SELECT a, b FROM both_ways UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON r.far = e.a)"
@@ -101,4 +107,23 @@ _LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank,
 OP5 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(_spans(k, r) for k, r in enumerate(secrets.RULES))})
 SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _BASE)}, sha256({_LIST.format(" FILTER (rank < " + str(len(_BASE)) + ")")}) AS base_sha256, {_LIST.format("")} AS spans FROM d LEFT JOIN found USING (doc_id) GROUP BY doc_id"""
 
-ORACLE = {"op3_ngram_jaccard": OP3, "op5_secret_scans": OP5, "op7_embedding_dedup": OP7}
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of a short ASCII text, which DuckDB lacks: bit by bit over its bytes."""
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii({text}[i]) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+_SLOT = "CAST(floor(epoch_us({0}) // 3600000000) AS BIGINT)"
+OP13 = f"""WITH click AS (SELECT client_id, ts, bool_or(kind IS NOT DISTINCT FROM 'purchase') AS buy FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM click WINDOW w AS (PARTITION BY client_id ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY client_id ORDER BY ts) AS k FROM gaps),
+session AS (SELECT client_id, min(ts) AS f, max(ts) AS l, max_by(buy, ts) AS open, CAST(epoch_us(min(ts)) AS VARCHAR) AS us FROM numbered GROUP BY client_id, k),
+b AS (SELECT client_id, {_SLOT.format("f")} AS s, CASE WHEN open THEN 'Infinity'::DOUBLE ELSE {_SLOT.format("l")} END AS e, {crc32("us")} AS crc FROM session),
+line AS (SELECT sale_id, max(shipped_at) AS sent, bool_or(shipped_at IS NULL) AS unsent FROM sale_lines WHERE sale_id IS NOT NULL GROUP BY 1),
+a AS (SELECT sale_id, client_id, {_SLOT.format("sold_at")} AS s, CASE WHEN unsent THEN 'Infinity'::DOUBLE ELSE {_SLOT.format("greatest(sold_at, coalesce(sent, sold_at))")} END AS e FROM sales LEFT JOIN line USING (sale_id) WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+pair AS (SELECT sale_id, CASE WHEN a.s > b.s THEN CASE WHEN a.e < b.e THEN 'during' WHEN a.e = b.e THEN 'finishes' ELSE 'overlapped_by' END WHEN a.s = b.s THEN CASE WHEN a.e < b.e THEN 'starts' WHEN a.e = b.e THEN 'equals' ELSE 'started_by' END
+ELSE CASE WHEN a.e < b.e THEN 'overlaps' WHEN a.e = b.e THEN 'finished_by' ELSE 'contains' END END AS relation, CASE WHEN isfinite(least(a.e, b.e)) THEN least(a.e, b.e) - greatest(a.s, b.s) + 1 END AS shared, crc FROM a JOIN b ON a.client_id = b.client_id AND a.s <= b.e AND b.s <= a.e)
+SELECT sale_id, relation, count(*) AS n_pairs, CAST(sum(shared) AS BIGINT) AS overlap_slots, CAST(sum(crc) AS BIGINT) AS sessions_crc FROM pair GROUP BY 1, 2"""
+
+ORACLE = {"op3_ngram_jaccard": OP3, "op5_secret_scans": OP5, "op7_embedding_dedup": OP7, "op13_interval_overlap": OP13}

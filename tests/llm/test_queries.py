@@ -1,5 +1,7 @@
 """Queries with SQL give DuckDB's rows, on the tables and on planted rows."""
 
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ def rows(columns, data):
 
 def agree(spark, name, folder):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    for path in Path(folder).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     df = queries.QUERIES[name](spark, folder)
     got, want = df.collect(), con.execute(queries.ORACLE[name])
     columns = [d[0] for d in want.description]
@@ -52,7 +54,7 @@ def planted(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op5_secret_scans", "op7_embedding_dedup"])
 def test_planted(spark, planted, name):
     got = agree(spark, name, planted)
     if name == "op7_embedding_dedup":
