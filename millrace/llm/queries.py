@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import codec, counts, intervals, jaccard, lattice, packing, pivots, quality, records, secrets, toxicity
+from millrace.llm import archives, codec, counts, intervals, jaccard, lattice, merkle, packing, pivots, quality, records, secrets, toxicity
 from millrace.llm.common import table
 
 
@@ -49,6 +49,14 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op13_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales, lines, clicks = (table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clicks"))
     return intervals.join(sales, lines, clicks)
@@ -65,6 +73,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_archive_converter": op12_archive_converter,
     "op13_interval_overlap": op13_interval_overlap,
 }
 
@@ -114,6 +124,28 @@ def crc32(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295], list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii({text}[i]) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
 
 
+def _leaf(text: str) -> str:
+    fields = [f"CAST({c} AS VARCHAR)" for c in merkle.FIELDS[:-1]] + [text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+_UP = "list_transform(range(0, (len(a) + 2) // 3), lambda i: sha256(array_to_string(a[3 * i + 1:3 * i + 3], '')))"
+_SIDE = "{{'l': array_to_string(a[{0} - {0} % 3 + 1:{0}], ''), 'r': array_to_string(a[{0} + 2:{0} - {0} % 3 + 3], ''), 'v': ''}}"
+OP11 = f"""WITH RECURSIVE row AS (SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS tampered FROM documents),
+level(source, k, a) AS (SELECT source, 0, list(leaf ORDER BY doc_id NULLS FIRST, leaf) FROM row GROUP BY source UNION ALL SELECT source, k + 1, {_UP} FROM level WHERE len(a) > 1),
+sub AS (SELECT source, a[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM level WHERE len(a) = 1),
+top(k, a) AS (SELECT 0, list(subroot ORDER BY i) FROM sub UNION ALL SELECT k + 1, {_UP} FROM top WHERE len(a) > 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM row),
+own AS (SELECT p.source, p.i, list({_SIDE.format("(p.i // CAST(3 ** k AS BIGINT))")} ORDER BY k) FILTER (len(a) > 1) AS way FROM placed p JOIN level v ON p.source IS NOT DISTINCT FROM v.source GROUP BY 1, 2),
+far AS (SELECT source, list({_SIDE.format("(s.i // CAST(3 ** k AS BIGINT))")} ORDER BY k) FILTER (len(a) > 1) AS way FROM sub s CROSS JOIN top GROUP BY 1),
+one AS (SELECT p.*, subroot, (SELECT a[1] FROM top WHERE len(a) = 1) AS root, list_concat(coalesce(o.way, []), coalesce(f.way, [])) AS way FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source JOIN own o ON p.source IS NOT DISTINCT FROM o.source AND p.i = o.i JOIN far f ON p.source IS NOT DISTINCT FROM f.source),
+done AS (SELECT *, list_reduce(list_concat([{{'l': '', 'r': '', 'v': coalesce(tampered, leaf)}}], way), lambda x, y: {{'l': '', 'r': '', 'v': sha256(y.l || x.v || y.r)}}).v AS folded_root FROM one)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x.l || x.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done"""
+
+OP12 = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS target FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM target THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM target THEN target END AS refers_to FROM last"""
+
 _SLOT = "CAST(floor(epoch_us({0}) // 3600000000) AS BIGINT)"
 OP13 = f"""WITH click AS (SELECT client_id, ts, bool_or(kind IS NOT DISTINCT FROM 'purchase') AS buy FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
 gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM click WINDOW w AS (PARTITION BY client_id ORDER BY ts)),
@@ -126,4 +158,4 @@ pair AS (SELECT sale_id, CASE WHEN a.s > b.s THEN CASE WHEN a.e < b.e THEN 'duri
 ELSE CASE WHEN a.e < b.e THEN 'overlaps' WHEN a.e = b.e THEN 'finished_by' ELSE 'contains' END END AS relation, CASE WHEN isfinite(least(a.e, b.e)) THEN least(a.e, b.e) - greatest(a.s, b.s) + 1 END AS shared, crc FROM a JOIN b ON a.client_id = b.client_id AND a.s <= b.e AND b.s <= a.e)
 SELECT sale_id, relation, count(*) AS n_pairs, CAST(sum(shared) AS BIGINT) AS overlap_slots, CAST(sum(crc) AS BIGINT) AS sessions_crc FROM pair GROUP BY 1, 2"""
 
-ORACLE = {"op3_ngram_jaccard": OP3, "op5_secret_scans": OP5, "op7_embedding_dedup": OP7, "op13_interval_overlap": OP13}
+ORACLE = {"op3_ngram_jaccard": OP3, "op5_secret_scans": OP5, "op7_embedding_dedup": OP7, "op11_merkle_manifest": OP11, "op12_archive_converter": OP12, "op13_interval_overlap": OP13}
