@@ -11,6 +11,8 @@ from millrace.functions import rules
 from millrace.functions.session import saved
 from millrace.functions.text import blank, is_paired
 
+#: Parts that a key is dealt to before its first rows are taken.
+SALT = 64
 SCHEMA = ", ".join(f"{c} string" for c in rules.COLUMNS)
 
 
@@ -34,10 +36,21 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def cap_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | Column) -> DataFrame:
-    """The first rows of each key, as many as the limit says; a null limit keeps all."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    return df.withColumn("__n", F.row_number().over(w)).where(limit.isNull() | (F.col("__n") <= limit)).drop("__n")
+    """The first rows of each key, as many as the limit says; a null limit keeps all.
+
+    With one number for all, Spark keeps as many rows of a key in each task before the
+    shuffle. A limit that differs from row to row is applied twice, first in
+    SALT parts of each key, so that what meets in one task is SALT times the limit at
+    most; keys without a limit stay in parts.
+    """
+    if isinstance(limit, int):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
+    df = df.withColumns({"__salt": F.pmod(F.xxhash64(*order), F.lit(SALT)), "__most": limit})
+    for part in (F.col("__salt"), F.when(F.col("__most").isNull(), F.col("__salt"))):
+        w = Window.partitionBy(*keys, part).orderBy(*order)
+        df = df.withColumn("__n", F.row_number().over(w)).where(F.col("__most").isNull() | (F.col("__n") <= F.col("__most")))
+    return df.drop("__n", "__salt", "__most")
 
 
 def number(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:

@@ -33,7 +33,7 @@ def merge(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     for k, name in enumerate(SOURCES):
         if name in frames:
             df = frames[name]
-            order = [c for c in ("_site", "_page", "_block", "_unit", "seq") if c in df.columns]
+            order = [c for c in ("_site", *html.PLACE, "seq") if c in df.columns]
             key = F.concat_ws("/", *(F.lpad(F.col(c).cast("string"), 20, "0") if c != "seq" else F.to_json(F.struct("seq")) for c in order))
             if order == ["seq"]:
                 kind = dict(df.dtypes)["seq"]

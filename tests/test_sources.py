@@ -40,7 +40,7 @@ def test_site(spark):
     listing = '<a href="/a/1">1</a><a href="/b">b</a><a href="/a/2">2</a><a href="/a/1">again</a>'
     page = "<article><p>Drive slowly near all schools. Ⓒ Photo by some person here today.<p>Too short.<p>Wear a <b>seat belt</b> on each trip. Drive slowly near all schools.</article>"
     pages = spark.createDataFrame([("http://x.org/list", listing), ("http://x.org/a/1", page), ("http://x.org/a/2", "<p>Never drink and drive at all.</p>")], "url string, html string")
-    rows = html.collect_site(pages, site, "2024-01-01").orderBy("_page", "_block", "_unit").collect()
+    rows = html.collect_site(pages, site, "2024-01-01").orderBy(*html.PLACE).collect()
     assert [r.English for r in rows] == ["Wear a seat belt on each trip.", "Drive slowly near all schools."]
     assert rows[0].Domain == "Security" and json.loads(rows[0].Metadata) == {"type": "scraped", "tool": "html.parser", "site": "s"}
     assert html.collect_all(pages, ["who_covid_qna"], date="2024-01-01").count() == 0
