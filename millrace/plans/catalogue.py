@@ -288,11 +288,17 @@ def pair_join(spark, sf_dir):
     return pairs.exports(sentences, c.select(key.alias("a"), (key + 1).alias("b"), key.alias("ordinal")))
 
 
-@query("WITH a AS (SELECT row_number() OVER (ORDER BY item_id) AS n, text FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, text FROM documents) SELECT n, a.text AS en, b.text AS sw FROM a JOIN b USING (n)")
+_BREAKS = "".join(f" || chr({c})" for c in (10, 11, 12, 13, 28, 29, 30, 0x85, 0x2028, 0x2029)).removeprefix(" || ")
+
+
+@query(f"WITH a AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS seq, translate(text, {_BREAKS}, '          ') AS en FROM benchmark), b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq, translate(text, {_BREAKS}, '          ') AS sw FROM documents) SELECT seq, en, sw FROM a JOIN b USING (seq)")
 def line_zip(spark, sf_dir):
-    a = records.number(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("en")), ["item_id"])
-    b = records.number(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sw")), ["doc_id"])
-    return a.join(b, "n").select("n", "en", "sw")
+    """Texts of two tables written as files of lines and read back side by side."""
+    flat = lambda: F.translate("text", "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029", " " * 10)
+    paths = [scratch(spark, "lines"), scratch(spark, "lines")]
+    for path, name, key in zip(paths, ("benchmark", "documents"), ("item_id", "doc_id"), strict=True):
+        table(spark, sf_dir, name).repartitionByRange(key).sortWithinPartitions(key).select(flat()).write.text(path)
+    return pairs.zipped(spark, *paths)
 
 
 @query(f"WITH p AS (SELECT turn, conv_id, {norm('text')} AS en, CASE WHEN turn % 3 = 0 THEN '' ELSE {norm('role')} END AS sw FROM conversations ORDER BY conv_id, turn LIMIT 200) SELECT conv_id * 1000 + turn AS seq, 'Health' AS domain, en, sw FROM p WHERE en <> '' AND sw <> ''")
@@ -420,17 +426,50 @@ def pair_files(spark, sf_dir):
     return pairs.read_pairs(spark, path).groupBy("en", "sw").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT {norm('text')} AS en, role AS sw, count(*) AS n FROM conversations WHERE turn % 3 <> 0 GROUP BY 1, 2")
+def _memory(spark, sf_dir, path: str, p: str = "", encoding: str = "UTF-8") -> None:
+    """Turns written as units of translation memories; the kind of a unit is its turn's number modulo 8."""
+    plain = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kind = (F.col("conv_id") + F.col("turn")) % 8
+    cdata = F.concat(F.lit("<![CDATA["), F.replace(F.col("text"), F.lit("]]>"), F.lit("]] >")), F.lit("]]>"))
+    english = F.when(kind == 1, cdata).when(kind == 2, F.concat(F.lit("a & b "), plain)).when(kind == 3, F.concat(plain, F.lit("<br>"))).otherwise(plain)
+    side = lambda lang, text: F.concat(F.lit(f"<{p}tuv {lang}><{p}seg>"), text, F.lit(f"</{p}seg></{p}tuv>"))
+    swahili = F.when(kind != 4, side('xml:lang="sw"', F.col("role"))).otherwise("")
+    lead = F.when(kind == 5, F.lit(f"<{p}tu><{p}tuv>left open ")).when(kind == 6, F.lit(f"<!-- <{p}tu></{p}tu> -->")).otherwise("")
+    unit = F.concat(lead, F.lit(f'<{p}tu tuid="x">'), side('xml:lang="EN-us"', english), swahili, F.lit(f"</{p}tu>"))
+    head = F.lit(f'<?xml version="1.0" encoding="{encoding}"?><{p}tmx><{p}body>')
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.when(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0, head).otherwise(""), unit).alias("value"))
+    rows.write.option("encoding", encoding).text(path)
+
+
+_GOOD = "(conv_id + turn) % 8 NOT IN (2, 3, 4)"
+
+
+@query(f"SELECT {norm('text')} AS en, role AS sw, count(*) AS n FROM conversations WHERE {_GOOD} GROUP BY 1, 2")
 def memory_scan(spark, sf_dir):
-    """Turns written as units of translation memories, one in three without its second side, and read back."""
+    """Units of all kinds written and read back: plain, with character data, not well-formed, without a second side, behind one left open, behind a comment."""
+    path = scratch(spark, "memory")
+    _memory(spark, sf_dir, path)
+    return pairs.tmx(spark, path).groupBy("en", "sw").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {norm('text')} AS en, role AS sw, count(*) AS n FROM conversations WHERE {_GOOD} GROUP BY 1, 2")
+def memory_scan_prefixed(spark, sf_dir):
+    """The same with a namespace prefix on every element."""
     path = scratch(spark, "memory")
-    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    second = F.when(F.col("turn") % 3 != 0, F.concat(F.lit('<tuv xml:lang="sw"><seg>'), "role", F.lit("</seg></tuv>"))).otherwise("")
-    unit = F.concat(F.lit('<tu><tuv xml:lang="EN-us"><seg>'), safe, F.lit("</seg></tuv>"), second, F.lit("</tu>"))
-    table(spark, sf_dir, "conversations").select(unit).write.text(path)
+    _memory(spark, sf_dir, path, "t:")
     return pairs.tmx(spark, path).groupBy("en", "sw").agg(F.count("*").alias("n"))
 
 
+@query("""WITH k AS (SELECT (conv_id + turn) % 8 AS kind FROM conversations)
+SELECT count(*) FILTER (kind NOT IN (2, 3, 4)) AS pairs, count(*) FILTER (kind = 4) AS one_sided, count(*) FILTER (kind IN (2, 3, 5)) AS bad FROM k""")
+def memory_problems(spark, sf_dir):
+    """What a scan found: pairs, units with one side, units that could not be parsed."""
+    path = scratch(spark, "memory")
+    _memory(spark, sf_dir, path)
+    bad, pair = F.col("problem").isNotNull(), F.col("en").isNotNull() & F.col("sw").isNotNull()
+    return pairs.tmx_units(spark, path).agg(F.count_if(pair).alias("pairs"), F.count_if(~bad & ~pair).alias("one_sided"), F.count_if(bad).alias("bad"))
+
+
 @query(f"WITH {CLEAN} " + " UNION ALL ".join(f"SELECT '{k}' AS stage, count(*) AS n FROM {v}" for k, v in STAGE_TABLES.items()) + f" UNION ALL SELECT 'removed_total', (SELECT count(*) FROM recs) - (SELECT count(*) FROM c_out)")
 def clean_counts(spark, sf_dir):
     """The counts that cleaning observes while its rows are written once; seven rows and their difference."""
@@ -442,13 +481,41 @@ def clean_counts(spark, sf_dir):
 SITE = {"name": "own", "domain": "Road Safety", "source": "Own", "start_urls": [], "link_patterns": [], "content_selectors": SELECTORS, "max_pages": 15, "split_sentences": True, "verify_ssl": True, "min_words": 7, "max_records": 200, "pagination": None}
 
 
-@query(f"""WITH {PAGE_SENTS}, start AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS ordinal FROM pages ORDER BY page_id LIMIT 60),
-got AS (SELECT ordinal, block, unit, url, s.text FROM start JOIN psents s USING (page_id) WHERE {n_words('s.text')} BETWEEN 7 AND 80 AND NOT {boiler('s.text')}),
-uniq AS (SELECT * FROM got QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY ordinal, block, unit) = 1)
-SELECT 'Security' AS domain, text AS english, 'Own' AS source, url, '{{"type": "scraped", "tool": "html.parser", "site": "own"}}' AS metadata FROM uniq ORDER BY ordinal, block, unit LIMIT 200""")
+@query(f"""WITH {PAGE_SENTS},
+got AS (SELECT page_id, block, unit, url, s.text FROM pages JOIN psents s USING (page_id) WHERE {n_words('s.text')} BETWEEN 7 AND 80 AND NOT {boiler('s.text')}),
+uniq AS (SELECT * FROM got QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY page_id, block, unit) = 1)
+SELECT 'Security' AS domain, text AS english, 'Own' AS source, url, '{{"type": "scraped", "tool": "html.parser", "site": "own"}}' AS metadata FROM uniq ORDER BY page_id, block, unit LIMIT 200""")
 def collect_site(spark, sf_dir):
-    """Records of one site from its own addresses: their sentences, each once, capped as the site says."""
+    """Records of one site whose start addresses are those of all pages: their sentences, each once, capped as the site says."""
     pages = table(spark, sf_dir, "pages")
-    starts = [r.url for r in pages.orderBy("page_id").limit(60).collect()]  # a site's own list of addresses
-    found = html.collect_site(pages, SITE | {"start_urls": starts}, "2024-01-01")
+    starts = pages.select(F.lit("own").alias("name"), F.col("page_id").alias("ordinal"), "url")
+    found = html.collect(pages, html.site_table(spark, [SITE]), starts, "2024-01-01")
     return found.select(F.col("Domain").alias("domain"), F.col("English").alias("english"), F.col("Source").alias("source"), F.col("URL").alias("url"), F.col("Metadata").alias("metadata"))
+
+
+WORLD = f"""{PAGE_SENTS},
+link AS (SELECT n, 'http://s' || n || '.example' || replace(href, '&amp;', '&') AS href, min(pos) AS pos FROM (SELECT page_id // 20 AS n, unnest(range(len(h))) AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages WHERE page_id % 20 = 0)) GROUP BY ALL),
+hit AS (SELECT * FROM link WHERE n % 3 <> 2 AND (regexp_matches(href, '/[a-f][^/]*$') OR regexp_matches(href, '/[n-t][^/]*$')) QUALIFY row_number() OVER (PARTITION BY n ORDER BY pos) <= 2 + n % 3),
+content AS (SELECT n, pos, href AS url, page_id FROM hit JOIN pages ON page_id // 20 = n AND page_id % 20 = pos + 1 UNION ALL SELECT page_id // 20 AS n, -1, 'http://s' || page_id // 20 || '.example/', page_id FROM pages WHERE page_id % 20 = 0 AND page_id // 20 % 3 = 2),
+unit AS (SELECT n, pos, url, block, unit, text FROM content JOIN psents USING (page_id) WHERE n % 2 = 0 UNION ALL SELECT n, pos, url, block, 0, text FROM content JOIN blocks USING (page_id) WHERE n % 2 = 1),
+once AS (SELECT * FROM unit WHERE {n_words('text')} BETWEEN 4 + n % 4 AND 80 AND NOT {boiler('text')} QUALIFY row_number() OVER (PARTITION BY n, lower(text) ORDER BY pos, block, unit) = 1)"""
+
+
+@query(f"""WITH {WORLD}
+SELECT 's' || n AS site, pos AS link, block, unit, CASE n % 3 WHEN 0 THEN 'Health' WHEN 1 THEN 'Security' ELSE 'Education' END AS domain, text AS english, url FROM once QUALIFY n % 4 = 0 OR row_number() OVER (PARTITION BY n ORDER BY pos, block, unit) <= 10""")
+def collect_sites(spark, sf_dir):
+    """A site for each twenty pages: the first is its listing, the others stand where the listing's links lead. Patterns, selectors and limits differ by site, and all are collected in one plan."""
+    pages = table(spark, sf_dir, "pages").withColumn("n", F.floor(F.col("page_id") / 20))
+    base = F.concat(F.lit("http://s"), F.col("n").cast("string"), F.lit(".example/"))
+    first = pages.where("page_id % 20 = 0").withColumn("url", base)
+    links = html.parsed(first.select("n", "url", "html"), ()).select("n", F.posexplode("links").alias("pos", "href")).groupBy("n", "href").agg(F.min("pos").alias("pos"))
+    rest = pages.where("page_id % 20 > 0").select("n", (F.col("page_id") % 20 - 1).alias("pos"), "html").join(links, ["n", "pos"]).select(F.col("href").alias("url"), "html")
+    n = F.col("n")
+    some = lambda *x: F.array(*map(F.lit, x))
+    sites = first.select(
+        F.concat(F.lit("s"), n.cast("string")).alias("name"), F.when(n % 3 == 0, "Health").when(n % 3 == 1, "Road Safety").otherwise("Education").alias("domain"), F.lit("made").alias("source"), F.array("url").alias("start_urls"),
+        F.when(n % 3 == 2, F.array().cast("array<string>")).otherwise(some("/[a-f][^/]*$", "/[n-t][^/]*$")).alias("link_patterns"), some("!bad", *SELECTORS).alias("content_selectors"), (2 + n % 3).cast("int").alias("max_pages"),
+        (n % 2 == 0).alias("split_sentences"), F.lit(True).alias("verify_ssl"), (4 + n % 4).cast("int").alias("min_words"), F.when(n % 4 != 0, 10).alias("max_records"), F.lit(None).cast("struct<template: string, start: int, pages: int>").alias("pagination"),
+    )
+    found = html.collect(first.select("url", "html").unionByName(rest), sites, date="2024-01-01")
+    return found.select(F.col("_site").alias("site"), F.col("_link").alias("link"), F.col("_block").alias("block"), F.col("_unit").alias("unit"), F.col("Domain").alias("domain"), F.col("English").alias("english"), F.col("URL").alias("url"))
