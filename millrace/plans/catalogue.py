@@ -15,6 +15,7 @@ from millrace.functions import text as t
 from millrace.functions.session import saved, scratch
 from millrace.operators import cleaning, records
 from millrace.plans import profile
+from millrace.plans.duck import crc32
 from millrace.sources import html, pairs
 
 QUERIES, ORACLE = {}, {}
@@ -389,6 +390,29 @@ def language(spark, sf_dir):
     return sents(spark, sf_dir).select("doc_id", "pos", langid.detect(F.col("text")).alias("lang"))
 
 
+_LANGS = ("de", "en", "es", "fr")
+
+
+def _slots(c: str) -> str:
+    codes = f"list_transform(string_split(' ' || trim(regexp_replace(lower({c}), '[^\\p{{L}}]+', ' ', 'g')) || ' ', ''), lambda x: CAST(unicode(x) AS BIGINT))"
+    return f"list_transform(list_transform([{codes}], lambda a: list_transform(range(1, greatest(len(a) - 1, 1)), lambda k: (a[k] * 7919 + a[k + 1] * 241 + a[k + 2]) % {langid.SLOTS}))[1], lambda s: s)"
+
+
+@query(f"""WITH {SENTS}, fold AS (SELECT doc_id, {crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS held_out FROM documents),
+run AS (SELECT lang, unnest({_slots("t")}) AS slot FROM norm JOIN fold USING (doc_id) WHERE NOT held_out AND lang IN ({quoted(_LANGS)})),
+seen AS (SELECT lang, slot, count(*) AS n FROM run GROUP BY ALL), total AS (SELECT lang, sum(n) AS n FROM seen GROUP BY 1),
+weight AS (SELECT l.lang, s.slot, CAST(round(1000 * ln((coalesce(seen.n, 0) + 0.5) / (coalesce(total.n, 0) + 0.5 * {langid.SLOTS}))) AS BIGINT) AS w FROM (SELECT unnest([{quoted(_LANGS)}]) AS lang) l CROSS JOIN (SELECT unnest(range({langid.SLOTS})) AS slot) s LEFT JOIN seen ON seen.lang = l.lang AND seen.slot = s.slot LEFT JOIN total ON total.lang = l.lang),
+each AS (SELECT doc_id, pos, unnest({_slots("text")}) AS slot FROM sents), score AS (SELECT doc_id, pos, lang, sum(w) AS n FROM each JOIN weight USING (slot) GROUP BY ALL),
+ranked AS (SELECT doc_id, pos, list((n, lang) ORDER BY n DESC) AS r FROM score GROUP BY ALL)
+SELECT doc_id, pos, held_out, lang AS labelled, CASE WHEN length(text) >= 10 AND r[1][1] > r[2][1] THEN r[1][2] END AS detected FROM sents JOIN fold USING (doc_id) LEFT JOIN ranked USING (doc_id, pos)""")
+def language_profiles(spark, sf_dir):
+    """Language of every sentence by profiles learned from the documents outside a fold."""
+    fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+    docs = table(spark, sf_dir, "documents").select("text", "lang", fold)
+    profile = langid.learn(docs.where("not held_out"), _LANGS)
+    return sents(spark, sf_dir).select("doc_id", "pos", fold, F.col("lang").alias("labelled"), profile.detect(F.col("text")).alias("detected"))
+
+
 @query(f"WITH o AS (SELECT page_id, url, length({HOST}) % 3 AS kind FROM pages) SELECT page_id, url, kind = 1 OR (kind = 0 AND NOT regexp_matches(url, '^[^/:]+://[^/?#]*/en/')) AS allowed FROM o")
 def robots_rules(spark, sf_dir):
     """Whether each page may be fetched, under rules that keep /en/ away from one host in three and answer some with an error."""

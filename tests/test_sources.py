@@ -1,6 +1,7 @@
 """Sources, cleaning and whole runs on small fixtures."""
 
 import json
+import math
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,39 @@ def test_language(spark):
 def test_truncate(spark):
     df = spark.createDataFrame([("x" * 118 + "  yy",), ("a|b\nc",)], "c string")
     assert [r[0] for r in df.select(t.escape_markdown(t.truncate(F.col("c")))).collect()] == ["x" * 118 + "…", "a\\|b c"]
+
+
+def test_profiles_of_letters(spark):
+    detect = langid.learned(spark)
+    rows = [
+        ("Veuillez vous laver les mains régulièrement avec du savon et de l'eau propre chaque jour.", "fr"), (EN[1], "en"), ("Mtoto wangu anaumwa na tumbo tangu jana asubuhi na hataki kula chakula.", "sw"),
+        ("Der Bus fährt heute nicht, weil die Straße wegen des Schnees gesperrt ist.", "de"), ("Mañana por la mañana iremos al mercado para comprar pan y fruta.", "es"),
+        ("abc", None), ("1234567890 !!", None), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "c string, want string")
+    assert all(r.lang == r.want for r in df.withColumn("lang", detect(F.col("c"))).collect())
+    other = langid.learned(spark, spark.createDataFrame([("lorem ipsum dolor sit amet consectetur", "la"), (None, "la"), ("x", None)], "text string, lang string"), ["la", "en"])
+    got = spark.createDataFrame([("dolor amet ipsum sit",), (EN[1],)], "c string").select(other(F.col("c"))).collect()
+    assert [r[0] for r in got] == ["la", "en"]
+
+
+def test_profile_sums_are_those_of_a_loop(spark):
+    texts = spark.createDataFrame([("one two", "a"), ("zwei drei Öl", "b"), ("two x", "a")], "text string, lang string")
+    weights = langid.learn(texts, ["a", "b"]).weights
+    counts = {k: [0] * langid.SLOTS for k in "ab"}
+    for text, lang in (("one two", "a"), ("zwei drei öl", "b"), ("two x", "a")):
+        codes = [ord(x) for x in f" {text} "]
+        for x, y, z in zip(codes, codes[1:], codes[2:]):
+            counts[lang][(x * 7919 + y * 241 + z) % langid.SLOTS] += 1
+    for k in "ab":
+        assert weights[k] == [round(1000 * math.log((n + 0.5) / (sum(counts[k]) + 0.5 * langid.SLOTS))) for n in counts[k]]
+
+
+def test_profiles_beat_function_words_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    profile = langid.learn(docs.where("not held"), ["de", "en", "es", "fr"])
+    cut = docs.where("held").select("lang", F.explode(t.sentences(t.normalize(F.col("text")))).alias("s")).where(F.length("s") >= 10)
+    right = lambda c: F.avg(F.coalesce((c == F.col("lang")).cast("int"), F.lit(0)))
+    words, letters = cut.agg(right(langid.detect(F.col("s"))), right(profile.detect(F.col("s")))).first()
+    print(words, letters)
+    assert letters > words and letters > 0.95
