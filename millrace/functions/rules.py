@@ -7,11 +7,9 @@ COLUMNS = ["PSA_ID", "Domain", "English", "Kiswahili", "Ekegusii", "Source", "Da
 # Domains that are valid, and names that stand for one of them.
 DOMAINS = ["Health", "Education", "Agriculture", "Security", "Governance"]
 DOMAIN_ALIAS = {"Road Safety": "Security"}
-LANGUAGES = {"English": "en", "Kiswahili": "sw", "Ekegusii": "guz"}
 # Bounds of a sentence in words, both included.
 MIN_WORDS, MAX_WORDS = 4, 80
-# Pauses, time-out and the agent's name for fetching.
-REQUEST_DELAY, REQUEST_TIMEOUT = 2.0, 30
+# Fixed value: the agent's name for fetching.
 USER_AGENT = "millrace/1.0"
 # Texts that hold one of these, in lower case, are boilerplate.
 BOILERPLATE = ("cookie", "subscribe", "all rights reserved", "©", "Ⓒ", "ⓒ", "(c)", "sign up", "log in", "share this", "javascript")

@@ -14,9 +14,9 @@ from millrace.functions import langid, rules
 from millrace.functions import text as t
 from millrace.functions.session import saved, scratch
 from millrace.operators import cleaning, records
-from millrace.plans import profile
+from millrace.plans import build, profile
 from millrace.plans.duck import crc32
-from millrace.sources import html, pairs
+from millrace.sources import datasets, html, pairs
 
 QUERIES, ORACLE = {}, {}
 
@@ -344,13 +344,52 @@ def per_source(spark, sf_dir):
     return n.withColumn("share", F.col("rows") * F.lit(1.0) / F.sum("rows").over(Window.partitionBy()))
 
 
+_AT = F.col("doc_id") * (1 << 20) + F.col("pos")
 _EN, _SW = n_words(norm('"English"')), n_words(norm('"Kiswahili"'))
 
 
 @query(f"""WITH {DECO}, w AS (SELECT "Source", {_EN} AS en, CASE WHEN regexp_matches("Kiswahili", '[^{t.SPACES}]') THEN {_SW} END AS sw FROM recs)
 SELECT count(*) AS total, count(sw) AS paired, count(DISTINCT CASE WHEN "Source" <> '' THEN "Source" END) AS sources, avg(en) AS en_mean, median(en) AS en_median, avg(sw) AS sw_mean, median(sw) AS sw_median FROM w""")
 def word_stats(spark, sf_dir):
-    return profile.figures(recs(spark, sf_dir))
+    return profile.figures(profile.state(recs(spark, sf_dir), _AT))
+
+
+@query(f"""WITH {DECO}, w AS (SELECT doc_id * 1048576 + pos AS place, "Domain" AS domain, "Source" AS source, {_EN} AS en, CASE WHEN regexp_matches("Kiswahili", '[^{t.SPACES}]') THEN {_SW} END AS sw FROM recs)
+SELECT 'domain' AS kind, domain AS key, count(*) AS n, min(place) AS first FROM w GROUP BY domain UNION ALL SELECT 'source', source, count(*), min(place) FROM w GROUP BY source UNION ALL SELECT 'en', CAST(en AS VARCHAR), count(*), min(place) FROM w GROUP BY en UNION ALL SELECT 'sw', CAST(sw AS VARCHAR), count(*), min(place) FROM w WHERE sw IS NOT NULL GROUP BY sw""")
+def profile_merged(spark, sf_dir):
+    """The profile of a whole table from those of its halves."""
+    rows = recs(spark, sf_dir)
+    return profile.merged(*(profile.state(rows.where(F.col("doc_id") % 2 == k), _AT) for k in (0, 1)))
+
+
+BUILD = f"""{DECO},
+pair AS (SELECT conv_id * 1000 + turn AS a, 0 AS b, {norm('text')} AS en, CASE WHEN turn % 3 = 0 THEN '' ELSE {norm('role')} END AS sw FROM conversations),
+sentence AS (SELECT doc_id AS a, pos AS b, {norm(chr(34) + "English" + chr(34))} AS en, {norm(chr(34) + "Kiswahili" + chr(34))} AS sw FROM recs),
+mix AS (SELECT 1 AS src, a, b, 'Health' AS domain, en, sw, '{rules.TICO["source"]}' AS source FROM pair WHERE en <> '' AND sw <> '' UNION ALL SELECT 2, a, b, {keyword("en")}, en, sw, '{rules.TATOEBA["source"]}' FROM sentence WHERE {n_words("en")} BETWEEN 4 AND 80 AND {keyword("en")} IS NOT NULL),
+neat AS (SELECT * REPLACE ({bullet('en')} AS en, {bullet('sw')} AS sw) FROM mix),
+first AS (SELECT * FROM neat WHERE en <> '' AND NOT {dangling('en')} AND {n_words('en')} BETWEEN 4 AND 80 QUALIFY row_number() OVER (PARTITION BY array_to_string(string_split(lower(en), ' ')[1:8], ' ') ORDER BY src, a, b) = 1)"""
+
+
+@query(f"""WITH {BUILD} SELECT printf('PSA%06d', row_number() OVER (ORDER BY src, a, b)) AS psa_id, domain, en AS english, sw AS kiswahili, source FROM first""")
+def build_run(spark, sf_dir):
+    """A dataset built from two sources: a memory of turns and sentences with a domain."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("en"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("sw"))
+    p = recs(spark, sf_dir).select(F.struct("doc_id", "pos").alias("seq"), F.col("English").alias("en"), F.col("Kiswahili").alias("sw"))
+    df, _ = build.build(spark, {"tico19": pairs.import_memory(c), "tatoeba": pairs.import_sentences(p)}, langid.unknown)
+    return df.select(F.col("PSA_ID").alias("psa_id"), F.col("Domain").alias("domain"), F.col("English").alias("english"), F.col("Kiswahili").alias("kiswahili"), F.col("Source").alias("source"))
+
+
+@query(f"""WITH {DECO}, neat AS (SELECT doc_id, pos, "Domain" AS domain, {bullet(norm('"English"'))} AS en, "Source" AS source FROM recs),
+first AS (SELECT * FROM neat WHERE en <> '' AND NOT {dangling('en')} AND {n_words('en')} BETWEEN 4 AND 80 QUALIFY row_number() OVER (PARTITION BY array_to_string(string_split(lower(en), ' ')[1:8], ' ') ORDER BY doc_id, pos) = 1)
+SELECT printf('PSA%06d', row_number() OVER (ORDER BY doc_id, pos)) AS psa_id, domain, en AS english, source FROM first WHERE domain IN ({quoted(rules.DOMAINS)})""")
+def reclean_run(spark, sf_dir):
+    """A stored dataset, with ids that have gaps, cleaned again under the present rules, stored as a new version and read back."""
+    path = scratch(spark, "dataset")
+    raw = recs(spark, sf_dir).withColumns({"English": F.regexp_replace("English", "[\\r\\n]", " "), "PSA_ID": F.format_string("PSA%09d", F.col("doc_id") * 10_000 + F.col("pos"))})
+    datasets.write(datasets.taken(raw, rules.COLUMNS), path)
+    df, stats = build.reclean(datasets.read(spark, path), langid.unknown)
+    build.store(df, stats, path, {})
+    return datasets.read(spark, path).select(F.col("PSA_ID").alias("psa_id"), F.col("Domain").alias("domain"), F.col("English").alias("english"), F.col("Source").alias("source"))
 
 
 _CUT = "CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(substring(text, 1, 119), '" + t.WS + "+$', '') || '…' END"
@@ -434,8 +473,8 @@ _DATASET = """SELECT printf('PSA%06d', doc_id) AS "PSA_ID", 'Health' AS "Domain"
 def dataset_files(spark, sf_dir):
     """Records written as a dataset and read back."""
     path = scratch(spark, "dataset")
-    pairs.write_dataset(_records(spark, sf_dir), path)
-    return pairs.read_dataset(spark, path).select("PSA_ID", "Domain", "English", "Source", "Date", "Metadata", "Status")
+    datasets.write(_records(spark, sf_dir), path)
+    return datasets.read(spark, path).select("PSA_ID", "Domain", "English", "Source", "Date", "Metadata", "Status")
 
 
 _FLAT = "replace(replace({0}, chr(9), ' '), chr(10), ' ')"

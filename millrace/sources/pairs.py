@@ -1,4 +1,4 @@
-"""Parallel text: translation memories, line-aligned files, sentence exports and pair tables, dataset files."""
+"""Parallel text: translation memories, line-aligned files, sentence exports and pair tables."""
 
 from __future__ import annotations
 
@@ -162,6 +162,11 @@ def zipped(spark: SparkSession, left: str, right: str) -> DataFrame:
     return lines(spark, left, "en").join(lines(spark, right, "sw"), "seq")
 
 
+def bench(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """seq, en, sw of the dev or test split of a benchmark: files of lines that belong together, TICO19.{split}.en and .sw."""
+    return zipped(spark, *(f"{folder.rstrip('/')}/TICO19.{split}.{lang}" for lang in ("en", "sw")))
+
+
 def exports(sentences: DataFrame, links: DataFrame) -> DataFrame:
     """English and Swahili texts of linked sentences (id, lang, text, ordinal) and (a, b, ordinal).
 
@@ -204,14 +209,3 @@ def import_sentences(pairs: DataFrame, date: str | None = None, about: dict = ru
     found = t.with_domain(pairs.where(t.word_bounds(F.col("en"))), "en").where("domain is not null")
     meta = t.json_object(type="corpus", corpus=about["corpus"], license=about["license"])
     return found.select("seq", *record(F.col("domain"), F.col("en"), F.col("sw"), F.lit(about["source"]), date, F.lit(about["url"]), meta))
-
-
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """A dataset file as strings; only what is empty is empty."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return df.na.fill("")
-
-
-def write_dataset(df: DataFrame, path: str, order: str = "PSA_ID") -> None:
-    """CSV with a header, rows in order; one file for each partition of the order."""
-    df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")

@@ -9,7 +9,7 @@ from millrace.functions import langid, rules
 from millrace.functions import text as t
 from millrace.operators import cleaning, records
 from millrace.plans import build, profile
-from millrace.sources import html, pairs
+from millrace.sources import datasets, html, pairs
 
 EN = ["Wash your hands with soap and water.", "Stay at home if you have the fever and call your doctor today please."]
 
@@ -75,8 +75,8 @@ def test_build_and_reclean(spark, tmp_path):
     assert [r.PSA_ID for r in rows] == ["PSA000001", "PSA000002", "PSA000003"] and df.columns == rules.COLUMNS
     assert stats["source_counts"] == {"tico19": 2, "tatoeba": 2} and stats["output_rows"] == 3
     out = str(tmp_path / "data")
-    pairs.write_dataset(df, out)
-    again, more = build.reclean(pairs.read_dataset(spark, out), langid.unknown)
+    datasets.write(df, out)
+    again, more = build.reclean(datasets.read(spark, out), langid.unknown)
     assert [tuple(r) for r in again.orderBy("PSA_ID").collect()] == [tuple(r) for r in rows]
     assert more["rows_per_source"] == {"WHO": 3}
     text = profile.report(again, "T", "data", today="2024-01-01")
