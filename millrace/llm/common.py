@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.session import saved, scratch
+
+__all__ = ["components", "fold", "kept", "parts", "saved", "scratch", "smallest", "table"]
+
 #: Edges that a task shrinks at a time.
 STRETCH = 2_000_000
 
@@ -21,28 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is missing, one is made and set in a session of a single
-    machine, as in tests; on a cluster that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: The one thing that this worker process keeps from task to task, and its name.
 _KEPT: list[tuple[str, object]] = []
 
@@ -76,10 +56,10 @@ def smallest(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     return df.orderBy(h, key).limit(most)
 
 
-def parts(df: DataFrame, key: str, target: int) -> Column:
-    """Bucket of a key so that a bucket holds about `target` rows, at least one bucket."""
+def parts(df: DataFrame, keys: Sequence[str], target: int) -> Column:
+    """Bucket of the keys so that a bucket holds about `target` rows, at least one bucket."""
     n = max(1, -(-df.count() // target))
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
 def _stars(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,7 +76,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     its own. Extra columns are ignored. Ties are taken in the order of doc_id.
     """
     rows = items.select("doc_id", F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0)).alias("length"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
-    dealt = rows.withColumn("part", parts(items, "doc_id", group))
+    # dealt by all that a row is packed by, so that rows without an id are spread as well
+    dealt = rows.withColumn("part", parts(items, rows.columns, group))
 
     def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("packing", dict)  # frees what other operators kept

@@ -2,17 +2,19 @@
 
 Reference points (pivots) are a bounded sample of the distinct vectors, thinned so
 that a dense group has one, and numbered from the rarest to the most frequent among the
-nearest of the sample. Each vector is described by its `PREFIX` nearest pivots, in order.
-Two kinds of inverted lists hold the vectors:
+nearest of the sample. Each vector is described by its nearest pivots, in order. How many, and how many of
+them candidates must share, is taken from LADDER: other vectors of the sample get partners whose cosine is just the bound and
+that differ from them as the sample's vectors do from one another, and the first rung that makes enough of these
+pairs candidates is used. Two kinds of inverted lists hold the vectors:
 
 * the list of a pivot has the vectors that are close to it, so close that they include
   every vector which may link with a core one, a vector at `CORE` or more from that pivot.
   Members of a dense group meet there; their cosines are computed in blocks.
-* other vectors stand in lists of pairs of pivots. To share `SHARED` of their `PREFIX`
+* other vectors stand in lists of pairs of pivots. To share s of their p
   nearest pivots two vectors must share the two rarest of these, which are then among
-  the first `PREFIX - SHARED + 2` of each: so many pivots make a vector's pairs. A list has ids
+  the first p - s + 2 of each: so many pivots make a vector's pairs. A list has ids
   and descriptions alone. Shared pivots are counted there, and only pairs with
-  `SHARED` or more, once each, get their vectors fetched and their cosine computed.
+  s or more, once each, get their vectors fetched and their cosine computed.
 
 With the number of pivots following the square root of the number of vectors, a list of
 pairs has a few vectors however many there are. Equal vectors are one class from
@@ -32,8 +34,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import components, saved
 
-#: Pivots of a description; how many of them candidates share, one less where there are over MANY pivots, among which nearest ones differ more.
-PREFIX, SHARED, MANY = 8, 4, 800
+#: Pivots of a description and how many of them candidates share, cheapest first; the first that finds so large a part of pairs at the bound is taken.
+LADDER = ((8, 4), (8, 3), (12, 5), (12, 4), (16, 6), (16, 5), (24, 8), (24, 6))
+AIM = 0.97
+#: Vectors of the sample that are no pivots and have a partner made for each, to measure that part.
+CHECKED = 1000
 #: Vectors of a block of a pivot's list, of a block of a long list of a pair, and entries of a task of short ones.
 BLOCK, LONG, TASK = 1024, 4096, 200_000
 #: Bounds on the number of pivots, which in between follows the square root of the number of vectors.
@@ -69,21 +74,46 @@ def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int) -> tuple[np.ndarray,
     return top, np.take_along_axis(cos, top, 1)
 
 
-def choose(distinct: DataFrame, bounds: tuple[int, int] = PIVOTS, prefix: int = PREFIX) -> dict[int, np.ndarray]:
-    """Pivots for each number of dimensions, those that are rarely among the nearest first."""
+def choose(distinct: DataFrame, bounds: tuple[int, int] = PIVOTS, cosine: float = COSINE, rung: tuple[int, int] | None = None) -> tuple[dict[int, np.ndarray], int, int]:
+    """Pivots for each number of dimensions, those that are rarely among the nearest first, and the rung of the ladder, unless it is given."""
     n = distinct.count()
     most = int(min(bounds[1], max(bounds[0], 1.5 * n**0.5)))
-    rows = distinct.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(most).select("embedding").collect()
+    rows = distinct.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(most + CHECKED).select("embedding").collect()
     by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(len(r.embedding), []).append(r.embedding)
+    for k, r in enumerate(rows):
+        by.setdefault(len(r.embedding), ([], []))[k >= most].append(r.embedding)
+    pivots = {d: thin(unit(found)) for d, (found, _) in by.items() if found}
+    steps = [rung or settled(pivots[d], unit(others), cosine) for d, (_, others) in by.items() if d in pivots and others]
+    prefix, shared = max(steps, key=lambda x: LADDER.index(x) if x in LADDER else -1, default=rung or LADDER[0])
     out = {}
-    for d, found in by.items():
-        x = unit(found)
-        pivots = thin(x)
-        often = sum(np.bincount(nearest(x[k : k + 1024], pivots, prefix)[0].ravel(), minlength=len(pivots)) for k in range(0, len(x), 1024))
-        out[d] = pivots[np.argsort(often, kind="stable")]
-    return out
+    for d, p in pivots.items():
+        x = unit(by[d][0])
+        often = sum(np.bincount(nearest(x[k : k + 1024], p, prefix)[0].ravel(), minlength=len(p)) for k in range(0, len(x), 1024))
+        out[d] = p[np.argsort(often, kind="stable")]
+    return out, prefix, shared
+
+
+def partners(x: np.ndarray, cosine: float) -> np.ndarray:
+    """A vector at the cosine from each, off in the direction in which two others differ."""
+    off = np.roll(x, 1, 0) - np.roll(x, 2, 0) if len(x) > 2 else np.zeros_like(x)
+    off -= (off * x).sum(1, keepdims=True) * x
+    length = np.linalg.norm(off, axis=1, keepdims=True)
+    return cosine * x + (1 - cosine**2) ** 0.5 * np.divide(off, length, out=np.zeros_like(off), where=length > 1e-6)
+
+
+def settled(pivots: np.ndarray, x: np.ndarray, cosine: float) -> tuple[int, int]:
+    """The first rung under which enough of the vectors and their partners are candidates. Those close to a pivot do not count: they meet in its list."""
+    x = x[(x @ pivots.T).max(1) < CORE]
+    if not len(x):
+        return LADDER[0]
+    y = partners(x, cosine)
+    for prefix, shared in LADDER:
+        if len(pivots) <= prefix:
+            break  # all are compared
+        a, b = (nearest(v, pivots, prefix)[0] for v in (x, y))
+        if ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= shared).mean() >= AIM:
+            break
+    return prefix, shared
 
 
 def thin(x: np.ndarray, apart: float = APART) -> np.ndarray:
@@ -230,7 +260,9 @@ def _pairs(listed: DataFrame, shared: int, long: int) -> DataFrame:
     # one row for each list that no task takes whole
     lengths = saved(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long).select("key", F.ceil(F.col("n") / long).cast("int").alias("blocks")), "pivot-long")
     n = listed.where("size(near) > 1").count()
-    tasks = max(1, n * 15 // TASK)
+    keys_each = F.max(F.size("near")).alias("p")
+    most = (listed.agg(keys_each).first().p or 0) - shared + 2
+    tasks = max(1, n * (most * (most - 1) // 2) // TASK)
     bucket = F.pmod(F.xxhash64("key"), F.lit(tasks))
     columns = ["key", "rep", "near", "close"]
     if lengths.isEmpty():
@@ -261,18 +293,17 @@ def _verified(pairs: DataFrame, listed: DataFrame, cosine: float) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "e_a", "e_b").mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
-def near(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, shared: int | None = None, bounds: tuple[int, int] = PIVOTS, block: int = BLOCK, long: int = LONG) -> DataFrame:
+def near(vectors: DataFrame, cosine: float = COSINE, rung: tuple[int, int] | None = None, bounds: tuple[int, int] = PIVOTS, block: int = BLOCK, long: int = LONG) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row for each row of vectors.
 
     Null and zero vectors and those with a null or non-finite component link with
     nothing, nor do vectors of different dimensions. Equal vectors link. Repeated
-    rows count as vectors of their own. A row with a null vec_id links with nothing and
+    rows count as vectors of their own. rung: pivots of a description and how many candidates share, in place of what the sample says. A row with a null vec_id links with nothing and
     has no component. Extra columns are ignored.
     """
     v, distinct = classes(vectors)
     distinct = saved(distinct, "pivot-classes")
-    pivots = choose(distinct, bounds, prefix)
-    shared = shared or SHARED - (sum(map(len, pivots.values())) > MANY)
+    pivots, prefix, shared = choose(distinct, bounds, cosine, rung)
     # a vector that links with one at CORE from a pivot is at least so near to that pivot
     close = CORE * cosine - ((1 - CORE**2) * (1 - cosine**2)) ** 0.5 - 1e-9
     listed = saved(describe(distinct, pivots, prefix, close), "pivot-lists")

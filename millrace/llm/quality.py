@@ -167,14 +167,15 @@ def judge(docs: DataFrame, labels: DataFrame | None, max_fit: int = MAX_FIT, kee
 
     A null or empty text has zero counts and fails the base rules. Labels that
     are null, or of documents that are not there, teach nothing; without labels
-    of both kinds the verdict is that of the base rules. Extra columns of either
+    of both kinds the verdict is that of the base rules. Of several texts of one
+    doc_id the one whose statistics come first in order teaches. Extra columns of either
     table are ignored. A repeated row is judged as often as it stands there.
     """
     stats = saved(measure(docs), "quality")
     trees = Trees(float("inf"))
     if labels is not None:
         known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        rows = smallest(known.join(stats.dropDuplicates(["doc_id"]), "doc_id"), max_fit).select("quality", "features").collect()
+        rows = smallest(known.join(stats.groupBy("doc_id").agg(F.min("features").alias("features")), "doc_id"), max_fit).select("quality", "features").collect()
         y = np.array([r.quality > 0 for r in rows], float)
         if len(set(y.tolist())) == 2:
             trees = fit(np.array([r.features for r in rows]), y, list(FEATURES.values()))

@@ -169,10 +169,6 @@ def masked(docs: DataFrame, store: str | None = None, rules: tuple[Rule, ...] =
 
     Columns and their order stay; texts without findings stay as they are, null texts too.
     """
-    if {"blob", "cuts", "__salt"} & set(docs.columns):
-        renamed = [f"__own_{k}" for k in range(len(docs.columns))]
-        own = dict(zip(docs.columns, renamed, strict=True))
-        return masked(docs.withColumnsRenamed({a: b for a, b in own.items() if a != "text"}), store, rules).withColumnsRenamed({b: a for a, b in own.items() if a != "text"})
     store = store or scratch(docs.sparkSession, "secrets")
     scan(docs.select(F.lit(None).alias("doc_id"), "text"), store, rules)
     span = F.struct("start", "end", "kind")
@@ -182,7 +178,9 @@ def masked(docs: DataFrame, store: str | None = None, rules: tuple[Rule, ...] =
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>").alias("out"))
     cuts = findings(docs.sparkSession, store, rules).groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found")).select("blob", F.aggregate("found", zero, step).alias("cuts"))
     blob = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    found = joined(docs.withColumn("blob", blob), cuts)
+    # the other columns go in one, so that no name of theirs can clash
+    own = F.struct(F.lit(None).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found = joined(docs.select("text", own.alias("own"), blob.alias("blob")), cuts)
     piece = F.transform("cuts.out", lambda x: F.concat(F.substr(F.col("text"), (x["start"] + 1).cast("int"), (x["stop"] - x["start"]).cast("int")), F.lit("<"), x["kind"], F.lit(">")))
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(piece, ""), F.substr(F.col("text"), (F.col("cuts.end") + 1).cast("int"), F.length("text"))))
-    return found.withColumn("text", text).select(docs.columns)
+    return found.withColumn("text", text).select(*("text" if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns))

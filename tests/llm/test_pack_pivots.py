@@ -109,7 +109,7 @@ def test_embeddings_of_the_tables_have_no_false_links(spark):
 
 @pytest.mark.parametrize("n", [3_000, 10_000, 30_000])
 def test_embeddings_recall_of_planted_pairs(spark, n):
-    """Default parameters but shorter blocks: a third of the rows is one group of near copies, a sixth is in small groups, others have a copy just above the bound."""
+    """Default parameters, but shorter blocks for the least table: a third of the rows is one group of near copies, a sixth is in small groups, others have a copy just above the bound."""
     r = np.random.default_rng(11)
     one = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     hot = one(one(r.normal(size=(1, 64))) + 0.18 * one(r.normal(size=(n // 3, 64))))
@@ -124,7 +124,7 @@ def test_embeddings_recall_of_planted_pairs(spark, n):
     x, kind = x[p], kind[p]
     want = np.concatenate([(x[k : k + 1000] @ x.T >= pivots.COSINE).sum(1) for k in range(0, len(x), 1000)]) - 1
     df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
-    got = {g.vec_id: g for g in pivots.near(df, shared=3 if n == 10_000 else None, block=512, long=64).collect()}
+    got = {g.vec_id: g for g in pivots.near(df, **({"block": 512, "long": 64} if n == 3_000 else {})).collect()}
     got = np.array([got[k].n_links for k in range(len(x))])
     assert (got <= want).all()
     for k, least in ((0, 0.999), (1, 0.95), (2, 0.9)):
@@ -134,6 +134,46 @@ def test_embeddings_recall_of_planted_pairs(spark, n):
         assert recall >= least
 
 
+def leaning(n, d, mean, seed=5):
+    """Vectors whose mean cosine is as given, and as many pairs at cosine 0.952 as a twentieth of them, half off as the vectors differ and half in any direction."""
+    r = np.random.default_rng(seed)
+    one = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = one(mean**0.5 * one(r.normal(size=d)) + (1 - mean) ** 0.5 * one(r.normal(size=(n, d))))
+    k = n // 40
+    off = np.concatenate([x[2 * k : 3 * k] - x[3 * k : 4 * k], r.normal(size=(k, d))])
+    a = x[: 2 * k]
+    off = one(off - (off * a).sum(1, keepdims=True) * a)
+    return x, 0.952 * a + (1 - 0.952**2) ** 0.5 * off
+
+
+@pytest.mark.parametrize("n", [10_000, 50_000])
+@pytest.mark.parametrize("d", [64, 384])
+@pytest.mark.parametrize("mean", [0, 0.3, 0.5, 0.6, 0.8])
+def test_the_rung_that_is_taken_finds_pairs(n, d, mean):
+    """The rule of candidates alone, with as many pivots as so many vectors have: pairs of vectors that are close to no pivot."""
+    x, copies = leaning(n, d, mean)
+    k = int(1.5 * n**0.5)
+    own = pivots.thin(x[-k:])
+    prefix, shared = pivots.settled(own, x[-k - pivots.CHECKED : -k], pivots.COSINE)
+    a, b = (pivots.nearest(v, own, prefix)[0] for v in (x[: len(copies)], copies))
+    recall = ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= shared).mean()
+    print("rung", n, d, mean, len(own), prefix, shared, round(recall, 3))
+    assert recall >= 0.95
+
+
+@pytest.mark.parametrize(("d", "mean"), [(64, 0.5), (48, 0.8)])
+def test_recall_of_vectors_that_lean_one_way(spark, d, mean):
+    """Default parameters against brute force."""
+    x, copies = leaning(4_000, d, mean)
+    x = np.concatenate([x, copies])
+    want = np.concatenate([(x[k : k + 1000] @ x.T >= pivots.COSINE).sum(1) for k in range(0, len(x), 1000)]) - 1
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    found = {g.vec_id: g.n_links for g in pivots.near(df).collect()}
+    got = np.array([found[k] for k in range(len(x))])
+    print("recall", d, mean, got.sum() / want.sum(), want.sum())
+    assert (got <= want).all() and want.sum() >= 400 and got.sum() >= 0.95 * want.sum()
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -150,7 +190,7 @@ def test_pipeline_stages_on_odd_rows(spark):
     """Each stage on rows without ids, rows that repeat, copies, and clashing column names, against what the operators say and brute force."""
     d = "/root/testdata/sf0.01"
     real = spark.read.parquet(f"{d}/documents.parquet")
-    docs = real.withColumns({"kept": F.lit(1), "blob": F.lit("x"), "component_id": F.lit(None).cast("int")})
+    docs = real.withColumns({"kept": F.lit(1), "blob": F.lit("x"), "component_id": F.lit(None).cast("int"), "__id": F.lit("q"), "id": F.lit(2), "own": F.lit(3), "__own_6": F.lit(4), "rejected": F.lit(5), "digest": F.lit(6)})
     odd = docs.union(docs.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long"))).union(docs.where("doc_id % 5 = 0"))
     labels = spark.read.parquet(f"{d}/labels.parquet")
     text = {r.doc_id: r.text for r in real.collect()}
@@ -159,13 +199,27 @@ def test_pipeline_stages_on_odd_rows(spark):
     for stage, ids in ((corpus_pipeline.quality_rules, good), (corpus_pipeline.toxic_out, mild)):
         out = stage(spark, odd, d)
         assert out.columns == docs.columns
-        rows = [(r.doc_id, r.text) for r in out.collect()]
+        rows = out.collect()
+        assert {(r["__id"], r["id"], r["own"], r["__own_6"], r["rejected"], r["digest"]) for r in rows} == {("q", 2, 3, 4, 5, 6)}
+        rows = [(r.doc_id, r.text) for r in rows]
         named = [x for x in rows if x[0] is not None]
         assert {i for i, _ in named} == ids and len(named) == len(ids) + sum(i % 5 == 0 for i in ids)
         assert sorted(t for i, t in rows if i is None) == sorted(text[i] for i in ids if i % 7 == 0)
     first = {i for i, (_, c) in jaccard_brute(list(text.items())).items() if i == c}
     rows = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, odd, d).collect()]
     assert sorted(rows, key=str) == sorted(((i, text[i]) for i in first), key=str)
+    other = docs.where("doc_id < 40").withColumn("source", F.lit("elsewhere"))
+    rows = [(r.doc_id, r.source) for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id < 40").union(other).union(other), d).collect()]
+    kept = {i for i, _ in rows}
+    assert len(rows) == 2 * len(kept) == len(set(rows))  # rows that differ in their source both stay
+    clash = corpus_pipeline.secrets_masked(spark, docs, d)
+    assert clash.columns == docs.columns and clash.count() == docs.count()
+
+
+def test_rows_without_an_id_are_dealt_to_groups(spark):
+    df = spark.createDataFrame([(None, 3 + k % 5, "s", f"c{k}") for k in range(600)], "doc_id long, length long, source string, cluster string")
+    got = packing.pack(df, 20, 100).collect()
+    assert len(got) == 600 and len({r.bin_id >> 32 for r in got}) >= 5
 
 
 def test_masked(spark):
