@@ -35,6 +35,23 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return picked.select("row.*")
 
 
+def first_places(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The order columns, a long and an int, of the first row of each key.
+
+    The key becomes 128 bits of hashes and the order one decimal, so the aggregate is one over
+    numbers: it hashes instead of sorting, and what is shuffled does not grow with the key's length.
+    """
+    high, low = order
+    packed = F.col(high).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + (F.col(low).cast("long") + (1 << 31)).cast("decimal(10,0)")
+    rows = df.select(F.xxhash64(F.lit(1), *keys).alias("__a"), F.xxhash64(F.lit(2), *keys).alias("__b"), packed.cast("decimal(38,0)").alias("__p"))
+    first = rows.groupBy("__a", "__b").agg(F.min("__p").alias("__p"))
+    rest = F.pmod(F.col("__p"), F.lit(1 << 32).cast("decimal(10,0)"))
+    kinds = dict(df.dtypes)
+    return first.select(
+        ((F.col("__p") - rest) / F.lit(1 << 32).cast("decimal(10,0)")).cast(kinds[high]).alias(high), (rest.cast("long") - (1 << 31)).cast(kinds[low]).alias(low)
+    )
+
+
 def cap_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | Column) -> DataFrame:
     """The first rows of each key, as many as the limit says; a null limit keeps all.
 

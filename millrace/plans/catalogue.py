@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from millrace.functions import langid, rules
 from millrace.functions import text as t
 from millrace.functions.session import saved, scratch
-from millrace.operators import cleaning, records
+from millrace.operators import boundaries, cleaning, records
 from millrace.plans import build, profile
 from millrace.plans.duck import crc32
-from millrace.sources import datasets, html, pairs
+from millrace.sources import datasets, fetch, html, pairs
 
 QUERIES, ORACLE = {}, {}
 
@@ -151,12 +151,12 @@ def site_keep(spark, sf_dir):
 
 @query(f"WITH {SENTS} SELECT doc_id, pos FROM sents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id, pos) = 1")
 def exact_dedupe(spark, sf_dir):
-    return records.first_per(sents(spark, sf_dir).select("doc_id", "pos", t.exact_key(F.col("text")).alias("k")), ["k"], ORDER).select("doc_id", "pos")
+    return records.first_places(sents(spark, sf_dir).select("doc_id", "pos", F.lower("text").alias("k")), ["k"], ORDER)
 
 
 @query(f"WITH {SENTS} SELECT doc_id, pos FROM sents QUALIFY row_number() OVER (PARTITION BY array_to_string(string_split(lower(text), ' ')[1:8], ' ') ORDER BY doc_id, pos) = 1")
 def near_dedupe(spark, sf_dir):
-    return records.first_per(sents(spark, sf_dir).select("doc_id", "pos", t.near_key(F.col("text")).alias("k")), ["k"], ORDER).select("doc_id", "pos")
+    return records.first_places(sents(spark, sf_dir).select("doc_id", "pos", t.near_key(F.col("text"), normal=True).alias("k")), ["k"], ORDER)
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
@@ -419,6 +419,48 @@ def legacy_sentences(spark, sf_dir):
     return sents(spark, sf_dir).where(F.length("text") >= 40).select("doc_id", "pos", "text")
 
 
+_WORD = "regexp_replace(regexp_replace(lower({0}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}.]+$', '', 'g'), '\\.$', '')"
+_STOP = "regexp_matches({0}, '\\.[^\\p{{L}}\\p{{N}}.]*$')"
+ABBREVIATIONS = f"""token AS (SELECT unnest(string_split(t, ' ')) AS token FROM norm),
+counted AS (SELECT {_WORD.format("token")} AS word, count(*) AS n, count(*) FILTER ({_STOP.format("token")}) AS n_stop FROM token WHERE token <> '' GROUP BY 1),
+part AS (SELECT *, n - n_stop AS without, length(replace(word, '.', '')) AS letters, (SELECT sum(n_stop) / sum(n) FROM counted) AS p FROM counted),
+abbreviation AS (SELECT word, n, n_stop, -2 * (n_stop * ln(p) + without * ln(1 - p) - n_stop * ln({boundaries.SURE}) - without * ln({1 - boundaries.SURE})) * exp(-letters) * (length(word) - letters + 1) * pow(letters, -without) AS score FROM part
+  WHERE n_stop > 0 AND p < 1 AND regexp_matches(word, '\\p{{L}}') AND NOT regexp_matches(word, '\\p{{N}}'))"""
+
+
+@query(f"WITH {SENTS}, {ABBREVIATIONS} SELECT word, n, n_stop, round(score, 6) AS score FROM abbreviation WHERE score >= {boundaries.LEAST}")
+def abbreviations(spark, sf_dir):
+    """Words of the documents that count as abbreviations."""
+    return boundaries.abbreviations(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {SENTS}, {ABBREVIATIONS}, ended AS (SELECT *, CASE WHEN {_STOP.format("last")} THEN {_WORD.format("last")} END AS word FROM (SELECT *, list_last(string_split(text, ' ')) AS last FROM sents)),
+begun AS (SELECT e.doc_id, e.pos, e.text, CASE WHEN lag(a.word) OVER (PARTITION BY doc_id ORDER BY pos) IS NOT NULL THEN 0 ELSE 1 END AS begins FROM ended e LEFT JOIN (SELECT word FROM abbreviation WHERE score >= {boundaries.LEAST}) a ON e.word = a.word),
+placed AS (SELECT doc_id, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS s, pos, text FROM begun)
+SELECT doc_id, CAST(s AS INTEGER) AS pos, string_agg(text, ' ' ORDER BY pos) AS text FROM placed GROUP BY doc_id, s HAVING length(string_agg(text, ' ' ORDER BY pos)) >= 40""")
+def learned_sentences(spark, sf_dir):
+    """Sentences of at least forty characters, cut behind no abbreviation."""
+    docs = table(spark, sf_dir, "documents")
+    return boundaries.sentences(docs, ["doc_id"], boundaries.abbreviations(docs)).where(F.length("text") >= 40)
+
+
+_FETCH = "length(regexp_extract(url, '^[^/:]+://([^/?#]*)', 1))"
+
+
+@query(f"""SELECT url, CASE WHEN {_FETCH} % 5 <> 0 THEN CASE WHEN contains(url, '/en/') THEN 404 ELSE 200 END END AS status, CASE WHEN {_FETCH} % 5 <> 0 AND NOT contains(url, '/en/') THEN '<p>' || url || '</p>' END AS html,
+CASE WHEN {_FETCH} % 5 = 0 THEN 'ConnectionError: refused' WHEN contains(url, '/en/') THEN 'status 404' END AS problem FROM pages""")
+def page_fetch(spark, sf_dir):
+    """All addresses of pages through a fetcher that some hosts refuse and that finds some pages missing."""
+
+    def answer(url):
+        host = url.split("/")[2].split("?")[0].split("#")[0]
+        if len(host) % 5 == 0:
+            raise ConnectionError("refused")
+        return (404, None) if "/en/" in url else (200, f"<p>{url}</p>")
+
+    return saved(fetch.pages(table(spark, sf_dir, "pages"), answer, delay=0), "fetched")
+
+
 _TOKENS = f"string_split(regexp_replace(lower({norm('text')}), '[^\\p{{L}} ]', '', 'g'), ' ')"
 _HITS = ", ".join("{'n': len(list_filter(w, lambda x: list_contains([" + quoted(words) + f"], x))), 'lang': '{k}'}}" for k, words in langid.WORDS.items())
 

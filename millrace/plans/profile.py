@@ -48,17 +48,17 @@ def shifted(state: DataFrame, by: int) -> DataFrame:
 
 def figures(state: DataFrame) -> DataFrame:
     """One row from a state: rows, paired rows, sources, means and medians of words. Medians come from how many rows have so many words."""
-    words = state.where("kind in ('en', 'sw')").select("kind", F.col("key").cast("int").alias("w"), "n")
-    w = Window.partitionBy("kind")
-    upto = words.withColumns({"upto": F.sum("n").over(w.orderBy("w")), "all": F.sum("n").over(w)})
+    length = F.when(F.col("kind").isin("en", "sw"), F.col("key").cast("int"))
+    w = Window.partitionBy("kind", F.when(~F.col("kind").isin("en", "sw"), F.col("key")))
+    rows = state.withColumn("w", length).withColumns({"upto": F.sum("n").over(w.orderBy("w")), "all": F.sum("n").over(w)})
     low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
-    holds = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
-    middle = (F.max(F.when(holds(low), F.col("w"))) + F.max(F.when(holds(high), F.col("w")))) / 2
-    lengths = upto.groupBy("kind").agg(F.sum("n").alias("n"), (F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("mean"), middle.alias("median"))
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    sources = state.where("kind = 'source' and key <> ''").agg(F.count("*").alias("sources"))
-    row = lengths.agg(F.coalesce(of("en", "n"), F.lit(0)).alias("total"), F.coalesce(of("sw", "n"), F.lit(0)).alias("paired"), *(of(k, c).alias(f"{k}_{c}") for k in ("en", "sw") for c in ("mean", "median")))
-    return row.join(sources).select("total", "paired", "sources", "en_mean", "en_median", "sw_mean", "sw_median")
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    at = lambda kind, k: F.max(of(kind, F.when((F.col("upto") - F.col("n") <= k) & (k < F.col("upto")), F.col("w"))))
+    n = {k: F.coalesce(F.sum(of(k, F.col("n"))), F.lit(0)) for k in ("en", "sw")}
+    mean = {k: F.sum(of(k, F.col("w") * F.col("n"))) / F.sum(of(k, F.col("n"))) for k in n}
+    median = {k: (at(k, low) + at(k, high)) / 2 for k in n}
+    sources = F.count(F.when((F.col("kind") == "source") & (F.col("key") != ""), 1))
+    return rows.agg(n["en"].alias("total"), n["sw"].alias("paired"), sources.alias("sources"), mean["en"].alias("en_mean"), median["en"].alias("en_median"), mean["sw"].alias("sw_mean"), median["sw"].alias("sw_median"))
 
 
 def counts(state: DataFrame, kind: str) -> DataFrame:
