@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import archives, codec, counts, intervals, jaccard, lattice, merkle, packing, pivots, quality, records, secrets, toxicity
-from millrace.llm.common import table
+from millrace.llm.common import fold, scratch, table
 from millrace.plans.duck import crc32
 
 
@@ -27,7 +28,10 @@ def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find(table(spark, sf_dir, "documents"))
+    """Two scans with one store: of four fifths of the paths, then of all, which scans the texts that the first did not see."""
+    docs, store = table(spark, sf_dir, "documents"), scratch(spark, "secrets")
+    secrets.scan(docs.where(F.coalesce(fold() != 0, F.lit(True))), store)
+    return secrets.find(docs, store)
 
 
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

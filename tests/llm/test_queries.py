@@ -61,3 +61,18 @@ def test_planted(spark, planted, name):
         assert sum(r.n_links for r in got) > 100
     if name == "op5_secret_scans":
         assert {x.split(":")[0] for r in got for x in r.spans.split(",") if x} == {r.kind for r in queries.secrets.RULES}
+
+
+def test_the_second_scan_of_op5_skips_what_the_first_saw(spark, monkeypatch, tmp_path):
+    """The ledger of the query's own store: every pair of a text and a rule version once, in two scans."""
+    store = str(tmp_path / "store")
+    monkeypatch.setattr(queries, "scratch", lambda spark, tag: store)
+    scans = []
+    scan = queries.secrets.scan
+    monkeypatch.setattr(queries.secrets, "scan", lambda docs, *a: scans.append(queries.secrets.unseen(docs, *a).count()) or scan(docs, *a))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert queries.op5_secret_scans(spark, SF).count() == docs.count()
+    pairs = [(bytes(r.blob), v) for r in spark.read.parquet(f"{store}/ledger").collect() for v in r.versions]
+    texts = docs.select("text").distinct().count()
+    assert len(pairs) == len(set(pairs)) == texts * len(queries.secrets.RULES)
+    assert sum(scans) == texts and 0 < scans[1] < scans[0]
