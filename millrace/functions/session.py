@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this driver has been given and has not swept.
+_GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder below spark.checkpoint.dir.
 
@@ -20,7 +24,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
             raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
@@ -28,3 +33,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all scratch folders of this driver; the number of those that were there.
+
+    For after a result has been written elsewhere: tables that were read from scratch can no longer be. What a job
+    that failed left is in the list as well."""
+    found = 0
+    while _GIVEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        found += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found

@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from millrace.functions import session
 from millrace.functions.session import saved
 from millrace.operators import boundaries, records
 from millrace.sources import fetch
@@ -104,3 +105,12 @@ def test_caps_that_differ_by_key(spark):
     assert got == {1: 5, 2: 10, 3: 100}
     assert sorted(r.id for r in records.cap_per(df, ["k"], ["id"], F.col("most")).where("k = 2").collect()) == [2 + 4 * k for k in range(10)]
     assert Counter(r.k for r in records.cap_per(df, ["k"], ["id"], 3).collect()) == {0: 3, 1: 3, 2: 3, 3: 3}
+
+
+def test_sweep_deletes_what_scratch_gave(spark, monkeypatch):
+    monkeypatch.setattr(session, "_GIVEN", [])
+    df = saved(spark.range(5), "some")
+    session.scratch(spark, "never-written")
+    assert df.count() == 5 and len(session._GIVEN) == 2
+    assert session.sweep(spark) == 1 and session._GIVEN == []
+    assert session.sweep(spark) == 0
