@@ -43,6 +43,9 @@ ASCII = re.compile("|".join((*SHORT, "[a-z]+|[0-9]|[^a-z0-9]+")))
 #: Words whose ids a worker keeps.
 CACHE = 600_000
 
+#: Documents of a shard, whose index a task holds; there are more shards than the session has partitions once the table is so large.
+SHARD = 100_000
+
 
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -189,7 +192,8 @@ def write(docs: DataFrame, path: str, end: int, uri: str) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [n], "n_ids": [total]})
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD))
+    rows = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return saved(rows.mapInArrow(run, "shard long, name string, n_docs long, n_ids long"), "manifest")
 
 
