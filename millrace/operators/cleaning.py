@@ -19,7 +19,7 @@ def dedupe(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
     Equal texts have equal near keys, so the exact pass needs no shuffle of its own.
     """
-    return first_per(df.withColumn("__k", t.near_key(F.col("English"), normal=True)), ["__k"], order).drop("__k")
+    return first_per(df, [t.near_key(F.col("English"), normal=True)], order)
 
 
 def english_gate(text: Column, lang: Column) -> Column:

@@ -24,26 +24,33 @@ def record(domain: Column, english: Column, kiswahili: Column | None = None, sou
     return [blank(none if v is None else v).alias(c) for c, v in zip(rules.COLUMNS, values, strict=True)]
 
 
-def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by the given order.
+def digest(keys: Sequence[str | Column]) -> list[Column]:
+    """128 bits of hashes in place of keys: two longs, which sort and compare faster than texts and do not grow with them. That two
+    different keys of a table share them is less likely than 1 in 10^14 at 10^12 keys."""
+    cells = [x for k in keys for c in [F.col(k) if isinstance(k, str) else k] for x in (c, c.isNull())]  # hashes pass over nulls
+    return [F.xxhash64(F.lit(seed), *cells).alias(name) for seed, name in ((1, "__a"), (2, "__b"))]
+
+
+def first_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
+    """The first row of each key by the given order. Keys are columns or expressions, and are not in the result unless they are columns of it.
 
     An aggregate rather than a window: each task keeps one row for a key before
-    the shuffle, so a key that holds a third of all rows costs no more than others.
+    the shuffle, so a key that holds a third of all rows costs no more than others. Keys are grouped by their digest.
     """
     columns = df.columns
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("row"))
+    picked = df.groupBy(*digest(keys)).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("row"))
     return picked.select("row.*")
 
 
 def first_places(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The order columns, a long and an int, of the first row of each key.
 
-    The key becomes 128 bits of hashes and the order one decimal, so the aggregate is one over
+    The key becomes its digest and the order one decimal, so the aggregate is one over
     numbers: it hashes instead of sorting, and what is shuffled does not grow with the key's length.
     """
     high, low = order
     packed = F.col(high).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + (F.col(low).cast("long") + (1 << 31)).cast("decimal(10,0)")
-    rows = df.select(F.xxhash64(F.lit(1), *keys).alias("__a"), F.xxhash64(F.lit(2), *keys).alias("__b"), packed.cast("decimal(38,0)").alias("__p"))
+    rows = df.select(*digest(keys), packed.cast("decimal(38,0)").alias("__p"))
     first = rows.groupBy("__a", "__b").agg(F.min("__p").alias("__p"))
     rest = F.pmod(F.col("__p"), F.lit(1 << 32).cast("decimal(10,0)"))
     kinds = dict(df.dtypes)

@@ -344,14 +344,17 @@ def per_source(spark, sf_dir):
     return n.withColumn("share", F.col("rows") * F.lit(1.0) / F.sum("rows").over(Window.partitionBy()))
 
 
-_AT = F.col("doc_id") * (1 << 20) + F.col("pos")
+def _at():
+    return F.col("doc_id") * (1 << 20) + F.col("pos")
+
+
 _EN, _SW = n_words(norm('"English"')), n_words(norm('"Kiswahili"'))
 
 
 @query(f"""WITH {DECO}, w AS (SELECT "Source", {_EN} AS en, CASE WHEN regexp_matches("Kiswahili", '[^{t.SPACES}]') THEN {_SW} END AS sw FROM recs)
 SELECT count(*) AS total, count(sw) AS paired, count(DISTINCT CASE WHEN "Source" <> '' THEN "Source" END) AS sources, avg(en) AS en_mean, median(en) AS en_median, avg(sw) AS sw_mean, median(sw) AS sw_median FROM w""")
 def word_stats(spark, sf_dir):
-    return profile.figures(profile.state(recs(spark, sf_dir), _AT))
+    return profile.figures(profile.state(recs(spark, sf_dir), _at()))
 
 
 @query(f"""WITH {DECO}, w AS (SELECT doc_id * 1048576 + pos AS place, "Domain" AS domain, "Source" AS source, {_EN} AS en, CASE WHEN regexp_matches("Kiswahili", '[^{t.SPACES}]') THEN {_SW} END AS sw FROM recs)
@@ -359,7 +362,7 @@ SELECT 'domain' AS kind, domain AS key, count(*) AS n, min(place) AS first FROM
 def profile_merged(spark, sf_dir):
     """The profile of a whole table from those of its halves."""
     rows = recs(spark, sf_dir)
-    return profile.merged(*(profile.state(rows.where(F.col("doc_id") % 2 == k), _AT) for k in (0, 1)))
+    return profile.merged(*(profile.state(rows.where(F.col("doc_id") % 2 == k), _at()) for k in (0, 1)))
 
 
 BUILD = f"""{DECO},

@@ -66,6 +66,11 @@ def counts(state: DataFrame, kind: str) -> DataFrame:
     return state.where(F.col("kind") == kind).orderBy(F.desc("n"), "first").select("key", F.col("n").alias("rows"))
 
 
+def drawn(df: DataFrame, n: int = 20, seed: int | None = None) -> DataFrame:
+    """Some rows at random, for a look; with a seed the same ones from the same table."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
 def sample(df: DataFrame, n: int = 5) -> DataFrame:
     cut = lambda c: t.escape_markdown(t.truncate(F.col(c))).alias(c)
     return df.orderBy("PSA_ID").limit(n).select("PSA_ID", "Domain", cut("English"), cut("Kiswahili"), t.escape_markdown(F.col("Source")).alias("Source"))

@@ -114,3 +114,9 @@ def test_sweep_deletes_what_scratch_gave(spark, monkeypatch):
     assert df.count() == 5 and len(session._GIVEN) == 2
     assert session.sweep(spark) == 1 and session._GIVEN == []
     assert session.sweep(spark) == 0
+
+
+def test_keys_with_nulls_stay_apart(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, "a", None), (3, None, None), (4, "a", "a"), (5, "", None), (6, "a", None)], "n int, x string, y string")
+    assert sorted(r.n for r in records.first_per(df, ["x", "y"], ["n"]).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.n for r in records.first_per(df, [F.upper("x")], ["n"]).collect()) == [1, 2, 5]
