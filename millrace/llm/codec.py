@@ -16,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import ByteLevel
 
 from millrace.llm import wordtable
+from millrace.llm.common import saved
 from millrace.llm.words import APART, DOUBLE, EMPTY_OR_ANY, ENDS, spaced, stem, tokenizer
 
 
@@ -192,6 +194,27 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def decode_joined(ids: DataFrame, path: str) -> DataFrame:
+    """As decode, by rows: every id is a row that meets its piece in a join and comes back by its position.
+
+    The table of pieces has a row for each entry of the vocabulary, which bounds what is broadcast; what
+    is shuffled is a row for each token. Ids that the vocabulary lacks have no piece."""
+    flat, start, size = pieces(path)
+    raw = flat.tobytes()
+    table = [(k, raw[a : a + n]) for k, (a, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True))]
+    known = ids.sparkSession.createDataFrame(pa.table({"id": pa.array([k for k, _ in table], pa.int32()), "piece": pa.array([x for _, x in table], pa.binary())}))
+
+    def listed(source):
+        for b in source:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["row", "ids"])
+
+    lists = saved(ids.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"), "ids")
+    tokens = lists.select("row", "ids").mapInArrow(listed, "row long, ids array<int>").select("row", F.posexplode("ids").alias("pos", "id"))
+    met = tokens.join(F.broadcast(known), "id").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))).alias("p"))
+    text = F.make_valid_utf8(F.unhex(F.array_join("p.piece", "")).cast("string"))
+    return lists.select("row", "doc_id").join(met, "row", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, one row for each row of docs.
 

@@ -156,6 +156,9 @@ def test_codec(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want, text[r.doc_id]
     back = {r.doc_id: r.text for r in codec.decode(codec.encode(df, BYTES), BYTES).collect()}
     assert back == text
+    assert {r.doc_id: r.text for r in codec.decode_joined(codec.encode(df, BYTES), BYTES).collect()} == text
+    broken = spark.createDataFrame([(1, np.array([220, 162, 0], "<u4").tobytes()), (2, b"")], "doc_id long, ids binary")
+    assert sorted(codec.decode_joined(broken, BYTES).collect()) == sorted(codec.decode(broken, BYTES).collect())
     assert codec.digests(df.limit(0), BYTES).collect() == []
 
 
