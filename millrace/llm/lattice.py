@@ -8,9 +8,12 @@ the sum over all its segmentations, by forward recursion in logarithms, vectoris
 over words of one length. A piece that opens a word ends the one before it, so
 the pieces' probabilities make a proper distribution over words.
 
-A word seen in training has, besides, its own share by absolute discounting; what
-that frees goes to the lattice:  P(w) = max(c - D, 0) / N + D V / N * lattice(w),
-with D = n1 / (n1 + 2 n2) from the numbers of words seen once and twice.
+Training documents fall into a few classes, their languages, with a lattice and word counts each. A word seen
+in a class has, besides, its own share there by absolute discounting; what that frees goes to
+the lattice, and a part of it to the general model G of all classes:
+    P_z(w) = max(c_z - D_z, 0) / N_z + D_z V_z / N_z * ((1 - BACK) * lattice_z(w) + BACK * G(w))
+with D = n1 / (n1 + 2 n2) from the numbers of words seen once and twice. The class of a scored document is
+never looked at: its probability is the sum over all classes, each weighed by its share of the training documents.
 Within a text the words before each place speak too: after t tokens, n of them
 this word, it has (KAPPA P(w) + n) / (KAPPA + t), the predictive rule of a
 Dirichlet prior, so that the product stays the text's marginal probability.
@@ -20,6 +23,7 @@ The end of a text is a token of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +37,11 @@ from millrace.llm.common import fold, saved
 
 ROUNDS = 3
 #: Tokens that the corpus weighs against those of the text so far.
-KAPPA = 1000.0
+KAPPA = 2000.0
+#: Classes at most: the commonest values, and one class of all others and of rows without a value.
+CLASSES = 8
+#: Share of what discounting frees that goes to the general model.
+BACK = 0.1
 #: Opens a word; no byte of UTF-8.
 OPEN = b"\xff"
 #: Cells of the lattice worked on at a time.
@@ -110,7 +118,7 @@ class Lattice:
                             out[i, j] = rows[hit], self.order[k[hit]]
         return out
 
-    def forward(self, n: int, length: int, arcs) -> np.ndarray:
+    def forward(self, n: int, length: int, arcs, logp: np.ndarray) -> np.ndarray:
         """log sum over segmentations of each prefix, (length + 1) by n."""
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0
@@ -118,7 +126,7 @@ class Lattice:
             for i in range(max(0, j - self.longest), j):
                 if (i, j) in arcs:
                     rows, k = arcs[i, j]
-                    alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + self.logp[k])
+                    alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logp[k])
         return alpha
 
     def groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,18 +140,22 @@ class Lattice:
                 yield part, np.frombuffer(b"".join(OPEN + words[i] for i in part), np.uint8).reshape(-1, n).astype(np.uint64)
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words))
+        """Of each word; a row for each class if the pieces' probabilities are in rows."""
+        many = np.atleast_2d(self.logp)
+        out = np.empty((len(many), len(words)))
         for at, b in self.groups(words):
-            out[at] = self.forward(*b.shape, self.arcs(b))[-1]
-        return out
+            arcs = self.arcs(b)
+            for row, logp in zip(out, many, strict=True):
+                row[at] = self.forward(*b.shape, arcs, logp)[-1]
+        return out.reshape(*self.logp.shape[:-1], len(words))
 
-    def expected(self, words: list[bytes], count: np.ndarray) -> np.ndarray:
+    def expected(self, words: list[bytes], count: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """How often each piece is expected in the words' segmentations, times the words' counts."""
-        total = np.zeros(len(self.logp))
+        total = np.zeros(len(logp))
         for at, b in self.groups(words):
             n, length = b.shape
             arcs = self.arcs(b)
-            alpha = self.forward(n, length, arcs)
+            alpha = self.forward(n, length, arcs, logp)
             beta = np.full((length + 1, n), -np.inf)
             beta[length] = 0
             weight = count[at]
@@ -151,7 +163,7 @@ class Lattice:
                 for j in range(i + 1, min(length, i + self.longest) + 1):
                     if (i, j) in arcs:
                         rows, k = arcs[i, j]
-                        on = self.logp[k] + beta[j, rows]
+                        on = logp[k] + beta[j, rows]
                         beta[i, rows] = np.logaddexp(beta[i, rows], on)
                         total += np.bincount(k, np.exp(alpha[i, rows] + on - alpha[length, rows]) * weight[rows], len(total)) if len(k) > 2000 else 0
                         if len(k) <= 2000:
@@ -172,124 +184,183 @@ def _words(keys: pa.Array, opens: np.ndarray) -> pa.Array:
 WORDS = wordtable.Splitter(_cut, _words, raw=True)
 
 
-def _train_counts(batch: wordtable.Batch) -> np.ndarray:
-    """How often training documents have each word of the batch."""
-    learn = np.repeat(np.array([not held_out for _, held_out in batch.rows]), batch.sizes)
-    return np.bincount(batch.flat[learn], minlength=len(batch.words))
+def _train_counts(n_classes: int):
+    """How often training documents of each class have each word of a batch."""
+
+    def tell(batch: wordtable.Batch) -> np.ndarray:
+        of = np.repeat(np.array([k for *_, k in batch.rows]), batch.sizes)
+        learn = of >= 0
+        return np.bincount(batch.flat[learn].astype(np.int64) * n_classes + of[learn], minlength=len(batch.words) * n_classes).reshape(-1, n_classes).astype(np.uint32)
 
+    return tell
 
-def _tally(blocks) -> dict[bytes, int]:
-    count: dict[bytes, int] = {}
-    for words, told in blocks:
-        for w, c in zip(words, told.tolist(), strict=True):
-            count[w] = count.get(w, 0) + c
-    return count
 
+def _tally(blocks, n_classes: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """Numbers of the distinct words, and their counts by class."""
+    number: dict[bytes, int] = {}
+    told = []
+    for words, count in blocks:
+        told.append((np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)), count))
+    total = np.zeros((len(number), n_classes), np.int64)
+    for at, count in told:
+        total[at] += count
+    return number, total
 
-def fit(table: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces after expectation maximisation over the blocks of (words, counts)."""
-    logp = vocabulary(path)[1]
+
+def fit(table: DataFrame, path: str, n_classes: int = 1, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces in each class after expectation maximisation over the blocks of (words, counts by class)."""
+    logp = np.tile(vocabulary(path)[1], (n_classes, 1))
     for _ in range(rounds):
 
         def run(source, logp=logp):
-            lattice, total = Lattice(path, logp), np.zeros(len(logp))
+            lattice, total = Lattice(path), np.zeros(logp.shape)
             for b in source:
                 for block in b.column(0).to_pylist():
-                    words, _ = wordtable.unpack(block)
-                    if words:
-                        total += lattice.expected(words, np.ones(len(words)))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
-
-        # one row for each piece of the vocabulary at most
-        rows = table.select("block").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        n = np.full(len(logp), 0.01)
-        n[rows.piece.to_numpy(np.int64)] += rows.n.to_numpy(float)
-        logp = np.log(n / n.sum())
+                    words, count = wordtable.unpack(block)
+                    for z in range(n_classes):
+                        there = np.flatnonzero(count[:, z])
+                        if len(there):
+                            total[z] += lattice.expected([words[k] for k in there.tolist()], np.ones(len(there)), logp[z])
+            z, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(at), pa.array(total[z, at])], names=["class", "piece", "n"])
+
+        # one row for each class and piece of the vocabulary at most
+        rows = table.select("block").mapInArrow(run, "class long, piece long, n double").groupBy("class", "piece").agg(F.sum("n").alias("n")).toPandas()
+        n = np.full(logp.shape, 0.01)
+        n[rows["class"].to_numpy(np.int64), rows.piece.to_numpy(np.int64)] += rows.n.to_numpy(float)
+        logp = np.log(n / n.sum(1, keepdims=True))
     return logp
 
 
-def text_log10(logp: np.ndarray, words: np.ndarray, log_end: float, kappa: float) -> float:
-    """log10 probability of a text from that of its words on their own: each word's share grows as the text uses it."""
+def text_log10(logp: np.ndarray, words: np.ndarray, log_end: np.ndarray, log_class: np.ndarray, kappa: float) -> float:
+    """log10 probability of a text, over all classes, from that of words on their own: each word's share grows as the text uses it.
+
+    logp: a row for each class with log10 probabilities of words, words: the text's, as places in it."""
     n = len(words)
     order = np.argsort(words, kind="stable")
     same = words[order]
     first = np.concatenate(([True], same[1:] != same[:-1])) if n else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else first
-    before = np.empty(n)
-    before[order] = np.arange(n) - start
-    p = kappa * 10.0**logp
-    new = before == 0  # the power may underflow: keep the logarithm there
-    share = np.where(new, logp + np.log10(kappa), np.log10(p + np.where(new, 1, before)))
-    return float(share.sum() + log_end + np.log10(kappa) - np.log10(kappa + np.arange(n + 1)).sum())
-
-
-def score(docs: DataFrame, path: str, kappa: float = KAPPA) -> DataFrame:
+    again = ~first
+    before, distinct, repeated = (np.arange(n) - start)[again], same[first], same[again]
+    # a word's first place needs no power, which may underflow
+    total = logp[:, distinct].sum(1) + len(distinct) * np.log10(kappa)
+    if len(repeated):
+        total += np.log10(kappa * 10.0 ** logp[:, repeated] + before).sum(1)
+    total += log_class + log_end + np.log10(kappa) - np.log10(kappa + np.arange(n + 1)).sum()
+    best = total.max()
+    return float(best + np.log10((10.0 ** (total - best)).sum()))
+
+
+@dataclass(frozen=True)
+class Model:
+    """What the corpus tells beside the words' counts. Rows of stats: each class, then all; columns: distinct words, tokens, words seen once, words seen twice."""
+
+    logp: np.ndarray
+    stats: np.ndarray
+    docs: np.ndarray
+
+    @property
+    def discount(self) -> np.ndarray:
+        n1, n2 = self.stats[:, 2], self.stats[:, 3]
+        return np.where(n1 + n2 > 0, np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.1, 0.95), 0.5)
+
+    @property
+    def end(self) -> np.ndarray:
+        """Probability of the end token in each class."""
+        return (self.docs + 0.5) / (self.stats[:-1, 1] + self.docs + 1)
+
+    @property
+    def share(self) -> np.ndarray:
+        return self.docs / self.docs.sum() if self.docs.any() else np.full(len(self.docs), 1 / len(self.docs))
+
+    def log10(self, lattice: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 P_z(w) by class from the words' lattice log probabilities and counts by class."""
+        tokens, discount = self.stats[:, 1], self.discount
+        with np.errstate(divide="ignore"):
+            own = np.log(np.maximum(np.column_stack((count, count.sum(1))).T - discount[:, None], 0) / np.maximum(tokens, 1)[:, None])
+            free = np.log(np.where(tokens > 0, np.minimum(1.0, discount * self.stats[:, 0] / np.maximum(tokens, 1)), 1.0))
+            by = np.log(tokens[:-1] / tokens[-1] if tokens[-1] else self.share)
+        general = np.logaddexp(own[-1], free[-1] + np.logaddexp.reduce(lattice + by[:, None], axis=0))
+        out = np.logaddexp(own[:-1], free[:-1, None] + np.logaddexp(np.log(1 - BACK) + lattice, np.log(BACK) + general))
+        return (out + np.log1p(-self.end)[:, None]) / np.log(10)
+
+
+def score(docs: DataFrame, path: str, kappa: float = KAPPA, by: str | None = "lang") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row for each row of docs.
 
-    Null and empty texts are the end token alone. If no document is left to
+    by: the column whose values are the training documents' classes; without such a column they are one class. Held-out rows'
+    values are never read. Null and empty texts are the end token alone. If no document is left to
     learn from, counts are zero and the lattice keeps the vocabulary's scores. Words of
     any length are scored whole; repeated rows get equal scores and each count in
     training; extra columns are ignored.
     """
-    held = wordtable.steady(docs.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "text"))
+    held_out = F.coalesce(fold() == 1, F.lit(False))
+    value = F.col(by).cast("string") if by in docs.columns else F.lit(None).cast("string")
+    held = wordtable.steady(docs.select("doc_id", held_out.alias("held_out"), F.when(~held_out, value).alias("class"), "text"))
+    common = [r["class"] for r in held.where("class is not null").groupBy("class").count().orderBy(F.desc("count"), "class").limit(CLASSES - 1).collect()]
+    n_classes = len(common) + 1
+    number = F.lit(len(common))
+    for k, name in enumerate(common):
+        number = F.when(F.col("class") == name, k).otherwise(number)
+    held = held.withColumn("class", F.when(F.col("held_out"), -1).otherwise(number))
+    docs_of = np.zeros(n_classes)
+    for r in held.where("not held_out").groupBy("class").count().collect():
+        docs_of[r["class"]] = r["count"]
+    if common and not docs_of[-1]:  # no others
+        n_classes, docs_of = n_classes - 1, docs_of[:-1]
+    ends = int(docs_of.sum())
     n_buckets = wordtable.buckets(docs)
-    asked = saved(wordtable.requests(held, WORDS, n_buckets, ("held_out",), _train_counts), "lm-asked")
+    extra = ("held_out", "class")
+    asked = saved(wordtable.requests(held, WORDS, n_buckets, extra, _train_counts(n_classes)), "lm-asked")
+
+    names = [f"{c}{z}" for z in range(n_classes + 1) for c in "vnab"]
 
     def table(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _tally(wordtable.unpack(r) for b in source for r in b.column("block").to_pylist())
-        seen = [(w, c) for w, c in count.items() if c]
-        c = np.array([x for _, x in seen], np.int64)
+        number, count = _tally((wordtable.unpack(r) for b in source for r in b.column("block").to_pylist()), n_classes)
+        seen = np.flatnonzero(count.any(1))
+        words = list(number)
         for k in range(0, max(1, len(seen)), 50_000):
-            part = c[k : k + 50_000]
-            block = wordtable.pack(([w for w, _ in seen[k : k + 50_000]], part))
-            yield pa.RecordBatch.from_pydict({"block": [block], "v": [len(part)], "n": [int(part.sum())], "n1": [int((part == 1).sum())], "n2": [int((part == 2).sum())]})
-
-    words = saved(asked.groupBy("bucket").applyInArrow(table, "block binary, v long, n long, n1 long, n2 long"), "lm-words")
-    types, tokens, n1, n2 = (x or 0 for x in words.agg(*map(F.sum, ("v", "n", "n1", "n2"))).first())
-    discount = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-    ends = held.where("not held_out").count()
-    logp = fit(words, path)
+            at = seen[k : k + 50_000]
+            c = np.column_stack((count[at], count[at].sum(1)))
+            stats = np.array([(c > 0).sum(0), c.sum(0), (c == 1).sum(0), (c == 2).sum(0)]).T.ravel()
+            block = wordtable.pack(([words[i] for i in at.tolist()], count[at]))
+            yield pa.RecordBatch.from_pydict({"block": [block]} | {x: [int(y)] for x, y in zip(names, stats, strict=True)})
+
+    seen = saved(asked.groupBy("bucket").applyInArrow(table, "block binary, " + ", ".join(f"{x} long" for x in names)), "lm-words")
+    stats = np.array([x or 0 for x in seen.agg(*map(F.sum, names)).first()], float).reshape(-1, 4)
+    model = Model(fit(seen, path, n_classes), stats, docs_of)
+    types, tokens = (int(x) for x in stats[-1, :2])
     n_train, v_train = tokens + ends, types + (ends > 0)
     scale = np.log10(n_train + 0.5 * (v_train + 1))
-    p_end = (ends + 0.5) / (n_train + 1)
 
     def reply(blocks):
-        count = _tally(blocks)
-        names = list(count)
-        lattice = Lattice(path, logp).log_probability(names)
-        c = np.array([count[w] for w in names], float)
-        if tokens:
-            p = np.maximum(c - discount, 0) / tokens
-            free = np.log(min(1.0, discount * types / tokens))
-            model = np.logaddexp(np.where(p > 0, np.log(np.where(p > 0, p, 1)), -np.inf), free + lattice)
-        else:
-            model = lattice
-        model = (model + np.log1p(-p_end)) / np.log(10)
-        number = {w: k for k, w in enumerate(names)}
-        base = np.log10(c + 0.5)
+        number, count = _tally(blocks, n_classes)
+        log10 = model.log10(Lattice(path, model.logp).log_probability(list(number)), count).T.astype(np.float32)
+        c = count.sum(1)
 
         def value(asked_words):
             at = np.fromiter(map(number.__getitem__, asked_words), np.int64, len(asked_words))
-            return base[at], c[at] > 0, model[at]
+            return c[at], log10[at]
 
         return value
 
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
     def assemble(rows, sizes, places, bucket, values):
         order = wordtable.order_of(bucket)
-        base, known, model = np.empty(len(bucket)), np.empty(len(bucket), bool), np.empty(len(bucket))
-        for out, k in ((base, 0), (known, 1), (model, 2)):
-            if len(order):
-                out[order] = np.concatenate([v[k] for _, v in sorted(values.items(), key=lambda x: x[0])])
+        count, log10 = np.zeros(len(bucket), np.int64), np.empty((len(bucket), n_classes))
+        if len(order):
+            told = [v for _, v in sorted(values.items(), key=lambda x: x[0])]
+            count[order], log10[order] = (np.concatenate([v[k] for v in told]) for k in (0, 1))
+        base, known, log10 = np.log10(count + 0.5), count > 0, np.ascontiguousarray(log10.T)
+        log_end, log_class = np.log10(model.end), np.log10(model.share)
         cut = np.concatenate(([0], np.cumsum(sizes)))
         out = []
-        for (doc_id, held_out), a, b in zip(rows, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        for (doc_id, held_out, _), a, b in zip(rows, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             at = places[a:b]
             n = len(at) + 1
-            out.append((doc_id, held_out, n, int(known[at].sum()) + (ends > 0), n_train, float(base[at].sum() + np.log10(ends + 0.5) - n * scale), text_log10(model[at], at, np.log10(p_end), kappa)))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)], names=names)
+            out.append((doc_id, held_out, n, int(known[at].sum()) + (ends > 0), n_train, float(base[at].sum() + np.log10(ends + 0.5) - n * scale), text_log10(log10, at, log_end, log_class, kappa)))
+        types = (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    body = wordtable.bodies(held, WORDS, n_buckets, ("held_out",))
+    body = wordtable.bodies(held, WORDS, n_buckets, extra)
     return wordtable.assemble(body, wordtable.answers(asked, reply), assemble, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

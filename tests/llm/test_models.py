@@ -1,5 +1,6 @@
 """Quality, toxicity, codec and lattice against the library, brute force and held-out labels."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -117,17 +118,25 @@ def test_trees_score_as_walked_one_by_one():
     assert np.mean((got > 0.5) == y) > 0.98
 
 
+def text_probability(p, words, end, kappa):
+    """p: word to probability, in one class."""
+    total, seen = math.log(end) + math.log(kappa / (kappa + len(words))), {}
+    for t, w in enumerate(words):
+        total += math.log((kappa * p[w] + seen.get(w, 0)) / (kappa + t))
+        seen[w] = seen.get(w, 0) + 1
+    return total
+
+
 def test_text_probability_word_by_word():
     r = np.random.default_rng(4)
-    logp, log_end, kappa = np.log10(r.dirichlet(np.ones(12))), math.log10(0.01), 7.0
+    p, end, share, kappa = r.dirichlet(np.ones(12), 3), np.array([0.01, 0.2, 0.05]), np.array([0.5, 0.3, 0.2]), 7.0
     for n in (0, 1, 5, 60):
         words = r.integers(0, 12, n)
-        total, seen = 0.0, {}
-        for t, w in enumerate(words.tolist()):
-            total += math.log10((kappa * 10 ** logp[w] + seen.get(w, 0)) / (kappa + t))
-            seen[w] = seen.get(w, 0) + 1
-        total += log_end + math.log10(kappa / (kappa + n))
-        assert abs(lattice.text_log10(logp[words], words, log_end, kappa) - total) < 1e-9
+        each = [math.log(a) + text_probability(b, words.tolist(), c, kappa) for a, b, c in zip(share, p, end, strict=True)]
+        got = lattice.text_log10(np.log10(p), words, np.log10(end), np.log10(share), kappa)
+        assert abs(got - math.log(sum(map(math.exp, each))) / math.log(10)) < 1e-9
+    rare = np.array([[-4000.0, -1.0]])  # its power underflows
+    assert abs(lattice.text_log10(rare, np.array([0, 1]), np.zeros(1), np.zeros(1), 10.0) - (-4001 + 3 - math.log10(10 * 11 * 12))) < 1e-9
 
 
 def test_disguises_of_any_length_and_place(spark):
@@ -225,6 +234,83 @@ def test_lattice_scores(spark):
     assert lattice.score(df.limit(0), PIECES).collect() == []
 
 
+TALES = [("de", "die maus die katze"), ("de", "die maus lief"), ("de", "eine katze lief"), ("fr", "le chat noir"), ("fr", "la souris noire le chat"), (None, "a cat ran"), ("xx", "a mouse ran a"), ("fr", ""), ("de", None)]
+
+
+def segmentations(word):
+    raw = lattice.OPEN + word.encode()
+    for cuts in itertools.product((0, 1), repeat=len(raw) - 1):
+        at = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(raw)]
+        yield [raw[a:b] for a, b in itertools.pairwise(at)]
+
+
+def plain_fit(words, rounds):
+    """Expectation maximisation over every segmentation of every word."""
+    pieces, logp = lattice.vocabulary(PIECES)
+    p = dict(zip(pieces, np.exp(logp).tolist(), strict=True))
+    for _ in range(rounds):
+        n = dict.fromkeys(p, 0.01)
+        for w in words:
+            ways = [(s, math.prod(p.get(x, 0.0) for x in s)) for s in segmentations(w)]
+            whole = sum(x for _, x in ways)
+            for s, x in ways:
+                for piece in s if x else ():
+                    n[piece] += x / whole
+        total = sum(n.values())
+        p = {x: y / total for x, y in n.items()}
+    return p
+
+
+def plain_discount(count):
+    n1, n2 = (sum(c == k for c in count.values()) for k in (1, 2))
+    return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+
+
+def test_lattice_model_recomputed(spark, monkeypatch):
+    """Fit, discounting, classes and scores against loops; held-out rows' classes have no say."""
+    monkeypatch.setattr(lattice, "CLASSES", 3)
+    docs = [(k, lang, text) for k, (lang, text) in enumerate(TALES * 3)]
+    schema = "doc_id long, lang string, text string"
+    got = {r.doc_id: r for r in lattice.score(spark.createDataFrame(docs, schema).repartition(3), PIECES, kappa=50.0).collect()}
+    held = {k for k, *_ in docs if zlib.crc32(str(k).encode()) % 5 == 1}
+    named = collections.Counter(lang for k, lang, _ in docs if k not in held and lang)
+    common = sorted(named, key=lambda x: (-named[x], x))[:2]
+    classes = [[(text or "").split() for k, lang, text in docs if k not in held and (lang if lang in common else None) == z] for z in [*common, None]]
+    assert all(classes)
+    counts = [collections.Counter(w for words in c for w in words) for c in classes]
+    everything = sum(counts, collections.Counter())
+    names = {w for _, _, text in docs for w in (text or "").split()}
+    fits = [plain_fit(c, lattice.ROUNDS) for c in counts]
+    lat = [{w: sum(math.prod(p.get(x, 0.0) for x in s) for s in segmentations(w)) for w in names} for p in fits]
+    tokens = sum(everything.values())
+
+    def seen(count, w):
+        n, d = sum(count.values()), plain_discount(count)
+        return max(count[w] - d, 0) / n, d * len(count) / n
+
+    def general(w):
+        own, free = seen(everything, w)
+        return own + free * sum(sum(c.values()) / tokens * x[w] for c, x in zip(counts, lat, strict=True))
+
+    models, ends = [], []
+    for words, count, x in zip(classes, counts, lat, strict=True):
+        end = (len(words) + 0.5) / (sum(count.values()) + len(words) + 1)
+        ends.append(end)
+        models.append({w: (1 - end) * (seen(count, w)[0] + seen(count, w)[1] * ((1 - lattice.BACK) * x[w] + lattice.BACK * general(w))) for w in names})
+    learned = sum(map(len, classes))
+    for k, _, text in docs:
+        each = [len(c) / learned * math.exp(text_probability(p, (text or "").split(), end, 50.0)) for c, p, end in zip(classes, models, ends, strict=True)]
+        assert math.isclose(got[k].score, math.log10(sum(each)), rel_tol=1e-5), (k, text)
+    other = [(k, "fr" if k in held else lang, text) for k, lang, text in docs]
+    again = {r.doc_id: r.score for r in lattice.score(spark.createDataFrame(other, schema), PIECES, kappa=50.0).collect()}
+    assert all(math.isclose(again[k], r.score, rel_tol=1e-9) for k, r in got.items())
+
+
+def test_lattice_beats_the_base_on_held_out_documents(spark):
+    rows = lattice.score(spark.read.parquet(f"{SF}/documents.parquet"), PIECES).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1]
+
+
 def test_words_of_batches(monkeypatch):
     """Batches hold each text's words in order, however the texts are cut into record batches and slices."""
     odd = ["", None, " ", "  a", "a  b", "a   b\n c \n\n d", "x<|endoftext|> y.", "a　 b", "tab\t b", "end. ", "..", " ..", "a .. b", "\x1c a", "a\x85 b", "İ. क़. É,", "The end, the End."]
