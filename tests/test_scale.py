@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import text as t
+from millrace.operators import cleaning, records
 from millrace.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +27,14 @@ def test_white_space_is_that_of_the_plain_classes(spark):
         assert list(r[::2]) == list(r[1::2])
     cut = spark.createDataFrame([("One. Two! \"Three? 4  five.  Six .7 a. b",)], "c string").select(t.sentences(F.col("c")), F.split("c", rf"(?<=[.!?]) +(?=[{t.START}])", -1)).first()
     assert cut[0] == cut[1] and len(cut[0]) == 5
+
+
+def test_stages_are_counted_in_one_pass(spark):
+    df = catalogue.QUERIES["clean_stats"](spark, SF)
+    assert plan(df).count("Relation [") == 1
+    assert {r.stage: r.n for r in df.collect()} == {r.stage: r.n for r in catalogue.QUERIES["clean_counts"](spark, SF).collect() if r.stage != "removed_total"}
+
+
+def test_stages_of_an_empty_table(spark):
+    rows = catalogue.recs(spark, SF).limit(0)
+    assert [tuple(r) for r in cleaning.tally(rows, records.packed("doc_id", "pos"), lambda c: F.col("lang")).collect()] == [(k, 0) for k in cleaning.STAGES]
