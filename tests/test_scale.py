@@ -1,10 +1,14 @@
 """Work of a query that must not be done more often than once a row."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from millrace.functions import langid
 from millrace.functions import text as t
-from millrace.operators import cleaning, records
+from millrace.operators import boundaries, cleaning, records
 from millrace.plans import catalogue
+from millrace.sources import html
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +42,38 @@ def test_stages_are_counted_in_one_pass(spark):
 def test_stages_of_an_empty_table(spark):
     rows = catalogue.recs(spark, SF).limit(0)
     assert [tuple(r) for r in cleaning.tally(rows, records.packed("doc_id", "pos"), lambda c: F.col("lang")).collect()] == [(k, 0) for k in cleaning.STAGES]
+
+
+def test_stretches_of_texts_give_each_its_slots(monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    texts = [" one ", None, "", "  ", " öl \U00010400x ", " a ", " two three ", None]
+    got = {}
+    for places, size, slot in langid._runs(pa.array(texts).slice(1)):
+        got |= {int(p) + 1: s.tolist() for p, s in zip(places, np.split(slot, np.cumsum(size)[:-1]), strict=True)}
+    want = {k: [(ord(a) * 7919 + ord(b) * 241 + ord(c)) % langid.SLOTS for a, b, c in zip(x, x[1:], x[2:])] for k, x in enumerate(texts) if k and x and len(x) > 2}
+    assert got == want
+
+
+def test_profiles_send_no_row_for_a_letter_through_spark(spark):
+    df = catalogue.QUERIES["language_profiles"](spark, SF)
+    assert "ArrowEvalPython" in plan(df) and "aggregate(" not in plan(df)
+
+
+def test_profiles_judge_letters_beyond_the_first_plane(spark):
+    detect = langid.Profile({"a": [-9] * langid.SLOTS, "b": [-8] * langid.SLOTS}).detect
+    df = spark.createDataFrame([("\U00010400" * 12,), ("short",)], "c string")
+    assert [r[0] for r in df.select(detect(F.col("c"))).collect()] == ["b", None]
+
+
+def test_pages_are_parsed_in_pieces(monkeypatch):
+    pages = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3, 4], "url": ["http://x.org/"] * 4, "html": ["<p>a</p>" * 4, None, '<p>b</p><a href="/c">', "<p>c" * 9]})
+    got = list(html.pieces(pages, "html", 20))
+    assert [b.num_rows for b in got] == [1, 1, 1, 1] and pa.Table.from_batches(got).equals(pa.Table.from_batches([pages]))
+    assert [b.num_rows for b in html.pieces(pages, "html", 1 << 20)] == [4] and list(html.pieces(pages.slice(0, 0), "html", 9)) == []
+
+
+def test_tokens_are_counted_before_their_words_are_made(spark):
+    texts = spark.createDataFrame([("Dr. A met dr. B. So. Dr",), (None,)], "text string")
+    counts = boundaries.counted(texts, "text")
+    assert {r.word: (r.n, r.n_stop) for r in counts.collect()} == {"dr": (3, 2), "a": (1, 0), "met": (1, 0), "b": (1, 1), "so": (1, 1)}
+    assert plan(counts).index("regexp_replace(lower(token") < plan(counts).index("Aggregate [token")
