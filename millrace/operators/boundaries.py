@@ -31,14 +31,19 @@ def has_stop(token: Column) -> Column:
     return token.rlike(r"\.[^\p{L}\p{N}.]*\z")
 
 
+def counted(texts: DataFrame, text: str = "text") -> DataFrame:
+    """word, n and n_stop. Tokens are counted first: a word is made once for each distinct token, not for each time it stands in a text."""
+    token = texts.select(F.explode(F.split(t.normalize(F.col(text)), " ")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    words = token.select(word(F.col("token")).alias("word"), "n", F.when(has_stop(F.col("token")), F.col("n")).otherwise(0).alias("stop"))
+    return words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("stop").alias("n_stop"))
+
+
 def abbreviations(texts: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """word, n, n_stop and score of each word that counts as an abbreviation. Words are those with a letter and no digit."""
-    token = texts.select(F.explode(F.split(t.normalize(F.col(text)), " ")).alias("token")).where("token <> ''")
-    counted = token.select(word(F.col("token")).alias("word"), has_stop(F.col("token")).cast("int").alias("stop")).groupBy("word").agg(F.count("*").alias("n"), F.sum("stop").alias("n_stop"))
-    counted = saved(counted, "words")
-    whole = counted.agg(F.sum("n").alias("n"), F.sum("n_stop").alias("stops")).first()
+    words = saved(counted(texts, text), "words")
+    whole = words.agg(F.sum("n").alias("n"), F.sum("n_stop").alias("stops")).first()
     if not whole.n or whole.stops == whole.n:  # no words, or none without a stop: nothing tells abbreviations apart
-        return counted.limit(0).withColumn("score", F.lit(0.0))
+        return words.limit(0).withColumn("score", F.lit(0.0))
     share = F.lit(whole.stops / whole.n)
     with_stop, without = F.col("n_stop"), F.col("n") - F.col("n_stop")
     chance = with_stop * F.ln(share) + without * F.ln(1 - share)
@@ -46,7 +51,7 @@ def abbreviations(texts: DataFrame, text: str = "text", least: float = LEAST) ->
     letters = F.length(F.regexp_replace("word", r"\.", ""))
     stops_inside = F.length("word") - letters
     score = -2 * (chance - bound) * F.exp(-letters) * (stops_inside + 1) * F.pow(letters.cast("double"), -without)
-    known = counted.where((F.col("n_stop") > 0) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"\p{N}"))
+    known = words.where((F.col("n_stop") > 0) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"\p{N}"))
     return known.withColumn("score", score).where(F.col("score") >= least).select("word", "n", "n_stop", "score")
 
 
