@@ -68,7 +68,7 @@ def test_profiles_judge_letters_beyond_the_first_plane(spark):
 def test_pages_are_parsed_in_pieces(monkeypatch):
     pages = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3, 4], "url": ["http://x.org/"] * 4, "html": ["<p>a</p>" * 4, None, '<p>b</p><a href="/c">', "<p>c" * 9]})
     got = list(html.pieces(pages, "html", 20))
-    assert [b.num_rows for b in got] == [1, 1, 1, 1] and pa.Table.from_batches(got).equals(pa.Table.from_batches([pages]))
+    assert [b.num_rows for b in got] == [2, 1, 1] and pa.Table.from_batches(got).equals(pa.Table.from_batches([pages]))
     assert [b.num_rows for b in html.pieces(pages, "html", 1 << 20)] == [4] and list(html.pieces(pages.slice(0, 0), "html", 9)) == []
 
 
