@@ -77,3 +77,20 @@ def test_tokens_are_counted_before_their_words_are_made(spark):
     counts = boundaries.counted(texts, "text")
     assert {r.word: (r.n, r.n_stop) for r in counts.collect()} == {"dr": (3, 2), "a": (1, 0), "met": (1, 0), "b": (1, 1), "so": (1, 1)}
     assert plan(counts).index("regexp_replace(lower(token") < plan(counts).index("Aggregate [token")
+
+
+def test_cleaning_looks_for_white_space_and_words_in_arrow(spark):
+    lean = catalogue.QUERIES["clean_per_source"](spark, SF)
+    assert "ArrowEvalPython" in plan(lean) and "regexp_replace" not in plan(lean) and "split(" not in plan(lean)
+    assert "Kiswahili" not in plan(lean) and plan(lean).count("_tidy(") == 1  # the texts that no count needs are neither made nor sent
+    whole = cleaning.steps(catalogue.recs(spark, SF), catalogue.ORDER, lambda c: F.col("lang"))
+    assert "regexp_replace" not in plan(whole) and plan(whole).count("replace(") == 3  # words are counted once a row; two kinds of sentences are decorated
+    assert sorted(lean.collect()) == sorted(whole.groupBy("Source").count().collect())
+
+
+def test_stretches_of_texts_are_put_together_again(monkeypatch):
+    texts = pa.array(["a" * 5, None, "", "b" * 9, "c", "d"])
+    sizes = []
+    monkeypatch.setattr(t, "STRETCH", 4)
+    assert t.stretches(texts, lambda x: sizes.append(len(x)) or x).equals(texts) and len(sizes) > 2 and sum(sizes) == 6
+    assert len(t.stretches(texts.slice(0, 0), lambda x: x)) == 0
