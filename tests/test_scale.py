@@ -8,7 +8,7 @@ from millrace.functions import langid
 from millrace.functions import text as t
 from millrace.operators import boundaries, cleaning, records
 from millrace.plans import catalogue
-from millrace.sources import html
+from millrace.sources import datasets, html
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +94,21 @@ def test_stretches_of_texts_are_put_together_again(monkeypatch):
     monkeypatch.setattr(t, "STRETCH", 4)
     assert t.stretches(texts, lambda x: sizes.append(len(x)) or x).equals(texts) and len(sizes) > 2 and sum(sizes) == 6
     assert len(t.stretches(texts.slice(0, 0), lambda x: x)) == 0
+
+
+def test_rows_that_are_stored_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def own(k):
+        made.add(1)
+        return f"PSA{k:06d}"
+
+    datasets.write(spark.range(500).select(own("id").alias("PSA_ID")), str(tmp_path))
+    assert made.value == 500 == datasets.read(spark, str(tmp_path)).count()
+
+
+def test_ids_are_padded_to_the_width_or_longer(spark, monkeypatch):
+    monkeypatch.setattr(records, "number", lambda df, order, name: df.withColumn(name, F.col("n")))
+    df = spark.createDataFrame([(7,), (123,), (1234,)], "n long").select("n", *records.record(F.lit("Health"), F.lit("x")))
+    assert sorted(r.PSA_ID for r in records.assign_ids(df, ["n"], width=3).collect()) == ["PSA007", "PSA123", "PSA1234"]
