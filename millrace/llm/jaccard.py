@@ -66,7 +66,10 @@ LIMIT = 2_000_000
 SMALL_TABLE = 100_000
 #: Sets of a large component looked up in its first round, and in one task.
 HUBS, AT_ONCE = 16, 256
-CACHE = 250_000
+#: Bytes of text whose words are hashed at a time, and the longest word that is hashed with others.
+SLICE, WORD = 1 << 18, 64
+#: Bits of the filter that tells most documents without a candidate before texts are joined.
+FILTER = 1 << 26
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -76,33 +79,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _powers(x: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))))
+
+
 class Shingler:
-    """Sorted distinct shingle hashes of texts; hashes of words are kept in a bounded cache."""
+    """Sorted distinct shingle hashes of texts, many texts at a time.
+
+    A word's hash is the sum of its bytes' numbers times powers of an odd number, so that sums over a whole
+    stretch of text give those of all its words; words over WORD bytes, where such sums are weaker, have one of their own."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words = words
+        letters = np.arange(256, dtype=np.uint64)
+        letters[65:91] += np.uint64(32)
+        self.number = mix(mix((letters + np.uint64(1)) * _MULT) ^ _ODD)
+        self.power, self.inverse = _powers(int(_ODD), SLICE + WORD), _powers(pow(int(_ODD), -1, 1 << 64), SLICE + WORD)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = len(h)
-        if not n:
-            return h
-        k = min(self.words, n)
-        s = np.full(n - k + 1, k, np.uint64)
+        return self.many([text])[0]
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first places of the words of data, which has white space at both ends."""
+        letters = np.frombuffer(data, np.uint8)
+        blank = self.space[letters]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        stop = np.minimum(end, start + WORD)
+        h = np.empty(len(start), np.uint64)
+        cuts = np.searchsorted(start, np.arange(0, len(letters) + SLICE, SLICE))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a < b:
+                low, high = start[a], stop[b - 1]
+                sums = np.zeros(high - low + 1, np.uint64)
+                np.cumsum(self.number[letters[low:high]] * self.power[: high - low], out=sums[1:])
+                h[a:b] = (sums[stop[a:b] - low] - sums[start[a:b] - low]) * self.inverse[start[a:b] - low]
+        h = mix(h + (end - start).astype(np.uint64) * _MULT)
+        for k in np.flatnonzero(end - start > WORD):
+            h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].lower())
+        return h, start
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sets of texts, in their order."""
+        out, own, n = [], [], 0
+        for t in texts:
+            own.append((t or "").encode("utf-8", "surrogatepass"))
+            n += len(own[-1])
+            if n > 4 * SLICE:
+                out += self._sets(own)
+                own, n = [], 0
+        return out + self._sets(own)
+
+    def _sets(self, own: list[bytes]) -> list[np.ndarray]:
+        h, start = self._words(b" ".join([b"", *own, b""]))
+        ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in own]) + 1)
+        begins = np.concatenate(([0], ends[:-1]))
+        s = self._mixed(h, self.words)
+        out = []
+        for a, b in zip(begins.tolist(), ends.tolist()):
+            x = s[a : b - self.words + 1] if b - a >= self.words else self._mixed(h[a:b], b - a)
+            if len(x) > 1:
+                x = np.sort(x)
+                x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+            out.append(x)
+        return out
+
+    @staticmethod
+    def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all runs of k words."""
+        if not k:
+            return h[:0]
+        n = max(0, len(h) - k + 1)
+        s = np.full(n, k, np.uint64)
         for j in range(k):
-            s = (s ^ h[j : n - k + 1 + j]) * _MULT
+            s = (s ^ h[j : j + n]) * _MULT
             s ^= s >> np.uint64(31)
-        return np.unique(mix(s))
+        return mix(s)
 
 
 def shingler(words: int) -> Shingler:
-    """Kept in a process, so that its tasks share the hashes of words."""
+    """Kept in a process, so that its tasks share the tables."""
     return kept(f"shingler-{words}", lambda: Shingler(words))
 
 
@@ -123,6 +181,7 @@ def band(k: int) -> tuple[int, int, int]:
     return lo, hi, m
 
 
+@lru_cache(maxsize=1 << 14)
 def schemes(n: int) -> list[tuple[int, int, int]]:
     """Schemes of a set of n shingles: its own band's and that of the band below if a partner may be there.
 
@@ -140,9 +199,15 @@ def _level(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.
     names, levels = frequent
     out = np.zeros(len(shingles), np.int64)
     if len(names):
-        at = np.searchsorted(names, shingles)
+        near = np.arange(len(shingles))
+        if len(shingles) > len(names):  # most are told from all names by their first bits
+            there = np.zeros(1 << 20, bool)
+            there[names >> np.uint64(44)] = True
+            near = np.flatnonzero(there[shingles >> np.uint64(44)])
+        at = np.searchsorted(names, shingles[near])
         at[at == len(names)] = 0
-        out = np.where(names[at] == shingles, levels[at], 0)
+        hit = names[at] == shingles[near]
+        out[near[hit]] = levels[at[hit]]
     return out
 
 
@@ -189,6 +254,39 @@ def signatures(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) ->
     return np.concatenate(out), spare
 
 
+def laid(sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets, none of them empty, the number of the set that each is of, and how many each set can spare: see `signatures`.
+
+    The first rung, which suffices for most, is found for all sets at once."""
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    mixed, often = mix(flat ^ _MULT), _level(flat, frequent) > 0
+    high = flat >> np.uint64(32)
+    own = [schemes(n) for n in size.tolist()]
+    spare = np.full(len(sets), 1 << 30)
+    sig, of = [], []
+    for x in (0, 1):
+        k, m, most = np.array([s[x] if len(s) > x else (0, 1, -1) for s in own]).T
+        segment = (high * m.astype(np.uint64)[owner]) >> np.uint64(32)
+        start = np.flatnonzero(np.concatenate(([True], (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1]))))
+        free = ~np.logical_and.reduceat(often, start) & (most[owner[start]] >= 0)
+        at = start[free]
+        whole = np.add.reduceat(mixed, start)[free]
+        o = owner[at]
+        sig.append(mix(whole ^ (segment[at] * _MULT + k.astype(np.uint64)[o])))
+        of.append(o)
+        spare = np.minimum(spare, np.where(most >= 0, np.bincount(o, minlength=len(sets)) - most - 1, 1 << 30))
+    sig, of = np.concatenate(sig), np.concatenate(of)
+    short = np.flatnonzero(spare < 0)
+    if len(short):
+        stays = spare[of] >= 0
+        more = [signatures(sets[x], frequent) for x in short.tolist()]
+        sig = np.concatenate((sig[stays], *(x for x, _ in more)))
+        of = np.concatenate((of[stays], np.repeat(short, [len(x) for x, _ in more])))
+        spare[short] = [x for _, x in more]
+    return sig, of, spare
+
+
 def _frequent(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold, sorted, and their levels. Copies count as one text."""
     h = F.xxhash64("text")
@@ -200,8 +298,9 @@ def _frequent(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarr
     def run(source):
         shingle = shingler(words)
         for b in source:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle(t).view(np.int64))], names=["s"])
+            for k in range(0, b.num_rows, ROWS):
+                for s in shingle.many(b.column(0).slice(k, ROWS).to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
 
     rows = sample.mapInArrow(run, "s long").groupBy("s").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "s").limit(FREQUENT).toPandas()
     names = rows["s"].to_numpy(np.int64).view(np.uint64)
@@ -212,8 +311,8 @@ def _frequent(docs: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarr
 
 #: Signatures of a batch in a bucket; rows of docs and sets of large groups under numbers below 0.
 RECORD = "bucket long, block binary"
-#: A row of docs (doc_id, n, and the set's digest as k1, k2), a pair (k1 of a and b), or a set of a large group (a, in sig).
-FOUND = "doc_id long, n long, k1 long, k2 long, sig long, a long, b long, met long, spare_a long, spare_b long"
+#: A row of docs (doc_id, n, the set's digest as k1, k2, and its spare number, -1 where it isn't told), a pair (k1 of a and b), or a set of a large group (a, in sig).
+FOUND = "doc_id long, n long, k1 long, k2 long, spare long, sig long, a long, b long, met long"
 NAMES = [x.split()[0] for x in FOUND.split(", ")]
 
 
@@ -221,38 +320,69 @@ def _found(length: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(x, pa.nulls(length, pa.int64())) for x in NAMES], names=NAMES)
 
 
-def _blocks(sig: np.ndarray, bucket: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, spare: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Signatures by bucket, 48 bits of each, with the keys, sizes and spare numbers of their sets."""
-    order = np.argsort(bucket, kind="stable")
-    there, start = np.unique(bucket[order], return_index=True)
-    for k, at in zip(there.tolist(), np.split(order, start[1:]), strict=True):
-        own, back = np.unique(owner[at], return_inverse=True)
-        low = sig[at]
-        wide = "<u2" if len(own) <= 1 << 16 else "<u4"
-        yield k, b"".join((np.array([len(own), len(at), int(wide[2])], "<u4").tobytes(), keys[own].tobytes(), sizes[own].astype("<i4").tobytes(), spare[own].astype("<i4").tobytes(), back.astype(wide).tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(), low.astype("<u4").tobytes()))
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers start."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
+def _blocks(sig: np.ndarray, bucket: np.ndarray, owner: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Signatures by bucket, in whose order they come, 48 bits of each, with the keys of their sets. Sizes and spare numbers
+    stay with the rows, since at many buckets a block has each set once or twice, and what stands beside a signature is what is sent."""
+    start = _starts(bucket)
+    seen = np.zeros(len(keys), "<u4")
+    for k, a, b in zip(bucket[start].tolist(), start.tolist(), [*start[1:].tolist(), len(sig)]):
+        low, own = sig[a:b], owner[a:b]
+        seen[own] = 1
+        there = np.flatnonzero(seen) if 8 * len(own) > len(seen) else np.unique(own)
+        seen[there] = np.arange(len(there))
+        back = seen[own]
+        seen[there] = 0
+        wide = "<u2" if len(there) <= 1 << 16 else "<u4"
+        yield k, b"".join((np.array([len(there), len(low), int(wide[2])], "<u4").tobytes(), keys[there].tobytes(), back.astype(wide).tobytes(), (low >> np.uint64(32)).astype("<u2").tobytes(), low.astype("<u4").tobytes()))
 
 
 def _open(block: bytes) -> tuple[np.ndarray, ...]:
-    """Signature, key, size and spare number of each record of a block."""
+    """Keys of a block, and of each record the signature and the place of its key."""
     n, m, wide = np.frombuffer(block, "<u4", 3).tolist()
     at = 12
     parts = []
-    for count, kind in ((n, "<i8"), (n, "<i4"), (n, "<i4"), (m, f"<u{wide}"), (m, "<u2"), (m, "<u4")):
+    for count, kind in ((n, "<i8"), (m, f"<u{wide}"), (m, "<u2"), (m, "<u4")):
         parts.append(np.frombuffer(block, kind, count, at))
         at += count * np.dtype(kind).itemsize
-    keys, sizes, spare, back, high, low = parts
-    return high.astype(np.uint64) << np.uint64(32) | low, keys[back], sizes[back], spare[back]
-
-
-def _gathered(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Records of blocks by signature and key, copies of a set once, and where each signature's group starts."""
-    sig, own, size, spare = (np.concatenate(x) for x in zip(*map(_open, blocks), strict=True))
+    keys, back, high, low = parts
+    return keys, high.astype(np.uint64) << np.uint64(32) | low, back
+
+
+def _ordered(sig: np.ndarray, top: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order of signatures by as many of their bits, the top or the lowest, as fit beside a place, and these bits in it. One sort of
+    numbers, which takes a quarter of the time of one for places."""
+    bits = np.uint64(max(1, len(sig)).bit_length())
+    both = np.sort((sig >> bits << bits if top else sig << bits) | np.arange(len(sig), dtype=np.uint64))
+    return (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits
+
+
+def _gathered(blocks: list[bytes], alone: bool = False) -> tuple[np.ndarray, ...]:
+    """Records of blocks by signature and key, copies of a set once, and where each signature's group starts. alone: also those of one record."""
+    keys, sig, own = [], [], []
+    n = 0
+    for block in blocks:
+        key, s, back = _open(block)
+        keys.append(key)
+        sig.append(s)
+        own.append(back + np.uint32(n))
+        n += len(key)
+    keys, sig, own = np.concatenate(keys), np.concatenate(sig), np.concatenate(own)
+    if not alone:  # most signatures are of one set only
+        order, bits = _ordered(sig, top=False)
+        same = np.concatenate(([False], bits[1:] == bits[:-1], [False]))
+        order = order[same[1:] | same[:-1]]
+        sig, own = sig[order], own[order]
+    own = keys[own]
     order = np.lexsort((own, sig))
-    sig, own, size, spare = sig[order], own[order], size[order], spare[order]
-    fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))
-    sig, own, size, spare = sig[fresh], own[fresh], size[fresh], spare[fresh]
-    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    return sig, own, size, spare, start
+    sig, own = sig[order], own[order]
+    fresh = np.concatenate((np.ones(min(1, len(sig)), bool), (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))
+    sig, own = sig[fresh], own[fresh]
+    return sig, own, _starts(sig)
 
 
 class Deal:
@@ -264,7 +394,8 @@ class Deal:
         self.fine = -(-wanted // self.coarse)
 
     def first(self, sig: np.ndarray) -> np.ndarray:
-        return ((sig >> np.uint64(32)) % np.uint64(self.coarse)).astype(np.int64)
+        """Bucket of each signature, in the order of the signatures."""
+        return ((sig >> np.uint64(32)) * np.uint64(self.coarse) >> np.uint64(32)).astype(np.int64)
 
     def then(self, bucket: int, low: np.ndarray) -> np.ndarray:
         return bucket * self.fine + (low % np.uint64(self.fine)).astype(np.int64)
@@ -281,47 +412,52 @@ def _records(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], deal: Dea
     there, and the others straight to the group's sets, so that a bucket gets few of a group from each batch."""
     def run(source):
         shingle = shingler(words)
-        held: dict[tuple[int, int], tuple[int, np.ndarray, int]] = {}
-        rows: list[tuple[int | None, int, int, int]] = []
+        held: dict[tuple[int, int], int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
+        rows: list[tuple[int | None, int, int, int, int]] = []
         total = 0
 
         def sealed():
             blocks = []
+            spare = np.full(1, -1)
             if held:
                 keys = np.array([k for k, _ in held], np.int64)
-                sizes, spare = (np.array([x[k] for x in held.values()], np.int64) for k in (0, 2))
-                sig = np.concatenate([x[1] for x in held.values()])
-                owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[1]) for x in held.values()])
+                sig, owner, spare = (np.concatenate([x[k] for x in parts]) for k in range(3))
                 held.clear()
-                order = np.argsort(sig, kind="stable")
+                parts.clear()
+                order, _ = _ordered(sig, top=True)
                 sig, owner = sig[order], owner[order]
-                fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])))
-                sig, owner = sig[fresh], owner[fresh]
-                start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+                start = _starts(sig)
                 few = np.arange(len(sig)) - np.repeat(start, np.diff(np.concatenate((start, [len(sig)])))) <= SMALL
                 bucket = deal.first(sig)
-                blocks += _blocks(sig[few], bucket[few], owner[few], keys, sizes, spare)
+                blocks += _blocks(sig[few], bucket[few], owner[few], keys)
                 many = ~few
                 if many.any():
-                    part = np.stack((deal.name(sig[many], bucket[many]), keys[owner[many]], spare[owner[many]]))
+                    part = np.stack((deal.name(sig[many], bucket[many]), keys[owner[many]]))
                     blocks.append((-1 - int(keys[0]) % deal.coarse, b"m" + part.astype("<i8").tobytes()))
-            ids = np.array([(0 if i is None else i, i is None, n, a, b) for i, n, a, b in rows], "<i8")
-            blocks.append((-1 - int(ids[0, 3]) % deal.coarse, b"r" + ids.T.tobytes()))
+            ids = np.array([(0 if i is None else i, i is None, n, -1 if at < 0 else spare[at], a, b) for i, n, at, a, b in rows], "<i8")
+            blocks.append((-1 - int(ids[0, 4]) % deal.coarse, b"r" + ids.T.tobytes()))
             rows.clear()
             k, block = zip(*blocks, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(block, pa.binary())], names=["bucket", "block"])
 
         for part in (b.slice(k, ROWS) for b in source for k in range(0, b.num_rows, ROWS)):
-            for doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                s = shingle(t)
-                key = set_key(s)
-                rows.append((doc_id, len(s), *key))
-                if len(s) and doc_id is not None and key not in held:
-                    held[key] = (len(s), *signatures(s, frequent))
-                    total += len(held[key][1])
-                if total >= MOST or len(held) >= BATCH or len(rows) >= 50 * BATCH:
-                    yield sealed()
-                    total = 0
+            sets, new = shingle.many(part.column(1).to_pylist()), []
+            first = len(held)
+            for doc_id, s in zip(part.column(0).to_pylist(), sets, strict=True):
+                key, at = set_key(s), -1
+                if len(s) and doc_id is not None:
+                    at = held.setdefault(key, len(held))
+                    if at == first + len(new):
+                        new.append(s)
+                rows.append((doc_id, len(s), at, *key))
+            if new:
+                sig, owner, spare = laid(new, frequent)
+                parts.append((sig, (owner + first).astype(np.int32), spare))
+                total += len(sig)
+            if total >= MOST or len(held) >= BATCH or len(rows) >= 50 * BATCH:
+                yield sealed()
+                total = 0
         if rows:
             yield sealed()
 
@@ -339,9 +475,11 @@ def _records(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], deal: Dea
                 else:
                     by.setdefault(k, []).append(x)
             for k, opened in by.items():
-                sig, own, size, spare, _ = _gathered(opened)
-                keys, first, owner = np.unique(own, return_index=True, return_inverse=True)
-                blocks += _blocks(sig, deal.then(k, sig), owner, keys, size[first], spare[first])
+                sig, own, _ = _gathered(opened, alone=True)
+                keys, owner = np.unique(own, return_inverse=True)
+                bucket = deal.then(k, sig)
+                order = np.argsort(bucket, kind="stable")
+                blocks += _blocks(sig[order], bucket[order], owner[order], keys)
             k, block = zip(*blocks, strict=True) if blocks else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(block, pa.binary())], names=["bucket", "block"])
 
@@ -357,41 +495,42 @@ def _grouped(deal: Deal):
             for b in source:
                 for x in b.column("block").to_pylist():
                     if x[:1] == b"m":
-                        sig, own, spare = np.frombuffer(x, "<i8", offset=1).reshape(3, -1)
-                        yield _found(len(sig), sig=long(sig), a=long(own), spare_a=long(spare))
+                        sig, own = np.frombuffer(x, "<i8", offset=1).reshape(2, -1)
+                        yield _found(len(sig), sig=long(sig), a=long(own))
                     else:
-                        ids, none, n, k1, k2 = np.frombuffer(x, "<i8", offset=1).reshape(5, -1)
-                        yield _found(len(ids), doc_id=pa.array(ids.astype(np.int64), mask=none.astype(bool)), n=long(n), k1=long(k1), k2=long(k2))
+                        ids, none, n, spare, k1, k2 = np.frombuffer(x, "<i8", offset=1).reshape(6, -1)
+                        yield _found(len(ids), doc_id=pa.array(ids.astype(np.int64), mask=none.astype(bool)), n=long(n), k1=long(k1), k2=long(k2), spare=long(spare))
             return
-        sig, own, size, spare, start = _gathered([x for b in source for x in b.column("block").to_pylist()])
+        sig, own, start = _gathered([x for b in source for x in b.column("block").to_pylist()])
         n = np.diff(np.concatenate((start, [len(sig)])))
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for gap in range(1, SMALL):
             first = start[(n > gap) & (n <= SMALL)]
             count = n[(n > gap) & (n <= SMALL)] - gap
             i = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            fit = 3 * np.maximum(size[i], size[i + gap]) <= 4 * np.minimum(size[i], size[i + gap])
-            a.append(i[fit])
-            b.append(i[fit] + gap)
+            a.append(i)
+            b.append(i + gap)
         i, j = np.concatenate(a), np.concatenate(b)
         order = np.lexsort((own[j], own[i]))
         i, j = i[order], j[order]
         new = np.flatnonzero(np.concatenate((np.ones(min(1, len(i)), bool), (own[i][1:] != own[i][:-1]) | (own[j][1:] != own[j][:-1]))))
         met = np.diff(np.concatenate((new, [len(i)])))
         i, j = i[new], j[new]
-        yield _found(len(i), a=long(own[i]), b=long(own[j]), met=long(met), spare_a=long(spare[i]), spare_b=long(spare[j]))
+        yield _found(len(i), a=long(own[i]), b=long(own[j]), met=long(met))
         big = np.repeat(n > SMALL, n)
         whole = deal.name(sig[big], bucket // deal.fine)
-        yield _found(len(whole), sig=long(whole), a=long(own[big]), spare_a=long(spare[big]))
+        yield _found(len(whole), sig=long(whole), a=long(own[big]))
 
     return run
 
 
-def _candidates(found: DataFrame) -> DataFrame:
-    """Ties (src, dst) of k1 whose components hold every linked pair."""
-    large = found.where("sig is not null").select("sig", F.col("a").alias("key"), F.col("spare_a").alias("spare")).distinct()
-    held = saved(large.groupBy("key").agg(F.count("*").alias("held"), F.max("spare").alias("spare")), "jaccard-held")
-    bound = held.where("held > spare").select("key")
+def _candidates(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Ties (src, dst) of k1 whose components hold every linked pair. classes: k1, n and spare of each set."""
+    large = found.where("sig is not null").select("sig", F.col("a").alias("key")).distinct()
+    own = classes.select(F.col("k1").alias("key"), "n", "spare")
+    held = large.groupBy("key").agg(F.count("*").alias("held"))
+    own = saved(own.join(held, "key", "left").select("key", "n", (F.col("spare") - F.coalesce("held", F.lit(0))).alias("left"), F.col("held").isNotNull().alias("large")), "jaccard-held")
+    bound = own.where("large and left < 0").select("key").distinct()
     members = large.select("sig", "key").join(bound, "key")
     first = members.groupBy("sig").agg(F.min("key").alias("src"))
     # a set's ties to the first sets of its groups: one to the first of these, and these to that one, which most sets have in common
@@ -400,10 +539,10 @@ def _candidates(found: DataFrame) -> DataFrame:
     among = firsts.where("size(firsts) > 1").select(least, F.explode(F.slice("firsts", 2, F.size("firsts"))).alias("dst")).distinct()
     ties = firsts.select(least, F.col("key").alias("dst")).union(among)
     # a pair shares a signature more than either set can spare; those of large groups may be among them
-    met = found.where("met is not null").groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("spare_a").alias("spare_a"), F.max("spare_b").alias("spare_b"))
+    met = found.where("met is not null").groupBy("a", "b").agg(F.sum("met").alias("met"))
     for x in "ab":
-        more = held.select(F.col("key").alias(x), F.col("held").alias(f"held_{x}"))
-        met = met.join(more, x, "left").where(F.col("met") > F.col(f"spare_{x}") - F.coalesce(f"held_{x}", F.lit(0)))
+        met = met.join(own.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), "left"), x).where("met > left").drop("left")
+    met = met.where("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)")
     return met.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(ties)
 
 
@@ -453,19 +592,27 @@ def settle(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, k1, k2, ...) with the texts of its documents. A short list is broadcast behind a count of its rows."""
+    """wanted (doc_id, k1, k2, ...) with the texts of its documents. A short list is broadcast behind a count of its rows. Of a longer one
+    bits of its ids are, FILTER in all, so that of the texts that are not wanted only a few are sorted and sent."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
     if wanted.count() <= SMALL_TABLE:
-        wanted = F.broadcast(wanted)
-    return docs.select("doc_id", "text").where("doc_id is not null").join(wanted, "doc_id")
+        return docs.join(F.broadcast(wanted), "doc_id")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    bits = wanted.groupBy(F.bitmap_bucket_number(bit).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.withColumn("__bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "__bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return near.select("doc_id", "text").join(wanted, "doc_id")
 
 
 def _meant(rows: list[dict], shingle: Shingler) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
     """doc_id and shingles by digest: rows of one doc_id may differ or repeat, and only the texts meant count, once each."""
     out = {}
-    for r in rows:
-        key = (r["k1"], r["k2"])
-        if key not in out and set_key(s := shingle(r["text"])) == key:
-            out[key] = (r["doc_id"], s)
+    for k in range(0, len(rows), ROWS):
+        for r, s in zip(rows[k : k + ROWS], shingle.many([r["text"] for r in rows[k : k + ROWS]])):
+            key = (r["k1"], r["k2"])
+            if key not in out and set_key(s) == key:
+                out[key] = (r["doc_id"], s)
     return out
 
 
@@ -473,8 +620,10 @@ def _settled(percent: int, words: int):
     def run(key: tuple[pa.Scalar, ...], source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, by = shingler(words), {}
         for b in source:
-            for r in b.to_pylist():
-                by.setdefault(r["component"], {}).update(_meant([r], shingle))
+            rows = b.to_pylist()
+            component = {(r["k1"], r["k2"]): r["component"] for r in rows}
+            for key, x in _meant(rows, shingle).items():
+                by.setdefault(component[key], {})[key] = x
         src, dst = [], []
         for sets in by.values():
             ids = [i for i, _ in sets.values()]
@@ -561,9 +710,9 @@ def join(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     deal = Deal(whole.n or 0)
     records = _records(docs, _frequent(docs, whole.rows, words), deal, words)
     found = saved(records.groupBy("bucket").applyInArrow(_grouped(deal), FOUND), "jaccard-found")
-    rows = found.where("k1 is not null").select("doc_id", "n", "k1", "k2")
-    classes = saved(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
-    tied = components(_candidates(found)).select(F.col("id").alias("k1"), "component")
+    rows = found.where("k1 is not null").select("doc_id", "n", "k1", "k2", "spare")
+    classes = saved(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("spare").alias("spare")), "jaccard-classes")
+    tied = components(_candidates(found, classes)).select(F.col("id").alias("k1"), "component")
     wanted = tied.join(classes.where("rep is not null"), "k1").select("component", F.col("rep").alias("doc_id"), "k1", "k2", "n")
     wanted = saved(wanted.join(wanted.groupBy("component").agg(F.sum("n").alias("shingles")), "component"), "jaccard-tied")
     fits = wanted.where(F.col("shingles") <= LIMIT)

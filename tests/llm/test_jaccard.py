@@ -155,3 +155,48 @@ def test_bands_guarantee():
                 apart = n + s - 2 * -(-3 * union // 4)
                 there = {x: bound for x, _, bound in jaccard.schemes(s)}
                 assert k in there and apart <= min(most, there[k]) + 1 and (n + s) // 7 <= min(most, there[k])
+
+
+def test_bytes_of_a_signature_at_many_buckets(spark):
+    """At as many buckets as a large table has, a block holds a set once or twice: a signature is sent with its set's key and little more."""
+    r = random.Random(7)
+    rows = [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(300))) for k in range(400)]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    deal = Deal(10**10, 8_000_000, 4096)
+    blocks = jaccard._records(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), none, deal, 5).where("bucket >= 0").collect()
+    sent = sum(len(jaccard.signatures(jaccard.Shingler()(t), none)[0]) for _, t in rows)
+    assert len(blocks) > 1_000 and sum(len(b.block) for b in blocks) < 17 * sent
+
+
+def test_texts_of_a_long_list(spark, monkeypatch):
+    """Only texts that may be wanted are dealt out, told by bits of a fixed number; rows and components are the same."""
+    docs = spark.range(5_000).selectExpr("if(id % 100 = 7, null, id - 50) AS doc_id", "repeat(cast(id AS string), 20) AS text")
+    wanted = spark.range(-60, 5_000, 37).selectExpr("id AS doc_id", "id AS k1", "id + 1 AS k2")
+    want = {(w, str(w + 50) * 20, w, w + 1) for w in range(-60, 5_000, 37) if 0 <= w + 50 < 5_000 and (w + 50) % 100 != 7}
+    for name, value in (("SMALL_TABLE", 0), ("FILTER", 1 << 20)):
+        monkeypatch.setattr(jaccard, name, value)
+    long = jaccard._texts(docs, wanted)
+    assert {tuple(r) for r in long.select("doc_id", "text", "k1", "k2").collect()} == want
+    assert "bitmap_construct_agg" in long._jdf.queryExecution().toString()
+    rows = made(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == brute(rows)
+
+
+def test_many_sets_at_once(monkeypatch):
+    """Sets of odd texts side by side, cut anywhere, are those of each text alone, and so are their signatures."""
+    monkeypatch.setattr(jaccard, "SLICE", 100)
+    r = random.Random(8)
+    texts = [None, "", " \t ", "a", " A", "a b c d e", "A B\x0bC\x0cd\re", "x" * 64, "x" * 65 + " X", "é É \x1f\x85 b"] + [" ".join(r.choice("abcdefg") * r.choice((1, 2, 70)) for _ in range(r.randrange(40))) for _ in range(150)]
+    many = jaccard.Shingler().many(texts)
+    monkeypatch.undo()
+    one = jaccard.Shingler()
+    own = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").encode().lower().split() for t in texts)]
+    for i, (x, t) in enumerate(zip(many, texts, strict=True)):
+        assert x.tolist() == one(t).tolist()
+        assert [len(np.intersect1d(x, y)) for y in many[:i]] == [len(own[i] & s) for s in own[:i]]
+    sets = [x for x in many if len(x)]
+    for frequent in ((sets[0][:0], np.zeros(0, np.int64)), (np.unique(np.concatenate(sets))[::2], np.ones(len(np.unique(np.concatenate(sets))[::2]), np.int64))):
+        sig, of, spare = jaccard.laid(sets, frequent)
+        for k, s in enumerate(sets):
+            want = jaccard.signatures(s, frequent)
+            assert np.sort(sig[of == k]).tolist() == np.sort(want[0]).tolist() and spare[k] == want[1]
