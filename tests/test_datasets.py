@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import langid, rules
+from millrace.functions import langid, rules, session
 from millrace.operators import records
 from millrace.plans import build, profile
 from millrace.sources import datasets
@@ -116,3 +116,35 @@ def test_nothing_to_build(spark, tmp_path):
     assert build.main(["build", out]) == 0
     assert datasets.read(spark, out).count() == 0 and "- **Total rows:** 0" in datasets.text(spark, out, "report.md")
     assert build.build(spark, {}, langid.unknown)[0].columns == rules.COLUMNS
+
+
+def test_what_is_written_elsewhere_is_deleted(spark, tmp_path, monkeypatch):
+    """Of the scratch tables of whole records only the last one stays; shuffle files go with the action, and the session is as before."""
+    monkeypatch.setattr(session, "_GIVEN", [])
+    path, old = str(tmp_path / "d"), spark.conf.get(session.SHUFFLES_GO)
+    there = lambda: {g.rsplit("/", 1)[1].split("-")[0] for g in session._GIVEN if os.path.isdir(g.removeprefix("file:"))}
+    datasets.write(rows(spark, ["one two three four five", "one two three four five", "six seven eight nine ten"]).drop("_n"), path)
+    assert there() == set()
+    df, stats = build.reclean(datasets.read(spark, path), langid.unknown)
+    build.store(df, stats, path, {}, made=True)
+    assert texts(spark, path) == ["one two three four five", "six seven eight nine ten"] and there() - {"state"} == {"numbered"}
+    build.store(df, stats, path)
+    assert "dataset" not in there() and len(texts(spark, path)) == 2
+    built, _ = build.build(spark, {"tico19": rows(spark, ["one two three four five"]).drop("_n").withColumn("seq", F.lit(1))}, langid.unknown)
+    assert built.count() == 1 and "merged" not in there() and "cleaned" not in there()
+    assert spark.conf.get(session.SHUFFLES_GO) == old
+
+
+def test_a_version_takes_little_disk(spark, tmp_path):
+    """Rows are gzipped, in order over the files, and columns that they lack are added where they are written."""
+    size = lambda name, path: sum(os.path.getsize(f"{path}/{name}/data/{f}") for f in os.listdir(f"{path}/{name}/data"))
+    df = rows(spark, [f"sentence {k} of words that come again and again" for k in range(5_000)]).select("PSA_ID", "English", "Domain", "_n").repartition(4)
+    path, other = str(tmp_path / "d"), str(tmp_path / "e")
+    name, plain = datasets.write(df, path, columns=rules.COLUMNS), datasets.write(datasets.taken(df, rules.COLUMNS), other, single=True)
+    assert size(name, path) < size(plain, other) / 3
+    files = sorted(f for f in os.listdir(f"{path}/{name}/data") if f.startswith("part-"))
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    ids = [r.PSA_ID for f in files for r in datasets.read(spark, f"{path}/{name}/data/{f}").collect()]
+    assert ids == [f"PSA{k:06d}" for k in range(1, 5_001)]
+    got = datasets.read(spark, path)
+    assert got.columns == rules.COLUMNS and got.orderBy("PSA_ID").collect() == datasets.read(spark, other).orderBy("PSA_ID").collect()
